@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: Query name -> module of this subpackage.
 MODULES = {
+    "op5_topk_search": "topk_search",
+    "op6_url_filters": "url_filters",
     "op1_language_id": "language_id",
     "op3_token_counts": "token_counts",
     "op4_substring_dedup": "substring_dedup",
