@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op5_topk_search": "topk_search",
     "op6_url_filters": "url_filters",
+    "op8_piece_encoding": "piece_encoding",
     "op10_decontamination": "decontamination",
     "op1_language_id": "language_id",
     "op3_token_counts": "token_counts",
