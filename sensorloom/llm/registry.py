@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op5_topk_search": "topk_search",
     "op6_url_filters": "url_filters",
+    "op7_jaccard_join": "jaccard_join",
     "op8_piece_encoding": "piece_encoding",
     "op10_decontamination": "decontamination",
     "op1_language_id": "language_id",
