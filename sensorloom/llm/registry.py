@@ -10,6 +10,7 @@ MODULES = {
     "op6_url_filters": "url_filters",
     "op7_jaccard_join": "jaccard_join",
     "op8_piece_encoding": "piece_encoding",
+    "op9_suffix_dedup": "suffix_dedup",
     "op10_decontamination": "decontamination",
     "op1_language_id": "language_id",
     "op3_token_counts": "token_counts",
