@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module of this subpackage.
 MODULES = {
+    "op2_line_dedup": "line_dedup",
     "op5_topk_search": "topk_search",
     "op6_url_filters": "url_filters",
     "op7_jaccard_join": "jaccard_join",
