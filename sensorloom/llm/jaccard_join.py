@@ -3,10 +3,10 @@
 A document's set is represented by its signature, so equal sets are one node
 with one set.  Sets are ordered by how common their shingles are, and two sets
 that overlap enough share a shingle in their prefixes, which are the index.
-Its lists are used in two rounds:
+Its lists are used twice:
 
 * Each set is compared with one leader of its lists; what that links is joined
-  into components, so a group of thousands of near copies takes as many
+  into components, so a group of thousands of near copies takes about as many
   comparisons as it has members.
 * Within each list the postings of a component are a block.  Blocks of the own
   component are skipped as their answer is known, others where their sizes
@@ -133,19 +133,22 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", overlap)
 
 
-def _first_round(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _leader_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a: leader, b, size_a, size_b, overlap) of each set with the leader
-    that most of its lists have."""
-    leader = postings.groupBy("token").agg(F.min_by(F.struct("node", "size", "pos"), F.xxhash64("node")).alias("leader"), F.count("*").alias("n"))
+    that most of its lists have.  A list's leader is its set with the fewest
+    shingles of its own: an original has none, each of its edited copies some."""
+    central = F.struct("n_unique", F.xxhash64("node"))
+    leader = postings.groupBy("token").agg(F.min_by(F.struct("node", "size", "pos"), central).alias("leader"), F.count("*").alias("n"))
     lists = postings.join(leader.filter("n > 1"), "token").filter(F.col("node") != F.col("leader.node"))
-    near = lists.filter(_reaches(F.least(F.col("size") - F.col("pos"), F.col("leader.size") - F.col("leader.pos")), F.col("size"), F.col("leader.size"), percent))
+    rest = F.least(F.col("size") - F.col("pos"), F.col("leader.size") - F.col("leader.pos"))
+    near = lists.filter(_reaches(rest, F.col("size"), F.col("leader.size"), percent))
     votes = near.groupBy(F.col("leader.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("votes"))
     pairs = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
     found = _overlaps(pairs.select("a", "b"), sets, percent)
     return found.filter(_reaches(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent))
 
 
-def _second_round(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _left_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) from different components that some list leaves possible."""
     own = postings.join(labels.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     blocks = own.groupBy("token", "component").agg(F.min("pos").alias("min_pos"), F.min("size").alias("min_size"), F.max("size").alias("max_size"))
@@ -195,16 +198,18 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int
     """
     rows = C.stored(indexed_sets(docs, width, percent), "shingle-sets")
     found = rows.filter("shared IS NOT NULL").select(F.col("signature").alias("node"), F.col("n_shingles").cast("int").alias("size"), "prefix", "shared")
-    postings = C.kept_small(found.select("node", "size", F.explode("prefix").alias("p")).select("p.token", "node", "size", "p.pos").distinct())
-    sets = found.groupBy("node", "size").agg(F.first("shared").alias("shared"))
+    n_unique = (F.col("size") - F.size("shared")).alias("n_unique")
+    postings = found.select("node", "size", n_unique, F.explode("prefix").alias("p")).select("p.token", "node", "size", "n_unique", "p.pos")
+    postings = C.kept_small(postings.groupBy("token", "node", "size", "pos").agg(F.min("n_unique").alias("n_unique")))
+    sets = C.stored(found.groupBy("node", "size").agg(F.first("shared").alias("shared")), "shared-shingles")
 
-    near = C.kept_small(_first_round(postings, sets, percent))
+    near = C.kept_small(_leader_links(postings, sets, percent))
     labels = C.kept_small(components(near.select("a", "b")))
     # Each set's leader, itself if it has none, and how many of its shingles the leader lacks.
     led = near.select(F.col("b").alias("node"), F.col("a").alias("leader"), (F.col("size_b") - F.col("overlap")).alias("apart"))
     sizes = postings.select("node", "size").distinct()
     leaders = sizes.join(led, "node", "left").select("node", "size", F.coalesce("leader", "node").alias("leader"), F.coalesce("apart", F.lit(0)).alias("apart"))
-    more = _answers(_second_round(postings, labels, percent), leaders, sets, percent)
+    more = _answers(_left_pairs(postings, labels, percent), leaders, sets, percent)
 
     of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
     of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
