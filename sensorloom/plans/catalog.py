@@ -52,8 +52,8 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, as sums in another order differ in the last bits."""
-    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    """Doubles rounded, as sums in another order differ in the last bits; -0 becomes 0."""
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def d(x: Column | str, name: str) -> Column:

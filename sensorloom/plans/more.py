@@ -2,10 +2,185 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sensorloom.functions import signals as fn
+from sensorloom.operators import dsp, series
+from sensorloom.plans.catalog import _SAMPLES_SQL, KEYS, ORDER, rounded, samples
+from sensorloom.sources import logs
+from sensorloom.streaming import sessions
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+_RECURSIVE = _SAMPLES_SQL.replace("WITH s AS", "WITH RECURSIVE s AS")
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql.replace("$S", _SAMPLES_SQL).replace("$R", _RECURSIVE)
+        return f
+
+    return register
+
+
+def _ema_sql(output: str, alpha: float) -> str:
+    return f"""$R, r AS (SELECT user_id, idx, event_id, value AS x, value AS y FROM s WHERE idx = 0
+    UNION ALL SELECT s.user_id, s.idx, s.event_id, s.value, r.y + {alpha} * (s.value - r.y) FROM r JOIN s ON s.user_id = r.user_id AND s.idx = r.idx + 1)
+    SELECT event_id, round({output}, 6) + 0.0 AS y FROM r"""
+
+
+@query("f01_dc_blocker", _ema_sql("x - y", 0.05))
+def _(spark, d_):
+    return rounded(dsp.filtered(samples(spark, d_), KEYS, ORDER, "value", lambda x: dsp.dc_blocked(x, 0.05), "event_id"))
+
+
+@query("f02_low_pass", _ema_sql("y", 0.18))
+def _(spark, d_):
+    return rounded(dsp.filtered(samples(spark, d_), KEYS, ORDER, "value", lambda x: dsp.ema(x, 0.18), "event_id"))
+
+
+@query(
+    "f04_preprocess",
+    """$R, r AS (SELECT user_id, idx, event_id, value AS d, CAST(0 AS DOUBLE) AS z FROM s WHERE idx = 0
+    UNION ALL SELECT s.user_id, s.idx, s.event_id, r.d + 0.0025 * (s.value - r.d), r.z + 0.18 * (s.value - (r.d + 0.0025 * (s.value - r.d)) - r.z) FROM r JOIN s ON s.user_id = r.user_id AND s.idx = r.idx + 1)
+    SELECT event_id, round(z, 6) + 0.0 AS y FROM r""",
+)
+def _(spark, d_):
+    return rounded(dsp.filtered(samples(spark, d_), KEYS, ORDER, "value", lambda x: dsp.preprocessed(x, **dsp.PPG), "event_id"))
+
+
+@query(
+    "f06_ppg_peaks",
+    """$R, r AS (SELECT user_id, idx, value AS p1, CAST(0 AS DOUBLE) AS p2, ts_us AS t1, 0.995 + 0.005 * value AS env, CAST(0 AS BIGINT) AS last_us, false AS hit, CAST(0 AS DOUBLE) AS amp FROM s WHERE idx = 0
+    UNION ALL SELECT user_id, idx, x, p1, t, e, CASE WHEN hit THEN t1 ELSE last_us END, hit, p1 FROM (
+      SELECT s.user_id, s.idx, s.value AS x, s.ts_us AS t, r.p1, r.t1, r.last_us, 0.995 * r.env + 0.005 * s.value AS e,
+        s.idx >= 2 AND r.p1 > r.p2 AND r.p1 >= s.value AND r.p1 > (0.995 * r.env + 0.005 * s.value) * 0.45 AND (r.last_us = 0 OR r.t1 - r.last_us >= 280000) AS hit
+      FROM r JOIN s ON s.user_id = r.user_id AND s.idx = r.idx + 1))
+    SELECT user_id, last_us AS peak_us, amp AS amplitude FROM r WHERE hit""",
+)
+def _(spark, d_):
+    return dsp.session_peaks(samples(spark, d_), KEYS, ORDER, "ts_us", "value", dsp.PPG)
+
+
+@query("f07_r_peaks")
+def _(spark, d_):
+    centred = samples(spark, d_).withColumn("x", F.col("value") - 70)
+    return dsp.session_peaks(centred, KEYS, ORDER, "ts_us", "x", dsp.ECG)
+
+
+@query("f12_biquad_cascade")
+def _(spark, d_):
+    sections = dsp.butterworth_sections("low", 4, 20.0, 200.0)
+    return rounded(dsp.filtered(samples(spark, d_), KEYS, ORDER, "value", lambda x: dsp.cascade(x, sections), "event_id"))
+
+
+@query("f15_zero_phase")
+def _(spark, d_):
+    sections = dsp.butterworth_sections("low", 4, 20.0, 200.0)
+    return rounded(dsp.filtered(samples(spark, d_), KEYS, ORDER, "value", lambda x: dsp.zero_phase(x, sections), "event_id"))
+
+
+@query(
+    "f23_forward_mean4",
+    """$S, n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, sum(raw) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS t FROM s)
+    SELECT event_id, CAST(CASE WHEN idx < n - 4 THEN t // 4 ELSE raw END AS DOUBLE) AS y FROM n""",
+)
+def _(spark, d_):
+    return dsp.filtered(samples(spark, d_), KEYS, ORDER, "raw", lambda x: dsp.forward_mean4(x).astype(float), "event_id")
+
+
+# ------------------------------------------------------------- sources and sinks
+def _records(spark, d_) -> DataFrame:
+    c = F.col
+    return samples(spark, d_).select(
+        F.lit(2).alias("schema"), F.when(c("event_type") == "view", 1).otherwise(2).alias("record_type"), c("ts_us").alias("timestamp_us"), c("event_id").alias("sequence"),
+        c("raw").cast("int").alias("value_a"), c("ir").cast("int").alias("value_b"), c("bad").cast("int").alias("flags"),
+    )
+
+
+@query(
+    "s08_binary_log",
+    """$S SELECT CAST(CASE WHEN event_type = 'view' THEN 1 ELSE 2 END AS INTEGER) AS record_type, ts_us AS timestamp_us, event_id AS sequence, CAST(raw AS INTEGER) AS value_a, CAST(ir AS INTEGER) AS value_b,
+    CAST(CASE WHEN bad THEN 1 ELSE 0 END AS INTEGER) AS flags FROM s""",
+)
+def _(spark, d_):
+    return logs.decode_frames(logs.encode_frames(_records(spark, d_))).drop("schema")
+
+
+@query(
+    "s05_batch_timestamps",
+    """$S, b AS (SELECT *, 1 + event_id % 4 AS n, greatest(0, first_value(ts_us - (event_id % 4) * 5000) OVER (PARTITION BY user_id ORDER BY idx)) AS t0 FROM s),
+    c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+    SELECT event_id, CAST(k AS INTEGER) AS sample, CAST(t0 + (before + k) * 5000 AS BIGINT) AS timestamp_us FROM c, range(0, 4) r(k) WHERE k < n""",
+)
+def _(spark, d_):
+    batches = samples(spark, d_).withColumn("n", 1 + F.col("event_id") % 4)
+    return logs.batch_timestamps(batches, KEYS, ORDER, "ts_us", "n", 5000).select("event_id", "sample", "timestamp_us")
+
+
+@query("s15_serial_lines", "$S SELECT ts_us AS timestamp_us, raw AS ecg_raw, red AS red_raw, ir AS ir_raw FROM s WHERE NOT bad")
+def _(spark, d_):
+    line = F.when(F.col("bad"), F.concat_ws(",", F.lit("LOG"), "ts_us")).when(F.col("event_id") % 2 == 0, F.concat_ws(",", F.lit("S"), "ts_us", "raw", "red", "ir"))
+    return logs.parse_serial(samples(spark, d_).select(line.otherwise(F.concat_ws(",", F.lit("SAMPLE"), "ts_us", "event_id", "raw", "red", "ir")).alias("value")))
+
+
+@query(
+    "k03_result_fan_out",
+    """$S, g AS (SELECT user_id, count(*) AS n, max(raw) AS top, count(*) FILTER (WHERE bad) AS nb FROM s GROUP BY user_id)
+    SELECT user_id, 32 AS record_type, CAST(n AS DOUBLE) AS value FROM g UNION ALL SELECT user_id, 33, CAST(top AS DOUBLE) FROM g UNION ALL SELECT user_id, 34, CAST(nb AS DOUBLE) FROM g""",
+)
+def _(spark, d_):
+    g = samples(spark, d_).groupBy("user_id").agg(F.count("*").alias("n"), F.max("raw").alias("top"), F.count(F.when(F.col("bad"), 1)).alias("nb"))
+    return logs.fanned_out(g, ["user_id"], {32: F.col("n"), 33: F.col("top"), 34: F.col("nb")})
+
+
+@query(
+    "k08_telemetry",
+    """$S, g AS (SELECT user_id, count(*) AS n, CASE WHEN count(*) FILTER (WHERE bad) > 12 THEN NULL ELSE max(raw) END AS top FROM s GROUP BY user_id)
+    SELECT user_id, to_json({'user_id': user_id, 'n': n, 'top': top}) AS body FROM g""",
+)
+def _(spark, d_):
+    g = samples(spark, d_).groupBy("user_id").agg(F.count("*").alias("n"), F.when(F.count(F.when(F.col("bad"), 1)) > 12, F.lit(None)).otherwise(F.max("raw")).alias("top"))
+    return logs.telemetry(g, ["user_id", "n", "top"]).select("user_id", "body")
+
+
+# ------------------------------------------------------------------- streaming
+@query(
+    "r03_late_samples",
+    """$S, l AS (SELECT event_id, user_id, coalesce(ts_us <= max(ts_us) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM s)
+    SELECT user_id, count(*) AS n, count(*) FILTER (WHERE late) AS n_late FROM l GROUP BY user_id""",
+)
+def _(spark, d_):
+    w = series.ordered(["user_id"], ["event_id"]).rowsBetween(-(1 << 31), -1)
+    late = F.coalesce(F.col("ts_us") <= F.max("ts_us").over(w), F.lit(False))
+    return samples(spark, d_).withColumn("late", late).groupBy("user_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("late"), 1)).alias("n_late"))
+
+
+@query("r09_session_states")
+def _(spark, d_):
+    c = F.col
+    events = samples(spark, d_).select(c("user_id").alias("session"), (c("ts_us") / 100000).cast("long").alias("timestamp_us"), (~c("bad")).alias("contact"), (c("event_type") == "signup").alias("start"))
+    return sessions.state_batch(events)
+
+
+@query(
+    "v08_smoothed_votes",
+    """$S SELECT a.event_id, CAST(count(*) AS INTEGER) AS votes FROM s a JOIN s b ON a.user_id = b.user_id AND b.idx BETWEEN a.idx - 4 AND a.idx AND a.event_type = b.event_type GROUP BY a.event_id""",
+)
+def _(spark, d_):
+    w = series.ordered(KEYS, ORDER).rowsBetween(-4, 0)
+    return samples(spark, d_).select("event_id", fn.smoothed_votes(F.col("event_type"), w).alias("votes"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
