@@ -30,34 +30,34 @@ def query(name: str, sql: str | None = None):
 
 
 def _ema_sql(output: str, alpha: float) -> str:
-    return f"""$R, r AS (SELECT user_id, idx, event_id, value / 7 AS x, value / 7 AS y FROM s WHERE idx = 0
-    UNION ALL SELECT s.user_id, s.idx, s.event_id, s.value / 7, r.y + {alpha} * (s.value / 7 - r.y) FROM r JOIN s ON s.user_id = r.user_id AND s.idx = r.idx + 1)
+    return f"""$R, r AS (SELECT user_id, idx, event_id, value * 0.7310585786e0 AS x, value * 0.7310585786e0 AS y FROM s WHERE idx = 0
+    UNION ALL SELECT s.user_id, s.idx, s.event_id, s.value * 0.7310585786e0, r.y + {alpha} * (s.value * 0.7310585786e0 - r.y) FROM r JOIN s ON s.user_id = r.user_id AND s.idx = r.idx + 1)
     SELECT event_id, round({output}, 6) + 0.0 AS y FROM r"""
 
 
-def _sevenths(spark, d_) -> DataFrame:
-    """Sevenths have no short decimals, so no rounded result is a tie."""
-    return samples(spark, d_).withColumn("x", F.col("value") / 7)
+def _scaled(spark, d_) -> DataFrame:
+    """Scaled to values without short decimals, so that no rounded result is a tie."""
+    return samples(spark, d_).withColumn("x", F.col("value") * 0.7310585786)
 
 
 @query("f01_dc_blocker", _ema_sql("x - y", 0.05))
 def _(spark, d_):
-    return rounded(dsp.filtered(_sevenths(spark, d_), KEYS, ORDER, "x", lambda x: dsp.dc_blocked(x, 0.05), "event_id"))
+    return rounded(dsp.filtered(_scaled(spark, d_), KEYS, ORDER, "x", lambda x: dsp.dc_blocked(x, 0.05), "event_id"))
 
 
 @query("f02_low_pass", _ema_sql("y", 0.18))
 def _(spark, d_):
-    return rounded(dsp.filtered(_sevenths(spark, d_), KEYS, ORDER, "x", lambda x: dsp.ema(x, 0.18), "event_id"))
+    return rounded(dsp.filtered(_scaled(spark, d_), KEYS, ORDER, "x", lambda x: dsp.ema(x, 0.18), "event_id"))
 
 
 @query(
     "f04_preprocess",
-    """$R, r AS (SELECT user_id, idx, event_id, value / 7 AS d, CAST(0 AS DOUBLE) AS z FROM s WHERE idx = 0
-    UNION ALL SELECT s.user_id, s.idx, s.event_id, r.d + 0.0025 * (s.value / 7 - r.d), r.z + 0.18 * (s.value / 7 - (r.d + 0.0025 * (s.value / 7 - r.d)) - r.z) FROM r JOIN s ON s.user_id = r.user_id AND s.idx = r.idx + 1)
+    """$R, r AS (SELECT user_id, idx, event_id, value * 0.7310585786e0 AS d, CAST(0 AS DOUBLE) AS z FROM s WHERE idx = 0
+    UNION ALL SELECT s.user_id, s.idx, s.event_id, r.d + 0.0025 * (s.value * 0.7310585786e0 - r.d), r.z + 0.18 * (s.value * 0.7310585786e0 - (r.d + 0.0025 * (s.value * 0.7310585786e0 - r.d)) - r.z) FROM r JOIN s ON s.user_id = r.user_id AND s.idx = r.idx + 1)
     SELECT event_id, round(z, 6) + 0.0 AS y FROM r""",
 )
 def _(spark, d_):
-    return rounded(dsp.filtered(_sevenths(spark, d_), KEYS, ORDER, "x", lambda x: dsp.preprocessed(x, **dsp.PPG), "event_id"))
+    return rounded(dsp.filtered(_scaled(spark, d_), KEYS, ORDER, "x", lambda x: dsp.preprocessed(x, **dsp.PPG), "event_id"))
 
 
 @query(
