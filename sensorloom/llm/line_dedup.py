@@ -101,22 +101,21 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_documents: int
     dropped = lines.join(recurring, ["leaf", "content"]).filter("doc_id <> first_doc")
     gone = dropped.groupBy(*_KEY).agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
+    # Rows as structs, so that no column name of theirs can clash.
+    names = [c for c in docs.columns if c != "line_dedup"]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).join(gone, _KEY, "left")
+    own = {c: F.col("row").getField(c) for c in names}
+
     # The runs of lines between the dropped ones, so that no line is looked up in a set.
-    text_lines = F.split("text", "\n", -1)
+    text_lines = F.split(own["text"], "\n", -1)
     before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.element_at("gone", i))
     after = lambda i: F.when(i == F.size("gone"), F.size(text_lines)).otherwise(F.element_at("gone", i + 1))
     runs = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda i: F.slice(text_lines, before(i) + 2, after(i) - before(i) - 1))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    text = F.when(F.col("gone").isNull(), own["text"]).otherwise(F.array_join(F.flatten(runs), "\n"))
     counts = F.struct(
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(text_lines)).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped")
+        F.when(own["text"].isNull(), 0).otherwise(F.size(text_lines)).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped")
     )
-    names = [c for c in docs.columns if c != "line_dedup"]
-    flagged = docs.withColumn("text_hash", F.xxhash64("text")) if "text_hash" not in names else docs
-    if "text_hash" in names:  # a column of that name is kept aside
-        flagged = docs.withColumnRenamed("text_hash", "_own_text_hash").withColumn("text_hash", F.xxhash64("text"))
-    joined = flagged.join(gone, _KEY, "left")
-    value = {"text": text, "text_hash": F.col("_own_text_hash")} if "text_hash" in names else {"text": text}
-    return joined.select(*[value.get(c, F.col(c)).alias(c) for c in names], counts.alias("line_dedup"))
+    return rows.select(*[(text if c == "text" else own[c]).alias(c) for c in names], counts.alias("line_dedup"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
