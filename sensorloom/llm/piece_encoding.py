@@ -166,6 +166,8 @@ class Encoder:
         return out
 
     def _encode_segments(self, segments: list[str]) -> dict[str, bytes]:
+        if not segments:
+            return {}
         v, raw = self.v, [s.encode("utf-8", "surrogatepass") for s in segments]
         sizes = np.array([len(x) for x in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
