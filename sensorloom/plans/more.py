@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.functions import signals as fn
-from sensorloom.operators import dsp, series
+from sensorloom.operators import dsp, oxygen, series, waveforms
 from sensorloom.plans.catalog import _SAMPLES_SQL, KEYS, ORDER, rounded, samples
 from sensorloom.sources import logs
 from sensorloom.streaming import sessions
@@ -100,6 +100,22 @@ def _(spark, d_):
     return dsp.filtered(samples(spark, d_), KEYS, ORDER, "raw", lambda x: dsp.forward_mean4(x).astype(float), "event_id")
 
 
+@query("f14_look_ahead_peaks")
+def _(spark, d_):
+    def find(rows):
+        return rows.iloc[waveforms.look_ahead_peaks(rows["value"].to_numpy(), rows.index.to_numpy(), 2, 5.0, 4)][["event_id", "value"]]
+
+    return dsp.over_sessions(samples(spark, d_).select("user_id", "ts_us", "event_id", "value"), KEYS, ORDER, find, "event_id long, value double")
+
+
+@query("o05_oxygen")
+def _(spark, d_):
+    """Sessions of the last digit of the user, as single users have too few samples."""
+    c = F.col
+    rows = samples(spark, d_).select((c("user_id") % 10).alias("user_id"), "ts_us", "event_id", (c("raw") + 60000).alias("ir"), (F.floor(c("raw") / 2) + 40000).alias("red"))
+    return oxygen.session_oxygen(rows, KEYS, ORDER, "ir", "red")
+
+
 # ------------------------------------------------------------- sources and sinks
 def _records(spark, d_) -> DataFrame:
     c = F.col

@@ -150,3 +150,55 @@ def test_empty_inputs(spark):
     assert intervals.stress_features(empty, ["k"], ["i"], "v").count() == 0
     assert series.runs(empty, ["k"], ["i"], "v").count() == 0
     assert series.count_windows(empty, ["k"], ["i"], 10, 5).count() == 0
+
+
+def test_oxygen_of_the_synthetic_fixture():
+    from sensorloom.operators import oxygen
+
+    t = np.arange(800)
+    red, ir = (40000 + 500 * np.sin(2 * np.pi * t / 40)).astype(np.int64), (60000 + 1200 * np.sin(2 * np.pi * t / 40)).astype(np.int64)
+    red, ir = ((x[::2] + x[1::2] + 1) // 2 for x in (red, ir))
+    got = oxygen.evaluate(ir, red)
+    assert got["status"] == "ok" and got["percent"] == 96
+    assert oxygen.evaluate(ir[:399], red[:399])["status"] == "not_ready" and oxygen.evaluate(ir, red, good=False)["status"] == "quality_rejected"
+    ir[10] = 300_000
+    assert oxygen.evaluate(ir, red)["status"] == "out_of_range"
+    assert oxygen.TABLE[[0, 20, 33, 44, 100, 182, 183]].tolist() == [95, 99, 100, 99, 80, 1, 0]
+
+
+def test_bandpass_and_peaks():
+    from sensorloom.operators import waveforms as w
+
+    s = w.bandpass_sections(4, 0.5, 4.0, 64)
+
+    def gain(f):
+        z = np.exp(-2j * np.pi * f / 64)
+        return abs(np.prod([(b0 + b1 * z + b2 * z * z) / (1 + a1 * z + a2 * z * z) for b0, b1, b2, a1, a2 in s]))
+
+    assert len(s) == 4 and gain(0.5) == pytest.approx(np.sqrt(0.5), abs=1e-6) and gain(4.0) == pytest.approx(np.sqrt(0.5), abs=1e-6)
+    assert gain(1.5) == pytest.approx(1, abs=1e-2) and gain(0.05) < 1e-3 and gain(20) < 1e-3
+    x = np.array([0, 1, 0, 3, 3, 0, 2, 1, 2.5, 0])
+    assert w.find_peaks(x).tolist() == [1, 3, 6, 8] and w.find_peaks(x, height=2.2).tolist() == [3, 8]
+    assert w.find_peaks(x, distance=3).tolist() == [3, 8] and w.find_peaks(x, prominence=1.5).tolist() == [3, 8]
+    assert w.look_ahead_peaks(x, np.arange(10), 1, 0.5, 4).tolist() == [1, 6]
+    with pytest.raises(ValueError):
+        w.look_ahead_peaks(x, np.zeros(10), 1, 0.5, 4)
+
+
+def test_pulse_window_features():
+    from sensorloom.operators import waveforms as w
+
+    t = np.arange(3840) / 64
+    features, reason = w.window_features(np.sin(2 * np.pi * 1.25 * t))
+    assert reason == "" and features["mean_hr_bpm"] == pytest.approx(75, abs=1) and features["valid_rr_ratio"] > 0.95 and len(features) == 20
+    assert w.window_features(np.ones(3840)) == (None, "flat") and w.window_features(t[:10])[1] == "wrong_length"
+    assert w.window_features(np.where(t < 5, np.nan, t))[1] == "too_many_gaps"
+
+
+def test_r_peaks_of_a_spike_train():
+    from sensorloom.operators import waveforms as w
+
+    x = np.zeros(5000)
+    x[250::500] = 100
+    assert w.r_peaks(x, x, 500.0).tolist() == list(range(250, 5000, 500))
+    assert w.r_peaks(np.zeros(100), np.zeros(100), 500.0).tolist() == []
