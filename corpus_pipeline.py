@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sensorloom.llm import common, decontamination, jaccard_join, language_id, line_dedup, piece_encoding
 
 #: A document stays if at least this share of its letters is in spans of its main language.
-MIN_LANGUAGE_SHARE = 0.5
+MIN_LANGUAGE_SHARE = 0.35
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
