@@ -16,7 +16,7 @@ def test_stages(spark, small):
         given = kept
     spoken, lines, groups, clean = tables
     labels = {r["doc_id"]: r for r in language_id.identify_languages(docs, language_id.train(docs)).collect()}
-    assert {r[0] for r in spoken.select("doc_id").collect()} == {i for i, r in labels.items() if r["lang_pred"] != "und" and r["score"] >= 0.5}
+    assert {r[0] for r in spoken.select("doc_id").collect()} == {i for i, r in labels.items() if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.MIN_LANGUAGE_SHARE}
     leaders = {r["doc_id"] for r in jaccard_join.jaccard_components(lines).filter("doc_id = component_id").collect()}
     assert {r[0] for r in groups.select("doc_id").collect()} == leaders
     items = [" ".join(r["text"].lower().split()) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]

@@ -65,6 +65,28 @@ def test_many_small_chunks(edge_docs, edge_rows, monkeypatch):
     assert as_rows(remove_earlier_strings(edge_docs)) == brute_strings(edge_rows, 50)
 
 
+def test_steps_within_texts(edge_docs, edge_rows, monkeypatch):
+    from sensorloom.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 700)
+    texts = [(t or "").encode() for _, t in edge_rows]
+    short, (one, two) = suffix_dedup.Segments(texts, 50), (suffix_dedup.Segments([x], 50) for x in texts[:2])
+    monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 1 << 17)
+    whole = suffix_dedup.Segments(texts, 50)
+    expand = lambda s: sorted({(int(p), int(h)) for a, n, h in zip(s.start, s.windows, s.sample, strict=True) for p in range(a, a + n)})
+    assert expand(short) == expand(whole) and one.windows.sum() == max(0, len(texts[0]) - 49) and two.windows.sum() == max(0, len(texts[1]) - 49)
+
+
+def test_row_order_does_not_matter():
+    import pyarrow as pa
+
+    from sensorloom.llm.suffix_dedup import _in_order
+
+    rows = [(2, "b"), (1, None), (None, "c"), (1, "a"), (2, "a")]
+    tables = [pa.table({"doc_id": [i for i, _ in r], "text": [t for _, t in r]}) for r in (rows, rows[::-1])]
+    assert _in_order(tables[0]) == _in_order(tables[1])
+
+
 def test_empty(no_docs):
     assert remove_repeated_windows(no_docs).count() == 0 and remove_earlier_strings(no_docs).count() == 0
 
