@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 #: Bytes of text in a chunk, and values in a shard, on average.
 CHUNK_BYTES = 4 << 20
 SHARD_VALUES = 2 << 20
+#: Rows of a partition of a checkpointed table.
+PARTITION_ROWS = 100_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31, _S32 = (np.uint64(n) for n in (30, 27, 31, 32))
@@ -53,9 +55,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def kept_small(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint."""
+    """``df`` with its lineage cut by a reliable checkpoint, in as many
+    partitions as its rows need, so that small tables make few shuffle files."""
     scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    return kept.coalesce(max(1, math.ceil(kept.count() / PARTITION_ROWS)))
 
 
 # ------------------------------------------------------------------- chunks

@@ -223,7 +223,8 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int
 
     of_doc = rows.select("doc_id", "n_shingles", F.col("signature").alias("node")).join(labels, "node", "left")
     of_doc = of_doc.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
-    smallest = of_doc.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Kept apart from the join, so that a component with very many documents can be split there.
+    smallest = C.kept_small(of_doc.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return of_doc.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
