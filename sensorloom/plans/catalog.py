@@ -626,12 +626,12 @@ _QUERIES["flagship"] = flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from sensorloom.plans import extra, more
+    from sensorloom.plans import extra, more, rest
 
-    return _QUERIES | more.queries() | extra.queries()
+    return _QUERIES | more.queries() | extra.queries() | rest.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from sensorloom.plans import extra, more
+    from sensorloom.plans import extra, more, rest
 
-    return _SQL | more.oracle_sql() | extra.oracle_sql()
+    return _SQL | more.oracle_sql() | extra.oracle_sql() | rest.oracle_sql()

@@ -135,5 +135,5 @@ def synthetic_ppg(spark: SparkSession, n: int, period: int = 40) -> DataFrame:
     angle = 2 * np.pi * F.pmod(F.col("id"), F.lit(period)) / period
     return spark.range(n).select(
         ((F.col("id") + 1) * 5000).alias("timestamp_us"), F.col("id").alias("seq"),
-        F.expr("CAST(40000 AS DOUBLE)").__add__(500 * F.sin(angle)).cast("long").alias("red"), (60000 + 1200 * F.sin(angle)).cast("long").alias("ir"),
+        (40000 + 500 * F.sin(angle)).cast("long").alias("red"), (60000 + 1200 * F.sin(angle)).cast("long").alias("ir"),
     )

@@ -202,3 +202,31 @@ def test_r_peaks_of_a_spike_train():
     x[250::500] = 100
     assert w.r_peaks(x, x, 500.0).tolist() == list(range(250, 5000, 500))
     assert w.r_peaks(np.zeros(100), np.zeros(100), 500.0).tolist() == []
+
+
+def test_sinks(spark, tmp_path):
+    from sensorloom.sources import sinks
+
+    df = spark.createDataFrame([(1, "a", 1.5), (2, "b", float("nan")), (3, "a", None)], "i long, split string, v double")
+    sinks.write_csv(df, str(tmp_path / "csv"))
+    assert logs.read_csv(spark, str(tmp_path / "csv"), "i long, split string, v double").count() == 3
+    sinks.write_partitioned(df, str(tmp_path / "parts"), "split")
+    assert {p.name for p in (tmp_path / "parts").iterdir() if p.is_dir()} == {"split=a", "split=b"} and spark.read.parquet(str(tmp_path / "parts")).count() == 3
+    sinks.write_summary(df, str(tmp_path / "json"))
+    assert spark.read.schema("i long, v double").json(str(tmp_path / "json")).filter("v IS NULL").count() == 2
+    send = sinks.upload_batches(str(tmp_path / "up"))
+    for _ in range(2):
+        send(df, 7)
+    assert spark.read.parquet(str(tmp_path / "up")).count() == 3
+
+
+def test_binary_files(spark, tmp_path):
+    records = pd.DataFrame({"schema": 2, "record_type": [1, 2], "timestamp_us": [5, 6], "sequence": [6, 7], "value_a": [-7, 1], "value_b": [8, 9], "flags": [9, 0]})
+    (tmp_path / "x.bin").write_bytes(logs.encoded(records))
+    assert logs.read_binary_logs(spark, str(tmp_path / "*.bin")).toPandas().equals(records.astype({c: "int32" for c in ("schema", "record_type", "value_a", "value_b", "flags")}))
+
+
+def test_windowed_means(spark):
+    rows = spark.createDataFrame([(1_000_000, 1.0), (1_500_000, 3.0), (61_000_000, 5.0)], "t long, v double")
+    got = sessions.windowed_means(rows, "t", "v", "60 seconds", "60 seconds", "10 seconds").select("n", "mean").collect()
+    assert sorted(map(tuple, got)) == [(1, 5.0), (2, 2.0)]
