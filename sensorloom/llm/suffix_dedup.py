@@ -33,72 +33,77 @@ from . import common as C
 
 LENGTH = 50
 #: Bytes handled at once in a chunk, so that arrays stay in the processor's cache.
-STEP_BYTES = 1 << 18
+STEP_BYTES = 1 << 17
 
 _POWERS = C.Powers(0x9E3779B97F4A7C15), C.Powers(0xD1B54A32D192ED03)
 _BYTES = C.mixed(np.arange(1, 257, dtype=np.uint64)), C.mixed(np.arange(1001, 1257, dtype=np.uint64))
 _PLACE = np.uint64(0xD6E8FEB86659FD93)
+#: The low bits of a hash that hold a place within a step.
+_PLACES = np.uint64((1 << 19) - 1)
 #: Stands for a null doc_id, which is smaller than none.
 _NO_ID = np.iinfo(np.int64).max
 
 
 class Segments:
-    """The segments of a chunk's texts, in the order of the texts."""
+    """The segments of a chunk's texts, in the order of the texts.
 
-    def __init__(self, texts: list[bytes], length: int):
+    The texts are worked through in steps of STEP_BYTES window starts, so a long
+    text takes no more memory than short ones.  A segment that a step cuts is
+    two, which costs a few windows in round 3 and changes no result.
+    """
+
+    def __init__(self, texts: list[bytes], length: int, with_segment: bool = True):
         self.length = length
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.ends = np.cumsum(self.sizes)
         self.data = b"".join(texts)
-        parts, a = [], 0
-        while a < len(texts):
-            b, size = a, 0
-            while b < len(texts) and (size < STEP_BYTES or b == a):
-                size += len(texts[b])
-                b += 1
-            base = int(self.ends[a] - self.sizes[a])
-            parts.append(self._part(base, base + size, self.sizes[a:b]))
-            a = b
         none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts = [self._part(a, with_segment) for a in range(0, max(0, len(self.data) - length + 1), STEP_BYTES)]
         self.sample, self.segment, self.start, self.windows = (np.concatenate(c) for c in zip(none, *parts, strict=True))
         self.text = np.searchsorted(self.ends, self.start, "right")
 
-    def _part(self, base: int, stop: int, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _part(self, base: int, with_segment: bool) -> tuple[np.ndarray, ...]:
         length, half = self.length, self.length // 2
-        data = np.frombuffer(self.data, np.uint8, stop - base, base)
-        n, n_windows = len(data), len(data) - length + 1
-        if n_windows <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        hashes = C.mixed(C.window_sums(_BYTES[0][data], half, _POWERS[0]))
-        # The leftmost least hash of each window, from spans that double.
-        least, at, span, wide = hashes, np.arange(len(hashes), dtype=np.int32), 1, length - half + 1
+        n_windows = min(STEP_BYTES, len(self.data) - length + 1 - base)
+        data = np.frombuffer(self.data, np.uint8, n_windows + length - 1, base)
+        hashes = C.window_sums(_BYTES[0][data], half, _POWERS[0])
+        hashes ^= hashes >> np.uint64(32)
+        hashes *= np.uint64(0xBF58476D1CE4E5B9)
+        # The leftmost least hash of each window, from spans that double; a place fits in the bits that its hash leaves.
+        least, span, wide = (hashes & ~_PLACES) | np.arange(len(hashes), dtype=np.uint64), 1, length - half + 1
         while span < wide:
             step = min(span, wide - span)
-            later = least[step:] < least[:-step]
-            at = np.where(later, at[step:], at[:-step])
-            least = np.where(later, least[step:], least[:-step])
+            least = np.minimum(least[step:], least[:-step])
             span += step
-        last = np.repeat(np.cumsum(sizes) - length, sizes)[:n_windows]
-        window = np.flatnonzero(np.arange(n_windows) <= last)
-        if not len(window):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = at[window].astype(np.int64)
+        inside = np.ones(n_windows, bool)
+        for end in self.ends[np.searchsorted(self.ends, base) : np.searchsorted(self.ends, base + n_windows + length, "right")].tolist():
+            inside[max(0, end - length + 1 - base) : max(0, end - base)] = False
+        window = np.flatnonzero(inside)
+        place = (least[window] & _PLACES).astype(np.int64)
         new = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(window, prepend=-2) != 1))
         start = window[new]
         windows = np.diff(np.append(new, len(window)))
-        end = start + windows - 1 + length
-        up, down = _POWERS[1].get(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[1][data] * up[:n], out=total[1:])
-        inside = (place[new] - start).astype(np.uint64) << np.uint64(32) | windows.astype(np.uint64)
-        segment = C.mixed((total[end] - total[start]) * down[start] + inside * _PLACE)
-        return hashes[place[new]], segment, start + base, windows
+        segment = np.zeros(len(new), np.uint64)
+        if with_segment and len(new):
+            end = start + windows - 1 + length
+            up, down = _POWERS[1].get(len(data) + 1)
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTES[1][data] * up[: len(data)], out=total[1:])
+            shape = (place[new] - start).astype(np.uint64) << np.uint64(32) | windows.astype(np.uint64)
+            segment = C.mixed((total[end] - total[start]) * down[start] + shape * _PLACE)
+        return C.mixed(hashes[place[new]]), segment, start + base, windows
 
     def bytes_of(self, which: np.ndarray) -> bytes:
         size = self.windows[which] + self.length - 1
         return b"".join([self.data[a : a + n] for a, n in zip(self.start[which].tolist(), size.tolist(), strict=True)])
 
 
+def _in_order(table: pa.Table) -> pa.Table:
+    """A chunk's rows in an order of their own: steps cut segments at places that
+    hang on it, and a shuffle gives rows in any order each time."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def _doc_ids(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").fill_null(_NO_ID).to_numpy()
 
@@ -108,7 +113,7 @@ class _Chunk:
 
     def __init__(self, table: pa.Table, sketch: C.Sketch, length: int, answers: pa.Table | None = None):
         self.ids = _doc_ids(table)
-        s = self.segments = Segments(C.texts_of(table), length)
+        s = self.segments = Segments(C.texts_of(table), length, with_segment=answers is not None)
         self.cells, of, self.counts = np.unique(sketch.cells(s.sample), return_inverse=True, return_counts=True)
         if answers is None:
             return
@@ -142,18 +147,18 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: boo
     n_bytes = C.text_bytes(docs)
     sketch = C.Sketch(n_bytes / 12)
     shards = C.shard_count(n_bytes / 4)
-    chunks = C.chunked(docs, C.chunk_count(n_bytes))
+    chunks = C.chunked(docs, C.chunk_count(2 * n_bytes))
     by_chunk = chunks.groupBy("chunk")
 
     def sketched(table: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, sketch, length)
+        chunk = _Chunk(_in_order(table), sketch, length)
         return sketch.rows(table.column("chunk")[0].as_py(), chunk.cells, chunk.counts)
 
     one = sketch.merged(by_chunk.applyInArrow(sketched, C.PART_SCHEMA))
     answers_1 = one.select("chunk", F.lit(1).alias("kind"), "shard", "counts", F.lit(None).cast("binary").alias("firsts"))
 
     def pairs(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        c = _Chunk(table, sketch, length, answers)
+        c = _Chunk(_in_order(table), sketch, length, answers)
         return C.digest_rows(key[0].as_py(), c.segments.sample[c.at], c.segments.segment[c.at], {"ids": c.smallest}, shards)
 
     def rank_pairs(table: pa.Table) -> pa.Table:
@@ -183,7 +188,7 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: boo
     answers_2 = answers_1.unionByName(pair_rows.groupBy("shard").applyInArrow(rank_pairs, answer_schema))
 
     def windows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        c = _Chunk(table, sketch, length, answers)
+        c = _Chunk(_in_order(table), sketch, length, answers)
         if not hasattr(c, "several") or not len(c.several):
             return pa.table({"shard": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "sizes": pa.array([], pa.binary()), "ids": pa.array([], pa.binary()), "data": pa.array([], pa.binary())})
         at = c.at[c.several]
@@ -206,9 +211,7 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: boo
         n = np.concatenate(sizes)
         ids = np.repeat(np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64), n)
         data = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8)
-        begin = np.cumsum(n + length - 1) - (n + length - 1)
-        start = np.repeat(begin, n) + np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-        ranks = [C.mixed(C.window_sums(b[data], length, p)[start]) for b, p in zip(_BYTES, _POWERS, strict=True)]
+        ranks = np.concatenate([_window_ranks(data[a:b], n[i:j], length) for a, b, i, j in _steps(n + length - 1)], axis=1)
         order, group, begin = C.distinct_digests(*ranks)
         first = np.empty(len(ids), np.int64)
         first[order] = np.minimum.reduceat(ids[order], begin)[group]
@@ -227,6 +230,7 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: boo
     answers_3 = answers_2.unionByName(window_rows.groupBy("shard").applyInArrow(rank_windows, answer_schema))
 
     def removed(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = _in_order(table)
         c = _Chunk(table, sketch, length, answers)
         s = c.segments
         cover = np.zeros(len(s.data) + 1, np.int32)
@@ -236,7 +240,7 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: boo
             several = np.zeros(len(c.at), bool)
             several[c.several] = True
             gone = ~several[c.group] & (c.first[c.group] < ids) & (ids != _NO_ID)
-            cover += _covered(len(cover), s.start[at[gone]], s.windows[at[gone]] + length - 1)
+            _cover(cover, s.start[at[gone]], s.windows[at[gone]] + length - 1)
             # Segments whose windows were ranked one by one.
             firsts = C.answers_of(answers.filter(pa.array(answers.column("kind").to_numpy() == 3)), "firsts").view(np.int64)
             n = s.windows[c.at[c.several]]
@@ -248,8 +252,8 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: boo
             own = np.repeat(ids[one_by_one], n)
             gone = (firsts[np.repeat(begin[c.group[one_by_one]], n) + within] < own) & (own != _NO_ID)
             start = (np.repeat(s.start[at[one_by_one]], n) + within)[gone]
-            cover += _covered(len(cover), start, np.full(len(start), length))
-        drop = np.cumsum(cover[:-1]) > 0
+            _cover(cover, start, np.full(len(start), length))
+        drop = np.cumsum(cover, out=cover)[:-1] > 0
         data = np.frombuffer(s.data, np.uint8)
         rows = []
         for b, n in zip(s.ends.tolist(), s.sizes.tolist(), strict=True):
@@ -272,9 +276,26 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: boo
     return by_chunk.cogroup(answers_3.groupBy("chunk")).applyInArrow(removed, schema)
 
 
-def _covered(n: int, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """By position, how many of the runs begin there less how many end there."""
-    return (np.bincount(starts, minlength=n) - np.bincount(starts + sizes, minlength=n)).astype(np.int32)
+def _steps(sizes: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Runs of pieces of about STEP_BYTES: their first and last byte, their first and last number."""
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.searchsorted(ends, np.arange(STEP_BYTES, ends[-1], STEP_BYTES), "left"))
+    numbers = np.unique(np.concatenate([[0], cuts, [len(sizes)]]))
+    places = np.concatenate([[0], ends])[numbers]
+    return list(zip(places[:-1].tolist(), places[1:].tolist(), numbers[:-1].tolist(), numbers[1:].tolist(), strict=True))
+
+
+def _window_ranks(data: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Two 64-bit ranks of each window of pieces with ``n`` windows each."""
+    begin = np.cumsum(n + length - 1) - (n + length - 1)
+    start = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.stack([C.mixed(C.window_sums(b[data], length, p)[start]) for b, p in zip(_BYTES, _POWERS, strict=True)])
+
+
+def _cover(cover: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+    """Counts, by position, the runs that begin there less those that end there."""
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, starts + sizes, -1)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
