@@ -46,9 +46,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def hashed_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, text_hash, line, leaf, content) of each line with a token; the last two are 64-bit hashes."""
     lines = _keyed(docs).select(*_KEY, F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
+    lines = lines.filter(F.col("content").rlike(f"[^{_SPACE}]"))  # has a token; a filter on the tokens would make them twice
     lines = lines.select(*_KEY, "line", _masked(F.col("content")).alias("masked")).withColumn("tokens", _tokens(F.col("masked")))
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
-    return lines.filter(F.size("tokens") > 0).select(*_KEY, "line", leaf.alias("leaf"), F.xxhash64("masked").alias("content"))
+    return lines.select(*_KEY, "line", leaf.alias("leaf"), F.xxhash64("masked").alias("content"))
 
 
 def recurring_contents(docs: DataFrame, lines: DataFrame, min_documents: int = MIN_DOCUMENTS, min_constant: float = MIN_CONSTANT) -> DataFrame:
