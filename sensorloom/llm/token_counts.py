@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import importlib.metadata
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -24,6 +26,10 @@ TOKEN_LIMIT = 512
 #: Bytes of text handed to the tokenizer at once.
 SLICE_BYTES = 1 << 20
 
+#: Where a text can be cut: before a single space between printable ASCII characters.  And how many parts' counts a task remembers.
+PART = re.compile(r"(?<=[!-~])(?= [!-~])")
+MEMO_PARTS = 400_000
+
 CACHE_SCHEMA = "tokenizer_digest string, content_digest binary, n_tokens long"
 
 
@@ -49,13 +55,42 @@ class TokenizerFile:
             tokenizer = Tokenizer.from_buffer(self.content)
             tokenizer.no_padding()
             tokenizer.no_truncation()
-            return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            whole = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return PartCounter(whole).count if self.splits_at_spaces() else whole
         from sentencepiece import SentencePieceProcessor
 
         processor = SentencePieceProcessor(model_proto=self.content)
         return lambda texts: [len(x) for x in processor.encode(texts, num_threads=1)]
 
 
+    def splits_at_spaces(self) -> bool:
+        """Whether a single space between two other characters always begins a
+        new word for this tokenizer, so that counts of the parts add up: byte-level
+        words, no normaliser, and no added token that takes or holds a space."""
+        rules = json.loads(self.content)
+        words = rules.get("pre_tokenizer") or {}
+        plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space", True)
+        return plain and not rules.get("normalizer") and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in rules.get("added_tokens", []))
+
+
+class PartCounter:
+    """Counts texts by their parts, remembering the parts' counts."""
+
+    def __init__(self, whole):
+        self.whole = whole
+        self.memo: dict[str, int] = {}
+
+    def count(self, texts: list[str]) -> list[int]:
+        cut = [PART.split(x) for x in texts]
+        new = list({p for parts in cut for p in parts if p not in self.memo})
+        if len(self.memo) + len(new) > MEMO_PARTS:
+            self.memo = {}
+            new = list({p for parts in cut for p in parts})
+        self.memo.update(zip(new, self.whole(new), strict=True))
+        get = self.memo.__getitem__
+        return [sum(map(get, parts)) for parts in cut]
+
+
 def _slices(texts: list[str]) -> Iterator[list[str]]:
     part, size = [], 0
     for x in texts:
@@ -110,7 +145,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counted = keyed.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return counted.join(stored_counts(), "content_digest", "left").select("doc_id", "n_bytes", "n_tokens")
+    # Only these documents' counts, and kept apart from the join, so that a text with very many copies can be split there.
+    counts = C.stored(stored_counts().join(keyed.select("content_digest").distinct(), "content_digest", "left_semi"), "distinct-counts")
+    return counted.join(counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None, cache_path: str | None = None) -> DataFrame:

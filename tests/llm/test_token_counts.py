@@ -41,3 +41,16 @@ def test_empty(no_docs, tmp_path):
 def test_over_limit(spark, small):
     got = T.op3_token_counts(spark, small)
     assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and got.filter("over_limit <> (n_tokens > 512)").count() == 0
+
+
+def test_parts_add_up(small, spark):
+    import random
+
+    rng = random.Random(6)
+    pieces = ["a", "the", "'s", "'t", " ", " ", "  ", "\n", "\t", "é", "日", "\u00a0", "\u3000", "\x1c", "12", ".", "!!", "🙂", "<|endoftext|>", "<|endof", "text|>", "Ab", "\u180e", "\u200b"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 30))) for _ in range(3000)]
+    texts += [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    tokenizer = Tokenizer.from_file(PATH)
+    file = T.TokenizerFile(PATH)
+    assert file.splits_at_spaces() and not T.TokenizerFile(public_tokenizers.path("word_bpe_49k.json")).splits_at_spaces()
+    assert file.counter()(texts) == [len(x.ids) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
