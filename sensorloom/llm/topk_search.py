@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K = 10
@@ -138,10 +138,10 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, block_
 
     keys = ["pivot", "block"]
     local = blocked.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(solve, "query_id long, vec_id long, score long")
-    # Each query has k answers from each block at most; the best k of them, without their rows meeting by query before they are few.
-    answers = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("score"), F.col("vec_id")))), 1, k)
-    ranked = local.groupBy("query_id").agg(answers.alias("a")).select("query_id", F.posexplode("a").alias("pos", "a"))
-    return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("a.vec_id").alias("vec_id"), (-F.col("a.score")).alias("score"))
+    # Spark limits each task's rows of a query to k before they are shuffled, and again when they are merged.
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def _summary(found: dict) -> pa.RecordBatch:
