@@ -13,7 +13,7 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -73,6 +73,17 @@ class TokenizerFile:
         return plain and not rules.get("normalizer") and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in rules.get("added_tokens", []))
 
 
+#: The counter of the tokenizer that a Python worker used last; its memory serves the worker's next tasks.
+_LAST: dict[str, Callable[[list[str]], list[int]]] = {}
+
+
+def _counter(tokenizer: TokenizerFile) -> Callable[[list[str]], list[int]]:
+    if tokenizer.digest not in _LAST:
+        _LAST.clear()
+        _LAST[tokenizer.digest] = tokenizer.counter()
+    return _LAST[tokenizer.digest]
+
+
 class PartCounter:
     """Counts texts by their parts, remembering the parts' counts."""
 
@@ -133,7 +144,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     shared = spark.sparkContext.broadcast(tokenizer)  # one vocabulary file
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = shared.value.counter()
+        count = _counter(shared.value)
         for batch in batches:
             counts: list[int] = []
             for part in _slices(batch.column("text").to_pylist()):
