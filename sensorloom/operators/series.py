@@ -135,6 +135,11 @@ def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int)
     return df.withColumn("rn_desc", F.row_number().over(backwards)).filter(F.col("rn_desc") <= n)
 
 
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """Every row with ``pos``, its place from 0 in the group's order."""
+    return df.withColumn("pos", (F.row_number().over(ordered(keys, order)) - 1).cast("long"))
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, low_us: int, high_us: int) -> DataFrame:
     """Each row of ``left`` with the last time in ``right`` before it, if
     that is ``low_us`` to ``high_us`` back.  One sort of the union by time; no

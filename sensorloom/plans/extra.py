@@ -251,6 +251,12 @@ def _(spark, d_):
     return top.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("raw"), asc=False), ",").alias("top"))
 
 
+@query("t03_sorted_indices", "$S SELECT user_id, idx, raw, row_number() OVER (PARTITION BY user_id ORDER BY raw DESC, idx) - 1 AS pos FROM s")
+def _(spark, d_):
+    """The indices of all samples, highest first, where t03_sorted_arrays has the 5 highest values, as its SQL states."""
+    return series.positions(indexed(spark, d_), KEYS, [F.desc("raw"), F.asc("idx")]).select("user_id", "idx", "raw", "pos")
+
+
 @query("t05_multi_key_sort", "SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) AS pos FROM supplier ORDER BY pos LIMIT 50")
 def _(spark, d_):
     # A top-k report: Spark takes the first 50 of each partition before they meet.

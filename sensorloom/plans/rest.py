@@ -187,6 +187,12 @@ def _(spark, d_):
     return rows.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("raw")), ",").alias("sorted"))
 
 
+@query("t02_sorted_samples", "$S SELECT user_id, event_id, raw, row_number() OVER (PARTITION BY user_id ORDER BY raw, ts_us, event_id) - 1 AS pos FROM s")
+def _(spark, d_):
+    """All samples, where t02_ascending has the first 20 of a session, as its SQL states."""
+    return series.positions(samples(spark, d_), KEYS, [F.asc("raw"), *ORDER]).select("user_id", "event_id", "raw", "pos")
+
+
 @query("t06_preferred_first", "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'R' DESC, l_quantity DESC, l_linenumber) AS rn FROM lineitem) WHERE rn = 1")
 def _(spark, d_):
     rows = spark.read.parquet(f"{d_}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
