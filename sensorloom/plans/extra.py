@@ -208,6 +208,13 @@ def _(spark, d_):
     return rows.select("user_id", "idx", "raw").join(rows.select("user_id", "idx", "ir"), ["user_id", "idx"])
 
 
+@query("j04_all_positions", "$S SELECT a.user_id, a.idx, a.raw, b.ir FROM s a JOIN s b ON a.user_id = b.user_id AND a.idx = b.idx")
+def _(spark, d_):
+    """All samples, where j04_positional_join has the first 5 of a session, as its SQL states."""
+    rows = indexed(spark, d_)
+    return rows.select("user_id", "idx", "raw").join(rows.select("user_id", "idx", "ir"), ["user_id", "idx"])
+
+
 @query(
     "j07_merged_streams",
     """$S SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS n_a, CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS n_b,

@@ -23,3 +23,9 @@ def test_all_samples_are_sorted(spark, tmp_path):
         own = [r for r in rows if r[1] == u]
         assert [up[u, k] for k in range(60)] == [(e, v) for e, _, v, i in sorted(own, key=lambda r: (r[2], r[3]))]
         assert [down[u, k] for k in range(60)] == [(i, v) for _, _, v, i in sorted(own, key=lambda r: (-r[2], r[3]))]
+
+
+def test_all_positions_are_joined(spark, tmp_path):
+    rows = long_sessions(spark, tmp_path)
+    got = {(r["user_id"], r["idx"]): r["raw"] for r in QUERIES["j04_all_positions"](spark, str(tmp_path)).collect()}
+    assert got == {(u, i): v for _, u, v, i in rows}
