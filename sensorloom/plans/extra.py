@@ -126,6 +126,37 @@ def _(spark, d_):
     return rows.filter(actual != predicted).select("l_orderkey", "l_linenumber", F.when(actual, "false_negative").otherwise("false_positive").alias("kind"))
 
 
+def _judged(spark, d_) -> DataFrame:
+    """Every line with its actual and predicted class."""
+    actual, predicted = c("l_linestatus") == "F", c("l_discount") * 5 + c("l_tax") * 6.25 >= 0.5
+    return table(spark, d_, "lineitem").select("l_orderkey", "l_linenumber", actual.alias("actual"), predicted.alias("predicted"))
+
+
+@query(
+    "a32_all_wrong_predictions",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' THEN 'false_negative' ELSE 'false_positive' END AS kind FROM lineitem
+    WHERE (l_linestatus = 'F') <> (l_discount * 5 + l_tax * 6.25 >= 0.5)""",
+)
+def _(spark, d_):
+    """All lines are judged, where a32_wrong_predictions judges those with a quantity over 49, as its SQL states."""
+    wrong = _judged(spark, d_).filter("actual != predicted")
+    return wrong.select("l_orderkey", "l_linenumber", F.when(c("actual"), "false_negative").otherwise("false_positive").alias("kind"))
+
+
+@query(
+    "a32_prediction_counts",
+    """WITH j AS (SELECT l_linestatus = 'F' AS actual, l_discount * 5 + l_tax * 6.25 >= 0.5 AS predicted FROM lineitem)
+    SELECT count(*) FILTER (WHERE actual IS NOT NULL AND predicted IS NOT NULL) AS total, count(*) FILTER (WHERE actual = predicted) AS correct,
+      count(*) FILTER (WHERE NOT actual AND predicted) AS false_positive, count(*) FILTER (WHERE actual AND NOT predicted) AS false_negative FROM j""",
+)
+def _(spark, d_):
+    n = lambda condition: F.count(F.when(F.expr(condition), 1))
+    return _judged(spark, d_).agg(
+        n("actual IS NOT NULL AND predicted IS NOT NULL").alias("total"), n("actual = predicted").alias("correct"),
+        n("NOT actual AND predicted").alias("false_positive"), n("actual AND NOT predicted").alias("false_negative"),
+    )
+
+
 @query(
     "m02_candidate_windows",
     """$S, f AS (SELECT *, min(ts_us) OVER (PARTITION BY user_id) AS t0 FROM s), w AS (SELECT user_id, (ts_us - t0) // 86400000000 AS k, count(*) AS n, count(*) FILTER (WHERE bad) AS nb FROM f GROUP BY ALL)

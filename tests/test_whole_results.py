@@ -29,3 +29,12 @@ def test_all_positions_are_joined(spark, tmp_path):
     rows = long_sessions(spark, tmp_path)
     got = {(r["user_id"], r["idx"]): r["raw"] for r in QUERIES["j04_all_positions"](spark, str(tmp_path)).collect()}
     assert got == {(u, i): v for _, u, v, i in rows}
+
+
+def test_lines_of_any_quantity_are_judged(spark, tmp_path):
+    rows = [(1, 1, 5.0, "F", 0.1, 0.08), (1, 2, 5.0, "F", 0.0, 0.0), (2, 1, 50.0, "O", 0.1, 0.08), (3, 1, 7.0, "O", 0.1, 0.08), (3, 2, 50.0, "O", 0.0, 0.0), (4, 1, 1.0, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_linestatus string, l_discount double, l_tax double")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = sorted(map(tuple, QUERIES["a32_all_wrong_predictions"](spark, str(tmp_path)).collect()))
+    assert found == [(1, 2, "false_negative"), (2, 1, "false_positive"), (3, 1, "false_positive")]
+    assert QUERIES["a32_prediction_counts"](spark, str(tmp_path)).first().asDict() == {"total": 5, "correct": 2, "false_positive": 2, "false_negative": 1}
