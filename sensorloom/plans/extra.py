@@ -302,6 +302,13 @@ def _(spark, d_):
     return top.select("s_suppkey", F.row_number().over(Window.orderBy("s_nationkey", F.desc("s_acctbal"), "s_suppkey")).cast("long").alias("pos"))
 
 
+@query("t05_sorted_table", "SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) AS pos FROM supplier ORDER BY pos")
+def _(spark, d_):
+    """The whole table, where t05_multi_key_sort has the first 50 rows, as its SQL states."""
+    rows = table(spark, d_, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return series.sorted_positions(rows, "s_nationkey", "s_acctbal", "s_suppkey").select("s_suppkey", "pos").orderBy("pos")
+
+
 @query("t08_first_seconds", "$S, f AS (SELECT *, min(ts_us) OVER (PARTITION BY user_id) AS t0 FROM s) SELECT event_id FROM f WHERE ts_us - t0 < 259200000000")
 def _(spark, d_):
     rows = samples(spark, d_).withColumn("t0", F.min("ts_us").over(Window.partitionBy("user_id")))

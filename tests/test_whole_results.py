@@ -1,5 +1,8 @@
 """Queries that return every row, where a cut would go unseen on short sessions."""
 
+import pytest
+
+from sensorloom.operators import series
 from sensorloom.plans import catalog
 
 QUERIES = catalog.queries()
@@ -38,3 +41,22 @@ def test_lines_of_any_quantity_are_judged(spark, tmp_path):
     found = sorted(map(tuple, QUERIES["a32_all_wrong_predictions"](spark, str(tmp_path)).collect()))
     assert found == [(1, 2, "false_negative"), (2, 1, "false_positive"), (3, 1, "false_positive")]
     assert QUERIES["a32_prediction_counts"](spark, str(tmp_path)).first().asDict() == {"total": 5, "correct": 2, "false_positive": 2, "false_negative": 1}
+
+
+def suppliers(spark):
+    rows = [(i, (0 if i % 3 else i % 5), float(i * 37 % 50)) for i in range(400)] + [(400, 0, None), (401, None, 3.0), (402, None, None), (403, 2, None)]
+    by = lambda r: (r[1] is None, r[1] or 0, r[2] is None, -(r[2] or 0), r[0])
+    return spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double"), [r[0] for r in sorted(rows, key=by)]
+
+
+@pytest.mark.parametrize("rows_per_range", [1 << 20, 20])
+def test_positions_over_ranges(spark, rows_per_range):
+    df, expected = suppliers(spark)
+    got = series.sorted_positions(df, "s_nationkey", "s_acctbal", "s_suppkey", rows_per_range).collect()
+    assert [r["s_suppkey"] for r in sorted(got, key=lambda r: r["pos"])] == expected and sorted(r["pos"] for r in got) == list(range(1, 405))
+
+
+def test_whole_table_is_sorted(spark, tmp_path):
+    df, expected = suppliers(spark)
+    df.write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [tuple(r) for r in QUERIES["t05_sorted_table"](spark, str(tmp_path)).collect()] == [(k, i + 1) for i, k in enumerate(expected)]
