@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sensorloom.operators.dsp import forward_mean4, over_sessions, plateau_peaks, spaced_peaks
+from sensorloom.operators.series import last_rows
 
 RATE, PAIRS, RAW_ROWS, KEEP_EVERY = 25, 100, 400, 4
 FULL, MIN_IR = 262143, 10000
@@ -64,14 +68,16 @@ def estimate(ir: np.ndarray, red: np.ndarray) -> tuple[int | None, int | None]:
     return (int(TABLE[ratio]) if 2 < ratio < 184 else None), rate
 
 
-def evaluate(ir: np.ndarray, red: np.ndarray, good: bool = True) -> dict:
+def evaluate(ir: np.ndarray, red: np.ndarray, good: bool = True, n: int | None = None) -> dict:
     """The last 400 samples: a fault anywhere rejects them, else one of
-    four is used."""
+    four is used, counted from the session's first.  ``n`` is the session's length
+    if only its last samples are given."""
+    n = len(ir) if n is None else n
     if len(ir) < RAW_ROWS:
         return {"status": "not_ready", "percent": None, "bpm": None}
     if not good:
         return {"status": "quality_rejected", "percent": None, "bpm": None}
-    kept = np.arange(0, len(ir), KEEP_EVERY)[-PAIRS:]
+    kept = (n - 1) // KEEP_EVERY * KEEP_EVERY - KEEP_EVERY * np.arange(PAIRS)[::-1] - (n - len(ir))
     x, y = ir[-RAW_ROWS:], red[-RAW_ROWS:]
     faults = np.select([(x > FULL) | (y > FULL), (x == FULL) | (y == FULL), (x == 0) | (y == 0) | (x < MIN_IR)], [1, 2, 3], 0)
     if faults.any():
@@ -81,12 +87,17 @@ def evaluate(ir: np.ndarray, red: np.ndarray, good: bool = True) -> dict:
 
 
 def session_oxygen(df: DataFrame, keys: Sequence[str], order: Sequence[str], ir: str, red: str) -> DataFrame:
-    """status, percent and bpm of each session's last samples."""
+    """status, percent and bpm of each session's last samples; Spark cuts to these,
+    so that a session of any length is one small group."""
     schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", status string, percent int, bpm int"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = evaluate(rows[ir].to_numpy(), rows[red].to_numpy())
+        found = evaluate(rows[ir].to_numpy(), rows[red].to_numpy(), n=int(rows["_n"].iloc[0]))
         out = pd.DataFrame([{**{k: rows[k].iloc[0] for k in keys}, **found}])
         return out.astype({"percent": "Int32", "bpm": "Int32"})
 
-    return over_sessions(df.select(*dict.fromkeys([*keys, *order, ir, red])), keys, order, run, schema)
+    rows = df.select(*dict.fromkeys([*keys, *order, ir, red]))
+    sizes = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_n"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    last = last_rows(rows, keys, order, RAW_ROWS).join(sizes, same).select(*rows.columns, "_n")
+    return over_sessions(last, keys, order, run, schema)

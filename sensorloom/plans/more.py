@@ -110,9 +110,9 @@ def _(spark, d_):
 
 @query("o05_oxygen")
 def _(spark, d_):
-    """Sessions of the last digit of the user, as single users have too few samples."""
+    """Users with fewer samples than an estimate needs are not_ready."""
     c = F.col
-    rows = samples(spark, d_).select((c("user_id") % 10).alias("user_id"), "ts_us", "event_id", (c("raw") + 60000).alias("ir"), (F.floor(c("raw") / 2) + 40000).alias("red"))
+    rows = samples(spark, d_).select("user_id", "ts_us", "event_id", (c("raw") + 60000).alias("ir"), (F.floor(c("raw") / 2) + 40000).alias("red"))
     return oxygen.session_oxygen(rows, KEYS, ORDER, "ir", "red")
 
 

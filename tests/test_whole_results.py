@@ -1,8 +1,9 @@
 """Queries that return every row, where a cut would go unseen on short sessions."""
 
+import numpy as np
 import pytest
 
-from sensorloom.operators import series
+from sensorloom.operators import oxygen, series
 from sensorloom.plans import catalog
 
 QUERIES = catalog.queries()
@@ -60,3 +61,26 @@ def test_whole_table_is_sorted(spark, tmp_path):
     df, expected = suppliers(spark)
     df.write.parquet(f"{tmp_path}/supplier.parquet")
     assert [tuple(r) for r in QUERIES["t05_sorted_table"](spark, str(tmp_path)).collect()] == [(k, i + 1) for i, k in enumerate(expected)]
+
+
+def test_each_user_is_an_oxygen_session(spark, small):
+    users = spark.read.parquet(f"{small}/events.parquet").filter("user_id IS NOT NULL").select("user_id").distinct().collect()
+    got = QUERIES["o05_oxygen"](spark, small).collect()
+    assert sorted(r["user_id"] for r in got) == sorted(r["user_id"] for r in users)
+
+
+def test_oxygen_of_long_sessions(spark):
+    expected, rows = {}, []
+    for user, n in ((1, 399), (2, 400), (3, 401), (4, 802), (5, 1203), (6, 2000), (None, 430)):
+        t = np.arange(n)
+        red, ir = (40000 + 500 * np.sin(2 * np.pi * t / 80)).astype(np.int64), (60000 + 1200 * np.sin(2 * np.pi * t / 80) + 37 * (t % 4)).astype(np.int64)
+        ir[0] = 300_000 if n > 401 else ir[0]  # a fault before the last 400
+        rows += [(user, int(i), int(ir[i]), int(red[i])) for i in t]
+        if n >= 400:  # the samples with numbers that 4 divides, of the whole session
+            expected[user] = ("ok", *oxygen.estimate(ir[::4][-100:], red[::4][-100:]))
+        else:
+            expected[user] = ("not_ready", None, None)
+    df = spark.createDataFrame(rows, "user_id long, ts_us long, ir long, red long").repartition(5)
+    cut = oxygen.session_oxygen(df, ["user_id"], ["ts_us"], "ir", "red").collect()
+    assert {r["user_id"]: (r["status"], r["percent"], r["bpm"]) for r in cut} == expected
+    assert all(p is not None for status, p, _ in expected.values() if status == "ok")
