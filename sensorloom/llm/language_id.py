@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents of each language that the model is fitted on, in expectation; languages beyond the most frequent are not learned.
+#: Documents of each language that the model is fitted on, in expectation.
 TRAIN_DOCUMENTS = 2000
-MAX_LANGUAGES = 64
+#: Bytes of text that are labelled at once with up to so many languages; with more languages, fewer bytes.
+LABEL_BYTES, LABEL_LANGUAGES = 1 << 19, 64
 #: Log probability that a switch of language costs, and what a word costs in a language that doesn't use its script.
 SWITCH_PENALTY = 24.0
 WRONG_SCRIPT = 12.0
@@ -88,13 +89,23 @@ def _words(texts: list[str | None]) -> _Words:
 class LanguageModel:
     """Letter-trigram log probabilities of each language, and the scripts it uses.
 
-    Its size is bounded by MAX_LANGUAGES and BUCKETS, whatever it was fitted on.
+    A language holds only the buckets that it was seen in, at most BUCKETS, and
+    takes the others from what all languages share.
     """
 
     languages: list[str]
-    log_p: np.ndarray  # languages x BUCKETS, float32
+    shared: np.ndarray  # BUCKETS, float64: log weight of a bucket that a language was not seen in
+    total: np.ndarray  # of each language: log of its weights' sum
+    seen: list[tuple[np.ndarray, np.ndarray]]  # of each language: buckets (uint16), log probabilities (float32)
     uses: np.ndarray  # languages x scripts, bool
 
+    def row(self, k: int) -> np.ndarray:
+        """The log probabilities of language ``k`` in all buckets."""
+        out = (self.shared - self.total[k]).astype(np.float32)
+        buckets, values = self.seen[k]
+        out[buckets] = values
+        return out
+
     def label(self, texts: list[str | None]) -> pa.Array:
         """For each text a struct of lang_pred, score (the share of letters in
         spans of that language) and spans (language, first word, words)."""
@@ -103,10 +114,11 @@ class LanguageModel:
         scores = np.empty((n_lang, len(w.starts)), np.float64)
         for k in range(n_lang):
             if len(w.starts):
-                scores[k] = np.add.reduceat(self.log_p[k][w.buckets], w.starts, dtype=np.float64)
+                scores[k] = np.add.reduceat(self.row(k)[w.buckets], w.starts, dtype=np.float64)
         if n_lang:
-            fits = self.uses[:, w.script]
-            scores -= WRONG_SCRIPT * (~fits & fits.any(0))
+            some = self.uses.any(0)[w.script]
+            for k in range(n_lang):
+                scores[k] -= WRONG_SCRIPT * (~self.uses[k][w.script] & some)
         first = np.searchsorted(w.text, np.arange(w.n_texts + 1))
         out: list[dict] = []
         one = self._single(scores, w, first)
@@ -177,36 +189,60 @@ def fit(labelled: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> Language
     about ``train_documents`` of each, picked by a hash of the id.  Rows with a
     null text or lang are not used."""
     rows = labelled.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    if not languages:
-        return LanguageModel([], np.zeros((0, BUCKETS), np.float32), np.zeros((0, len(_NAMES)), bool))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], train_documents / r["count"])])
-    picked = rows.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < share[F.col("lang")])
+    sizes = rows.groupBy("lang").agg((train_documents / F.count("*")).alias("share"))
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    picked = rows.join(F.broadcast(sizes), "lang").filter(chance < F.col("share")).select("text", "lang")
+    n_cells = BUCKETS + len(_NAMES)
 
     def counted(batches):
-        found: dict[str, np.ndarray] = {}
+        """Counts of buckets and scripts, only those that occur."""
         for batch in batches:
-            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            for lang in set(langs):
-                w = _words([x for x, y in zip(texts, langs, strict=True) if y == lang])
-                total = found.setdefault(lang, np.zeros(BUCKETS + len(_NAMES), np.int64))
-                total[:BUCKETS] += np.bincount(w.buckets, minlength=BUCKETS)
-                total[BUCKETS:] += np.bincount(w.letter_script, minlength=len(_NAMES))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["lang", "counts"])
+            by_lang: dict[str, list[str]] = {}
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                by_lang.setdefault(lang, []).append(text)
+            found = []
+            for texts in by_lang.values():
+                w = _words(texts)
+                found.append(_packed(np.bincount(np.append(w.buckets, BUCKETS + w.letter_script), minlength=n_cells)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(by_lang), pa.string()), pa.array(found, pa.binary())], ["lang", "counts"])
 
     def added(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"lang": table.column("lang")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(n_cells, np.int64)
+        for x in table.column("counts").to_pylist():
+            cells, n = _unpacked(x)
+            total[cells] += n
+        return pa.table({"lang": table.column("lang")[:1], "counts": pa.array([_packed(total)], pa.binary())})
 
     schema = "lang string, counts binary"
-    merged = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in picked.mapInArrow(counted, schema).groupBy("lang").applyInArrow(added, schema).collect()}
-    languages = [x for x in languages if x in merged]
-    counts = np.array([merged[x] for x in languages], np.float64).reshape(len(languages), BUCKETS + len(_NAMES))
-    grams, scripts = counts[:, :BUCKETS], counts[:, BUCKETS:]
-    smooth = grams + BACKGROUND * grams.sum(0) / max(grams.sum(), 1) + 0.05  # towards all languages' letters
-    log_p = np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32)
-    return LanguageModel(languages, log_p, scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1))
+    merged = {r["lang"]: r["counts"] for r in picked.mapInArrow(counted, schema).groupBy("lang").applyInArrow(added, schema).toLocalIterator()}
+    languages, all_grams = sorted(merged), np.zeros(BUCKETS)
+    for lang in languages:
+        cells, n = _unpacked(merged[lang])
+        all_grams[cells[cells < BUCKETS]] += n[cells < BUCKETS]
+    weight = BACKGROUND * all_grams / max(all_grams.sum(), 1) + 0.05  # towards all languages' letters
+    total, seen = np.zeros(len(languages)), []
+    uses = np.zeros((len(languages), len(_NAMES)), bool)
+    for k, lang in enumerate(languages):
+        cells, n = _unpacked(merged[lang])
+        gram = cells < BUCKETS
+        whole = weight.sum() + n[gram].sum()
+        total[k] = np.log(whole)
+        seen.append((cells[gram].astype(np.uint16), np.log((n[gram] + weight[cells[gram]]) / whole).astype(np.float32)))
+        scripts = np.zeros(len(_NAMES))
+        scripts[cells[~gram] - BUCKETS] = n[~gram]
+        uses[k] = scripts >= SCRIPT_SHARE * max(scripts.sum(), 1)
+    return LanguageModel(languages, np.log(weight), total, seen, uses)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """The cells of ``counts`` that aren't 0, and their counts."""
+    cells = np.flatnonzero(counts)
+    return np.concatenate([cells, counts[cells]]).astype(np.int64).tobytes()
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    cells, n = np.frombuffer(packed, np.int64).reshape(2, -1)
+    return cells, n
 
 
 def label_column(spark, model: LanguageModel, text: Column) -> Column:
@@ -214,14 +250,15 @@ def label_column(spark, model: LanguageModel, text: Column) -> Column:
 
     Null texts and texts without a letter are ``und`` with score 0 and no spans.
     """
-    shared = spark.sparkContext.broadcast(model)  # bounded by MAX_LANGUAGES x BUCKETS
+    shared = spark.sparkContext.broadcast(model)  # bounded by BUCKETS for each language
+    at_once = LABEL_BYTES * LABEL_LANGUAGES // max(LABEL_LANGUAGES, len(model.languages))
 
     @F.arrow_udf(LABEL_SCHEMA)
     def label(texts: pa.Array) -> pa.Array:
         values, parts, at = texts.to_pylist(), [], 0
         while at < len(values):  # a few hundred KB at once keep the arrays small
             end, size = at, 0
-            while end < len(values) and (size < 1 << 19 or end == at):
+            while end < len(values) and (size < at_once or end == at):
                 size += len(values[end] or "")
                 end += 1
             parts.append(shared.value.label(values[at:end]))

@@ -68,3 +68,14 @@ def test_edge_table(model, edge_docs, edge_rows):
     got = as_rows(L.identify_languages(edge_docs, model).select("doc_id", "held_out", "lang_pred"))
     assert len(got) == len(edge_rows)
     assert all(lang == "und" for i, _, lang in got if i in (200, 201, 202))
+
+
+def test_more_languages_than_64(spark):
+    rng = random.Random(3)
+    own = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(90)}
+    rows = [(3 * i + j, " ".join(rng.choices(own[lang], k=40)), lang) for i, lang in enumerate(own) for j in range(3 if i < 64 else 1)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(own)
+    assert [x["lang_pred"] for x in model.label([" ".join(words) for words in own.values()]).to_pylist()] == list(own)
+    texts = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in L.identify_languages(texts, model).collect()} == {i: lang for i, _, lang in rows}
