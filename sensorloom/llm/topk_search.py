@@ -63,12 +63,13 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, block_
     null or holding null or non-finite components, and rows without vec_id,
     take no part; other columns are not read.  Returns query_id, rank (from 1),
     vec_id and score; ties go to the smaller vec_id; fewer rows where there are
-    fewer candidates; equal rows of one vec_id are one row.
+    fewer candidates; rows of one vec_id are one
+    row, that of the smallest quantised vector by its bytes.
     """
     spark = vectors.sparkSession
     unique = vectors.filter("vec_id IS NOT NULL").select("vec_id", "embedding")
     data, dim = quantised(unique)
-    data = data.dropDuplicates(["vec_id"])
+    data = data.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()

@@ -33,3 +33,14 @@ def test_bounds_skip_groups():
     centres = np.array([[100.0, 0.0], [0.0, 100.0]])
     bounds = K._Bounds(centres, {0: (50, np.full(11, 1.0), 1.0), 1: (50, np.full(11, 1.0), 1.0)}, 10)
     assert bounds.needed(np.array([[100.0, 0.0]])).tolist() == [[True, False]]
+
+
+def test_different_vectors_of_one_id(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300) for _ in range(3)]
+    packed = lambda v: np.floor(1024 * np.array(v)).tobytes()
+    least = [(i, min((v for j, v in rows if j == i), key=packed)) for i in range(300)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(5)
+        got = K.top_k(df, F.col("vec_id") % 100 == 0, pivots=16, block_rows=64)
+        assert sorted(map(tuple, got.collect())) == brute(least, 10)
