@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     with very many links is one key of a join that adaptive execution can
     split, and its minimum is taken before the shuffle.
     """
-    edges = C.kept_small(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges = C.checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     for _ in range(MAX_ROUNDS):
         if _are_stars(edges):
             found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         least = _least(large)
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
-        edges = C.kept_small(small.filter("u <> v").distinct())
+        edges = C.checkpointed(small.filter("u <> v").distinct())
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 

@@ -42,9 +42,8 @@ SET_SCHEMA = "doc_id long, n_shingles long, signature binary, prefix array<struc
 
 def _sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, shingle), sorted and distinct: the sets of some texts as 64-bit hashes."""
-    words = [x.lower().split() for x in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    hashed = C.mixed(np.fromiter((xxhash.xxh64_intdigest(w) for ws in words for w in ws), np.uint64, int(sizes.sum())))
+    words = C.Words(texts, lower=True)
+    sizes, (hashed,) = words.sizes, words.hashes
     ends = np.cumsum(sizes)
     starts = np.flatnonzero(np.arange(len(hashed)) <= np.repeat(ends - width, sizes))
     doc = np.repeat(np.arange(len(texts)), np.maximum(sizes - width + 1, 0))
@@ -79,20 +78,20 @@ def indexed_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     signature and chunk whose set may overlap another, the prefix's shingles
     that may be elsewhere too with their positions, and all such shingles."""
     n_bytes = C.text_bytes(docs)
-    sketch = C.Sketch(n_bytes / BYTES_PER_WORD)
+    sketch = C.Sketch(n_bytes / BYTES_PER_WORD, C.counted)
     chunks = C.chunked(docs, C.chunk_count(n_bytes))
+    by_chunk = chunks.groupBy("chunk")
 
-    def sketched(table: pa.Table) -> pa.Table:
+    def sketched(key: tuple, table: pa.Table) -> pa.Table:
         _, _, first = _distinct_sets(table, width)
-        values = np.concatenate([x for _, x in first]) if first else np.zeros(0, np.uint64)
-        cells, counts = np.unique(sketch.cells(values), return_counts=True)
-        return sketch.rows(table.column("chunk")[0].as_py(), cells, counts)
+        return sketch.part(key[0].as_py(), np.concatenate([np.zeros(0, np.uint64), *[x for _, x in first]]))
 
-    def index(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def index(table: pa.Table, answers: pa.Table) -> pa.Table:
         sizes, signatures, first = _distinct_sets(table, width)
-        values = np.concatenate([x for _, x in first]) if first else np.zeros(0, np.uint64)
-        _, of = np.unique(sketch.cells(values), return_inverse=True)
-        counts = C.answers_of(answers)[of] if len(of) else of
+        values = np.concatenate([np.zeros(0, np.uint64), *[x for _, x in first]])
+        _, _, of = sketch.touched(values)
+        answer = C.answers_of(answers)
+        counts = answer[of].min(0) if of.size else answer
         prefix: list = [None] * table.num_rows
         shared: list = [None] * table.num_rows
         at = 0
@@ -116,8 +115,9 @@ def indexed_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
             }
         )
 
-    counts = sketch.merged(chunks.groupBy("chunk").applyInArrow(sketched, C.PART_SCHEMA))
-    return chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(index, SET_SCHEMA)
+    counts = sketch.exchange.answered(by_chunk.applyInArrow(sketched, C.PART_SCHEMA))
+    counts = counts.select(F.col("sender").alias("chunk"), "dest", "n", "a")
+    return by_chunk.cogroup(counts.groupBy("chunk")).applyInArrow(index, SET_SCHEMA)
 
 
 def _reaches(overlap: Column, size_a: Column, size_b: Column, percent: int) -> Column:
@@ -153,7 +153,7 @@ def _left_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFra
     own = postings.join(labels.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     blocks = own.groupBy("token", "component").agg(F.min("pos").alias("min_pos"), F.min("size").alias("min_size"), F.max("size").alias("max_size"))
     several = blocks.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    own = C.kept_small(own.join(several, "token", "left_semi"))
+    own = C.checkpointed(own.join(several, "token", "left_semi"))
     blocks = blocks.join(several, "token", "left_semi").withColumnRenamed("component", "other")
     # A block is skipped if even its best sizes and position can't reach the threshold.
     best = F.least(F.col("max_size") - F.col("min_pos"), F.col("size") - F.col("pos"))
@@ -173,11 +173,11 @@ def _answers(pairs: DataFrame, leaders: DataFrame, sets: DataFrame, percent: int
     """The links (a, b) among ``pairs``, from their leaders' overlap where it decides."""
     lead_a = leaders.select(F.col("node").alias("a"), F.col("leader").alias("lead_a"), F.col("apart").alias("apart_a"), F.col("size").alias("size_a"))
     lead_b = leaders.select(F.col("node").alias("b"), F.col("leader").alias("lead_b"), F.col("apart").alias("apart_b"), F.col("size").alias("size_b"))
-    led = C.kept_small(pairs.join(lead_a, "a").join(lead_b, "b"))
+    led = C.checkpointed(pairs.join(lead_a, "a").join(lead_b, "b"))
     known = _overlaps(led.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b")).distinct(), sets, percent)
     known = known.select(F.col("a").alias("lead_a"), F.col("b").alias("lead_b"), "overlap")
     most = F.col("overlap") + F.col("apart_a") + F.col("apart_b")
-    possible = C.kept_small(led.join(known, ["lead_a", "lead_b"]).filter(_reaches(most, F.col("size_a"), F.col("size_b"), percent)))
+    possible = C.checkpointed(led.join(known, ["lead_a", "lead_b"]).filter(_reaches(most, F.col("size_a"), F.col("size_b"), percent)))
     decided = (F.col("a") == F.col("lead_a")) & (F.col("b") == F.col("lead_b"))
     compared = _overlaps(possible.filter(~decided).select("a", "b"), sets, percent)
     compared = compared.filter(_reaches(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent))
@@ -200,11 +200,11 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int
     found = rows.filter("shared IS NOT NULL").select(F.col("signature").alias("node"), F.col("n_shingles").cast("int").alias("size"), "prefix", "shared")
     n_unique = (F.col("size") - F.size("shared")).alias("n_unique")
     postings = found.select("node", "size", n_unique, F.explode("prefix").alias("p")).select("p.token", "node", "size", "n_unique", "p.pos")
-    postings = C.kept_small(postings.groupBy("token", "node", "size", "pos").agg(F.min("n_unique").alias("n_unique")))
+    postings = C.checkpointed(postings.groupBy("token", "node", "size", "pos").agg(F.min("n_unique").alias("n_unique")))
     sets = C.stored(found.groupBy("node", "size").agg(F.first("shared").alias("shared")), "shared-shingles")
 
-    near = C.kept_small(_leader_links(postings, sets, percent))
-    labels = C.kept_small(components(near.select("a", "b")))
+    near = C.checkpointed(_leader_links(postings, sets, percent))
+    labels = C.checkpointed(components(near.select("a", "b")))
     # Each set's leader, itself if it has none, and how many of its shingles the leader lacks.
     led = near.select(F.col("b").alias("node"), F.col("a").alias("leader"), (F.col("size_b") - F.col("overlap")).alias("apart"))
     sizes = postings.select("node", "size").distinct()
@@ -219,12 +219,12 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int
         joined.select(F.col("component").alias("node"), "component")
     )
     labels = labels.groupBy("node").agg(F.min("component").alias("component")).join(joined, "component", "left")
-    labels = C.kept_small(labels.select("node", F.coalesce("larger", "component").alias("component")))
+    labels = C.checkpointed(labels.select("node", F.coalesce("larger", "component").alias("component")))
 
     of_doc = rows.select("doc_id", "n_shingles", F.col("signature").alias("node")).join(labels, "node", "left")
     of_doc = of_doc.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     # Kept apart from the join, so that a component with very many documents can be split there.
-    smallest = C.kept_small(of_doc.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    smallest = C.checkpointed(of_doc.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return of_doc.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -80,7 +80,7 @@ def recurring_contents(docs: DataFrame, lines: DataFrame, min_documents: int = M
         .filter(F.col("n_constant") >= min_constant * F.col("n_tokens"))
         .select("leaf", "content", "template")
     )
-    templates = C.kept_small(templates)
+    templates = C.checkpointed(templates)
     documents = pairs.join(templates, ["leaf", "content"]).select("leaf", "template", "doc_id").distinct()
     recurring = documents.groupBy("leaf", "template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     return templates.join(recurring.filter(F.col("n") >= min_documents), ["leaf", "template"]).select("leaf", "content", "first_doc")

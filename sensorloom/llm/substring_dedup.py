@@ -1,10 +1,11 @@
 """Removal of repeated word windows with a count-min prefilter.
 
-First pass: each chunk of documents makes a sketch of its windows' hashes; the
-sketches merge by cell, and each window's estimate, never too low, goes back to
-its chunk.  Second pass: only windows estimated repeated are grouped exactly,
-by 128-bit digests of their words.  So no repeated window is lost, and about
-one unique window in fifty is grouped for nothing.
+First pass: each chunk of documents makes a count-min sketch of its windows'
+hashes; the sketches merge by cell, and each window's estimate, the least of its
+counters and never too low, goes back to its chunk.  Second pass: only windows
+estimated repeated are grouped exactly, by 128-bit digests of their words.  So
+no repeated window is lost, and about one unique window in seventy is grouped
+for nothing.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,28 +22,24 @@ from . import common as C
 WINDOW_WORDS = 35
 #: No word and its separator take fewer bytes than this on average in prose; only the sketch's width follows from it.
 BYTES_PER_WORD = 6
+#: Rows of the sketch, and counters in a row for each window.
+SKETCH_ROWS = 2
+SKETCH_COUNTERS = 8
 
 _POWERS = C.Powers(0x9E3779B97F4A7C15), C.Powers(0xD1B54A32D192ED03)
-_SALT = np.uint64(0xA0761D6478BD642F)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Maximal runs of bytes other than space and \\t to \\r."""
-    return text.split()
+class _Windows:
+    """The words of a chunk's texts, the numbers of the words where a window
+    starts, and one or both digests of each window."""
 
-
-def _windows(texts: list[bytes], width: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """The words of each text, the places in all the chunk's words where a
-    window starts, and the two digests of each window."""
-    words = [words_of(x) for x in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    hashed = np.fromiter((xxhash.xxh64_intdigest(w) for ws in words for w in ws), np.uint64, int(sizes.sum()))
-    ends = np.cumsum(sizes)
-    last = np.repeat(ends - width, sizes)  # the last start of a window in the word's document
-    starts = np.flatnonzero(np.arange(len(hashed)) <= last)
-    first = C.mixed(C.window_sums(C.mixed(hashed), width, _POWERS[0])[starts])
-    second = C.mixed(C.window_sums(C.mixed(hashed ^ _SALT), width, _POWERS[1])[starts])
-    return words, starts, first, second
+    def __init__(self, texts: list[bytes], width: int, n_digests: int = 2):
+        self.words = C.Words(texts, n_digests)
+        sizes = self.words.sizes
+        last = np.repeat(np.cumsum(sizes) - width, sizes)  # the last start of a window in the word's document
+        self.starts = np.flatnonzero(np.arange(len(last)) <= last)
+        self.digests = [C.mixed(C.window_sums(h, width, p)[self.starts]) for h, p in zip(self.words.hashes, _POWERS, strict=False)]
+        self.words.hashes = []
 
 
 def remove_repeated_windows(docs: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
@@ -53,83 +49,78 @@ def remove_repeated_windows(docs: DataFrame, width: int = WINDOW_WORDS) -> DataF
     ``docs`` needs doc_id and text.  Returns a row for each row of ``docs``:
     doc_id, n_words, n_removed, kept_text (the words left, joined by a space)
     and kept_sha256.  Null and empty texts have no words and give an empty
-    kept_text; texts shorter than a window lose nothing; equal rows repeat each
-    other; a null doc_id stays null; other columns are left out.
+    kept_text; texts shorter than a window lose nothing; of tied windows none
+    stays; repeated rows repeat each other; a null doc_id stays null; an empty
+    table gives an empty result; other columns, whatever their names, are left
+    out.  A text is handled whole in one task, with about ten bytes of memory
+    for each of its own, so very long ones may have some 100 MB.
     """
     n_bytes = C.text_bytes(docs)
-    sketch = C.Sketch(n_bytes / BYTES_PER_WORD)
-    shards = C.shard_count(n_bytes / BYTES_PER_WORD / 4)
+    sketch = C.Sketch(n_bytes / BYTES_PER_WORD, C.repeated, SKETCH_COUNTERS, SKETCH_ROWS)
+    exact = C.Exchange(C.shard_count(n_bytes / BYTES_PER_WORD / 4), C.repeated)
     chunks = C.chunked(docs, C.chunk_count(n_bytes))
+    by_chunk = chunks.groupBy("chunk")
 
-    def sketched(table: pa.Table) -> pa.Table:
-        _, _, first, _ = _windows(C.texts_of(table), width)
-        cells, counts = np.unique(sketch.cells(first), return_counts=True)
-        return sketch.rows(table.column("chunk")[0].as_py(), cells, counts)
+    def sketched(key: tuple, table: pa.Table) -> pa.Table:
+        return sketch.part(key[0].as_py(), _Windows(C.texts_of(table), width, 1).digests[0])
 
-    estimates = sketch.merged(chunks.groupBy("chunk").applyInArrow(sketched, C.PART_SCHEMA))
+    estimates = sketch.exchange.answered(by_chunk.applyInArrow(sketched, C.PART_SCHEMA))
+    estimates = estimates.select(F.col("sender").alias("chunk"), F.lit(1).alias("kind"), "dest", "n", "a")
 
     def candidates(table: pa.Table, answers: pa.Table):
-        words, starts, first, second = _windows(C.texts_of(table), width)
-        _, of = np.unique(sketch.cells(first), return_inverse=True)
-        picked = np.flatnonzero(C.answers_of(answers)[of] >= 2) if len(of) else of
-        order, group, begin = C.distinct_digests(first[picked], second[picked])
-        return words, starts, first, second, picked, order, group, begin
+        """The windows estimated repeated: their numbers, and the order, groups and first ones of their digests."""
+        w = _Windows(C.texts_of(table), width)
+        _, _, of = sketch.touched(w.digests[0])
+        answer = C.answers_of(answers)
+        picked = np.flatnonzero(answer[of].min(0)) if of.size else np.zeros(0, np.int64)
+        return w, picked, *C.distinct_digests(*(d[picked] for d in w.digests))
 
     def exact_parts(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        _, _, first, second, picked, order, group, begin = candidates(table, answers)
+        w, picked, order, group, begin = candidates(table, answers)
         at = picked[order][begin]
-        counts = np.minimum(np.bincount(group, minlength=len(begin)), 2).astype(np.uint8)
-        return C.digest_rows(key[0].as_py(), first[at], second[at], {"counts": counts}, shards)
-
-    def exact(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in table.column("digests").to_pylist()]
-        every = np.concatenate(parts)
-        order, group, begin = C.distinct_digests(every[:, 0], every[:, 1])
-        counts = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()])
-        total = np.bincount(group, counts[order], len(begin))
-        repeated = np.empty(len(every), np.uint8)
-        repeated[order] = total[group] >= 2
-        cuts = np.cumsum([len(x) for x in parts])[:-1]
-        return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "repeated": pa.array([x.tobytes() for x in np.split(repeated, cuts)], pa.binary())})
-
-    with_estimates = chunks.groupBy("chunk").cogroup(estimates.groupBy("chunk"))
-    verdicts = with_estimates.applyInArrow(exact_parts, C.DIGEST_SCHEMA).groupBy("shard").applyInArrow(exact, "chunk int, shard int, repeated binary")
-    both = estimates.select("chunk", "shard", "counts", F.lit(None).cast("binary").alias("repeated")).unionByName(
-        verdicts.select("chunk", "shard", F.lit(None).cast("binary").alias("counts"), "repeated")
-    )
-
-    def removed(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        is_exact = answers.column("counts").is_null()
-        words, starts, _, _, picked, order, group, _ = candidates(table, answers.filter(answers.column("counts").is_valid()))
-        repeated = C.answers_of(answers.filter(is_exact), "repeated")
-        n = sum(map(len, words))
-        cover = np.zeros(n + width + 1, np.int64)
+        return exact.rows(key[0].as_py(), w.digests[0][at], w.digests[1][at], np.bincount(group, minlength=len(begin)))
+
+    verdicts = exact.answered(by_chunk.cogroup(estimates.groupBy("chunk")).applyInArrow(exact_parts, C.PART_SCHEMA))
+    both = estimates.unionByName(verdicts.select(F.col("sender").alias("chunk"), F.lit(2).alias("kind"), "dest", "n", "a"))
+
+    def removed(table: pa.Table, answers: pa.Table) -> pa.Table:
+        kind = answers.column("kind").to_numpy()
+        w, picked, order, group, _ = candidates(table, answers.filter(pa.array(kind == 1)))
+        repeated = C.answers_of(answers.filter(pa.array(kind == 2)))
+        cover = np.zeros(len(w.words.start) + width + 1, np.int32)
         if len(picked):
-            at = starts[picked[order][repeated[group] > 0]]
+            at = w.starts[picked[order][repeated[group] > 0]]
             cover[at] += 1
             cover[at + width] -= 1
-        keep, at, rows = np.cumsum(cover)[:n] == 0, 0, []
-        for ws in words:
-            k = keep[at : at + len(ws)]
-            at += len(ws)
-            kept = b" ".join(ws) if k.all() else b" ".join([w for w, x in zip(ws, k.tolist(), strict=True) if x])
-            rows.append((len(ws), len(ws) - int(k.sum()), kept, hashlib.sha256(kept).hexdigest()))
-        n_words, n_removed, kept, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
+        keep = np.cumsum(cover)[: len(w.words.start)] == 0
+        left, kept = _kept_texts(w.words, keep)
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),
-                "n_words": pa.array(n_words, pa.int64()),
-                "n_removed": pa.array(n_removed, pa.int64()),
+                "n_words": pa.array(w.words.sizes),
+                "n_removed": pa.array(w.words.sizes - left),
                 "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
-                "kept_sha256": pa.array(sha, pa.string()),
+                "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
             }
         )
 
-    return (
-        chunks.groupBy("chunk")
-        .cogroup(both.groupBy("chunk"))
-        .applyInArrow(removed, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
-    )
+    return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(removed, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+
+
+def _kept_texts(words: C.Words, keep: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """How many of each text's words are kept, and those joined by a space."""
+    data = np.frombuffer(words.data, np.uint8).copy()
+    start, end = words.start[keep], words.end[keep]
+    data[end] = 0x20  # a byte that is no word's follows each word
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start] += 1
+    edge[end + 1] -= 1
+    data = data[np.cumsum(edge[:-1], dtype=np.int8) > 0].tobytes()
+    bounds = np.concatenate([[0], np.cumsum(words.sizes)])
+    ends = np.concatenate([[0], np.cumsum(end - start + 1)])
+    numbers = np.concatenate([[0], np.cumsum(keep)])[bounds]
+    cuts = ends[numbers].tolist()
+    return np.diff(numbers), [data[a : max(a, b - 1)] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -111,26 +111,24 @@ def _doc_ids(table: pa.Table) -> np.ndarray:
 class _Chunk:
     """A chunk in the rounds: its segments, and what the shards answered so far."""
 
-    def __init__(self, table: pa.Table, sketch: C.Sketch, length: int, answers: pa.Table | None = None):
+    def __init__(self, table: pa.Table, sketch: C.Sketch, length: int, answers: pa.Table):
         self.ids = _doc_ids(table)
-        s = self.segments = Segments(C.texts_of(table), length, with_segment=answers is not None)
-        self.cells, of, self.counts = np.unique(sketch.cells(s.sample), return_inverse=True, return_counts=True)
-        if answers is None:
-            return
+        s = self.segments = Segments(C.texts_of(table), length)
         # Round 2: the distinct (sample, segment) pairs of samples that may be repeated, and their smallest document here.
-        kind = answers.column("kind").to_numpy()
-        estimates = C.answers_of(answers.filter(pa.array(kind == 1)), "counts")
-        self.picked = np.flatnonzero(estimates[of] >= 2) if len(of) else of
-        sample, segment = s.sample[self.picked], s.segment[self.picked]
-        self.order, self.group, begin = C.distinct_digests(sample, segment)
+        self.kind = answers.column("kind").to_numpy()
+        _, _, of = sketch.touched(s.sample)
+        estimates = C.answers_of(self.of_kind(answers, 1))
+        self.picked = np.flatnonzero(estimates[of].min(0)) if of.size else np.zeros(0, np.int64)
+        self.order, self.group, begin = C.distinct_digests(s.sample[self.picked], s.segment[self.picked])
         self.at = self.picked[self.order][begin]
         ids = self.ids[s.text[self.picked]][self.order]
         self.smallest = np.minimum.reduceat(ids, begin) if len(begin) else ids
-        if not (kind == 2).any():
-            return
-        two = answers.filter(pa.array(kind == 2))
-        self.first = C.answers_of(two, "firsts").view(np.int64)
-        self.several = np.flatnonzero(C.answers_of(two, "counts") > 0)
+        two = self.of_kind(answers, 2)
+        self.first = C.answers_of(two, "a").astype(np.int64)
+        self.several = np.flatnonzero(C.answers_of(two, "b"))
+
+    def of_kind(self, answers: pa.Table, kind: int) -> pa.Table:
+        return answers.filter(pa.array(self.kind == kind))
 
 
 def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: bool = True) -> DataFrame:
@@ -140,119 +138,100 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: boo
     ``docs`` needs doc_id and text.  Returns a row for each row of ``docs``:
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and,
     if ``with_kept``, kept (the bytes left; they may cut a character).  Null and
-    empty texts have 0 bytes; texts shorter than ``length`` lose nothing; rows
-    with one doc_id don't affect each other; a null doc_id is not smaller than
-    any and loses nothing; other columns are left out.
+    empty texts have 0 bytes; texts shorter than ``length`` lose nothing; tied
+    or repeated rows, those with one doc_id, don't affect each other; a null
+    doc_id is not smaller than any and loses nothing; an empty table gives an
+    empty result; other columns, whatever their names, are left out.  A text is
+    in one task whole, with some seven bytes of memory for each of its own and
+    a step's arrays, so very long ones may have some 100 MB.
     """
     n_bytes = C.text_bytes(docs)
-    sketch = C.Sketch(n_bytes / 12)
+    sketch = C.Sketch(n_bytes / 12, C.repeated)
     shards = C.shard_count(n_bytes / 4)
+    pairs = C.Exchange(shards, _rank_pairs, least=True)
     chunks = C.chunked(docs, C.chunk_count(2 * n_bytes))
     by_chunk = chunks.groupBy("chunk")
 
-    def sketched(table: pa.Table) -> pa.Table:
-        chunk = _Chunk(_in_order(table), sketch, length)
-        return sketch.rows(table.column("chunk")[0].as_py(), chunk.cells, chunk.counts)
+    def sketched(key: tuple, table: pa.Table) -> pa.Table:
+        return sketch.part(key[0].as_py(), Segments(C.texts_of(_in_order(table)), length, with_segment=False).sample)
+
+    def with_kind(answers: DataFrame, kind: int) -> DataFrame:
+        return answers.select(F.col("sender").alias("chunk"), F.lit(kind).alias("kind"), "dest", "n", "a", "b")
 
-    one = sketch.merged(by_chunk.applyInArrow(sketched, C.PART_SCHEMA))
-    answers_1 = one.select("chunk", F.lit(1).alias("kind"), "shard", "counts", F.lit(None).cast("binary").alias("firsts"))
+    answers_1 = with_kind(sketch.exchange.answered(by_chunk.applyInArrow(sketched, C.PART_SCHEMA)), 1)
 
-    def pairs(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def pair_rows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         c = _Chunk(_in_order(table), sketch, length, answers)
-        return C.digest_rows(key[0].as_py(), c.segments.sample[c.at], c.segments.segment[c.at], {"ids": c.smallest}, shards)
-
-    def rank_pairs(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in table.column("digests").to_pylist()]
-        every = np.concatenate(parts)
-        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
-        order, group, begin = C.distinct_digests(every[:, 0], every[:, 1])
-        smallest = np.minimum.reduceat(ids[order], begin)
-        sample = every[order, 0][begin]
-        of = np.cumsum(np.diff(sample, prepend=~sample[:1]) != 0) - 1
-        several = np.bincount(of)[of] > 1
-        first, many = np.empty(len(every), np.int64), np.empty(len(every), np.uint8)
-        first[order], many[order] = smallest[group], several[group]
-        cuts = np.cumsum([len(x) for x in parts])[:-1]
-        return pa.table(
-            {
-                "chunk": table.column("chunk"),
-                "kind": pa.array([2] * len(parts), pa.int32()),
-                "shard": table.column("shard"),
-                "counts": pa.array([x.tobytes() for x in np.split(many, cuts)], pa.binary()),
-                "firsts": pa.array([x.tobytes() for x in np.split(first, cuts)], pa.binary()),
-            }
-        )
+        return pairs.rows(key[0].as_py(), c.segments.sample[c.at], c.segments.segment[c.at], c.smallest)
 
-    answer_schema = "chunk int, kind int, shard int, counts binary, firsts binary"
-    pair_rows = by_chunk.cogroup(answers_1.groupBy("chunk")).applyInArrow(pairs, "shard int, chunk int, digests binary, ids binary")
-    answers_2 = answers_1.unionByName(pair_rows.groupBy("shard").applyInArrow(rank_pairs, answer_schema))
+    sent_2 = by_chunk.cogroup(answers_1.groupBy("chunk")).applyInArrow(pair_rows, C.PART_SCHEMA)
+    answers_2 = answers_1.unionByName(with_kind(pairs.answered(sent_2), 2))
 
     def windows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        """A row for each shard that windows go to, so never more rows than segments."""
         c = _Chunk(_in_order(table), sketch, length, answers)
-        if not hasattr(c, "several") or not len(c.several):
-            return pa.table({"shard": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "sizes": pa.array([], pa.binary()), "ids": pa.array([], pa.binary()), "data": pa.array([], pa.binary())})
         at = c.at[c.several]
-        shard = ((c.segments.sample[at] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-        edges = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-        full = np.flatnonzero(np.diff(edges))
-        spans = [slice(edges[s], edges[s + 1]) for s in full]
+        shard = (((c.segments.sample[at] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+        edges = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(at))
+        spans = [slice(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         return pa.table(
             {
-                "shard": pa.array(full.astype(np.int32)),
-                "chunk": pa.array(np.full(len(full), key[0].as_py(), np.int32)),
-                "sizes": pa.array([c.segments.windows[at[x]].astype(np.uint16).tobytes() for x in spans], pa.binary()),
-                "ids": pa.array([c.smallest[c.several[x]].tobytes() for x in spans], pa.binary()),
+                "shard": pa.array(shard[edges[:-1]]),
+                "chunk": pa.array(np.full(len(spans), key[0].as_py(), np.int64)),
+                "n": pa.array([x.stop - x.start for x in spans], pa.int32()),
+                "sizes": pa.array([C.pack_ints(c.segments.windows[at[x]]) for x in spans], pa.binary()),
+                "ids": pa.array([C.pack_ints(c.smallest[c.several[x]]) for x in spans], pa.binary()),
                 "data": pa.array([c.segments.bytes_of(at[x]) for x in spans], pa.binary()),
             }
         )
 
     def rank_windows(table: pa.Table) -> pa.Table:
-        sizes = [np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column("sizes").to_pylist()]
+        sent = table.column("n").to_pylist()
+        sizes, ids = ([C.unpack_ints(x, k).astype(np.int64) for x, k in zip(table.column(c).to_pylist(), sent, strict=True)] for c in ("sizes", "ids"))
         n = np.concatenate(sizes)
-        ids = np.repeat(np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64), n)
+        ids = np.repeat(np.concatenate(ids), n)
         data = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8)
         ranks = np.concatenate([_window_ranks(data[a:b], n[i:j], length) for a, b, i, j in _steps(n + length - 1)], axis=1)
         order, group, begin = C.distinct_digests(*ranks)
         first = np.empty(len(ids), np.int64)
         first[order] = np.minimum.reduceat(ids[order], begin)[group]
-        cuts = np.cumsum([x.sum() for x in sizes])[:-1]
+        answered = [int(x.sum()) for x in sizes]
         return pa.table(
             {
-                "chunk": table.column("chunk"),
-                "kind": pa.array([3] * len(sizes), pa.int32()),
-                "shard": table.column("shard"),
-                "counts": pa.nulls(len(sizes), pa.binary()),
-                "firsts": pa.array([x.tobytes() for x in np.split(first, cuts)], pa.binary()),
+                "sender": table.column("chunk"),
+                "dest": table.column("shard"),
+                "n": pa.array(answered, pa.int32()),
+                "a": pa.array([C.pack_ints(x) for x in np.split(first, np.cumsum(answered)[:-1])], pa.binary()),
+                "b": pa.nulls(len(sizes), pa.binary()),
             }
         )
 
-    window_rows = by_chunk.cogroup(answers_2.groupBy("chunk")).applyInArrow(windows, "shard int, chunk int, sizes binary, ids binary, data binary")
-    answers_3 = answers_2.unionByName(window_rows.groupBy("shard").applyInArrow(rank_windows, answer_schema))
+    sent_3 = by_chunk.cogroup(answers_2.groupBy("chunk")).applyInArrow(windows, "shard long, chunk long, n int, sizes binary, ids binary, data binary")
+    answers_3 = answers_2.unionByName(with_kind(sent_3.groupBy("shard").applyInArrow(rank_windows, C.ANSWER_SCHEMA), 3))
 
-    def removed(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def removed(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = _in_order(table)
         c = _Chunk(table, sketch, length, answers)
         s = c.segments
         cover = np.zeros(len(s.data) + 1, np.int32)
-        if hasattr(c, "first"):
-            ids = c.ids[s.text[c.picked]][c.order]
-            at = c.picked[c.order]
-            several = np.zeros(len(c.at), bool)
-            several[c.several] = True
-            gone = ~several[c.group] & (c.first[c.group] < ids) & (ids != _NO_ID)
-            _cover(cover, s.start[at[gone]], s.windows[at[gone]] + length - 1)
-            # Segments whose windows were ranked one by one.
-            firsts = C.answers_of(answers.filter(pa.array(answers.column("kind").to_numpy() == 3)), "firsts").view(np.int64)
-            n = s.windows[c.at[c.several]]
-            begin = np.zeros(len(c.at), np.int64)
-            begin[c.several] = np.cumsum(n) - n
-            one_by_one = np.flatnonzero(several[c.group])
-            n = s.windows[at[one_by_one]]
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            own = np.repeat(ids[one_by_one], n)
-            gone = (firsts[np.repeat(begin[c.group[one_by_one]], n) + within] < own) & (own != _NO_ID)
-            start = (np.repeat(s.start[at[one_by_one]], n) + within)[gone]
-            _cover(cover, start, np.full(len(start), length))
+        ids = c.ids[s.text[c.picked]][c.order]
+        at = c.picked[c.order]
+        several = np.zeros(len(c.at), bool)
+        several[c.several] = True
+        gone = ~several[c.group] & (c.first[c.group] < ids) & (ids != _NO_ID)
+        _cover(cover, s.start[at[gone]], s.windows[at[gone]] + length - 1)
+        # Segments whose windows were ranked one by one.
+        firsts = C.answers_of(c.of_kind(answers, 3)).astype(np.int64)
+        n = s.windows[c.at[c.several]]
+        begin = np.zeros(len(c.at), np.int64)
+        begin[c.several] = np.cumsum(n) - n
+        one_by_one = np.flatnonzero(several[c.group])
+        n = s.windows[at[one_by_one]]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own = np.repeat(ids[one_by_one], n)
+        gone = (firsts[np.repeat(begin[c.group[one_by_one]], n) + within] < own) & (own != _NO_ID)
+        start = (np.repeat(s.start[at[one_by_one]], n) + within)[gone]
+        _cover(cover, start, np.full(len(start), length))
         drop = np.cumsum(cover, out=cover)[:-1] > 0
         data = np.frombuffer(s.data, np.uint8)
         rows = []
@@ -276,6 +255,12 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: boo
     return by_chunk.cogroup(answers_3.groupBy("chunk")).applyInArrow(removed, schema)
 
 
+def _rank_pairs(sample: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each (sample, segment) its smallest document, and whether the sample occurs in several segments."""
+    of = np.cumsum(np.diff(sample, prepend=~sample[:1]) != 0) - 1
+    return first, np.bincount(of)[of] > 1
+
+
 def _steps(sizes: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Runs of pieces of about STEP_BYTES: their first and last byte, their first and last number."""
     ends = np.cumsum(sizes)

@@ -10,6 +10,8 @@ from sensorloom.llm.substring_dedup import remove_repeated_windows
 from sensorloom.llm.suffix_dedup import remove_earlier_strings
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
 from .conftest import as_rows
 
@@ -78,8 +80,6 @@ def test_steps_within_texts(edge_docs, edge_rows, monkeypatch):
 
 
 def test_row_order_does_not_matter():
-    import pyarrow as pa
-
     from sensorloom.llm.suffix_dedup import _in_order
 
     rows = [(2, "b"), (1, None), (None, "c"), (1, "a"), (2, "a")]
@@ -91,13 +91,68 @@ def test_empty(no_docs):
     assert remove_repeated_windows(no_docs).count() == 0 and remove_earlier_strings(no_docs).count() == 0
 
 
-def test_payload_round_trip():
+@pytest.mark.parametrize("n", [0, 1, 5000])
+@pytest.mark.parametrize("top", [1, 2, 300, 70_000, 1 << 40, (1 << 64) - 1])
+def test_packed_numbers(n, top):
     rng = np.random.default_rng(3)
-    for n in (0, 1, 5000):
-        values = np.unique(rng.integers(0, 1 << 20, n).astype(np.uint64))
-        assert (C.unpack(C.pack(values, 1 << 20)) == values).all()
-    crowded = np.arange(70_000, dtype=np.uint64)
-    assert (C.unpack(C.pack(crowded, 1 << 17)) == crowded).all()
+    for x in (rng.integers(0, top, n, np.uint64, endpoint=True), np.where(rng.random(n) < 0.01, np.uint64(top), np.uint64(3))):
+        assert (C.unpack_ints(C.pack_ints(x), n) == x).all()
+
+
+def test_words_across_steps(monkeypatch):
+    texts = [b" one two\x0bthree", b"", b"\n\t ", b"x" * 100 + b" yy " + b"z" * 55, b"ONE tWo"]
+    whole = C.Words(texts, 2, lower=True)
+    for step in (1, 2, 7, 50):
+        monkeypatch.setattr(C, "STEP_BYTES", step)
+        cut = C.Words(texts, 2, lower=True)
+        assert [whole.data[a:b] for a, b in zip(cut.start, cut.end, strict=True)] == [w for x in texts for w in x.split()]
+        assert cut.sizes.tolist() == [3, 0, 0, 3, 2] and all((a == b).all() for a, b in zip(cut.hashes, whole.hashes, strict=True))
+    assert len(set(whole.hashes[0].tolist())) == 6 and whole.hashes[0][0] == whole.hashes[0][-2]
+
+
+@pytest.mark.parametrize("fan_out", [3])
+def test_several_hops(spark, edge_docs, edge_rows, monkeypatch, fan_out):
+    monkeypatch.setattr(C, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(C, "SHARD_VALUES", 8_000)
+    monkeypatch.setattr(C, "FAN_OUT", fan_out)
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    try:
+        assert as_rows(remove_repeated_windows(edge_docs)) == brute_windows(edge_rows, 35)
+        assert as_rows(remove_earlier_strings(edge_docs)) == brute_strings(edge_rows, 50)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def simulated(size_gb: float):
+    """Hops, rows and bytes a value of each hop, for one chunk and one node of an input of this size."""
+    n_values = size_gb * 1e9 / 6
+    sketch, rng, sent = C.Sketch(n_values, C.repeated), np.random.default_rng(1), []
+    e = sketch.exchange
+    table = sketch.part(0, rng.integers(0, 1 << 64, C.CHUNK_BYTES // 6, np.uint64))
+    sent.append(table)
+    for hop in range(2, e.hops + 1):  # a node's rows come from as many chunks as it has ranges, each with such a share of them
+        node = [e.rows(c, np.unique(sketch.cells(rng.integers(0, 1 << 64, C.CHUNK_BYTES // 6, np.uint64))), None, np.ones(C.CHUNK_BYTES // 6, int)) for c in range(e.radix)]
+        mine = pa.concat_tables([t.filter(pa.compute.equal(t["dest"], 1)) for t in node])
+        first, _, number, _ = e._merged(mine, hop - 1)
+        sent.append(e.rows(0, first, None, number, hop, 1))
+    size = lambda t: sum(len(x) for c in ("keys", "number") for x in t.column(c).to_pylist()) + 56 * t.num_rows
+    return e.hops, [(t.num_rows, size(t) / sum(t.column("n").to_pylist())) for t in sent]
+
+
+def test_rows_and_bytes_stay_linear():
+    found = {gb: simulated(gb) for gb in (0.5, 30, 300)}
+    assert [found[gb][0] for gb in found] == [1, 2, 2]
+    for hops, sent in found.values():
+        assert len(sent) == hops and all(rows <= C.FAN_OUT and size < 4 for rows, size in sent)
+    # Per hop, 300 GB take at most a fifth more than 30 GB do.
+    per_hop = {gb: sum(size for _, size in sent) / hops for gb, (hops, sent) in found.items()}
+    assert per_hop[300] < 1.2 * per_hop[30] and per_hop[30] < 1.5 * per_hop[0.5], per_hop
+
+
+def test_equal_rows_share_no_chunk(spark):
+    docs = spark.createDataFrame([(None, "the same text")] * 1000, "doc_id long, text string").repartition(8)
+    assert C.chunked(docs, 64).select("chunk").distinct().count() > 3
+    assert {r["n_removed"] for r in remove_repeated_windows(docs, 2).collect()} == {3}
 
 
 def test_counts_are_never_too_low():
