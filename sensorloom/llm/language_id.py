@@ -1,7 +1,7 @@
 """Language identification of whole texts, mixed-language ones too.
 
-Script ranges narrow each word's candidate languages, letter trigrams score the
-word in each, and a Viterbi pass with a penalty for switching labels spans of
+Script ranges narrow each word's candidate languages to those that use its
+script, letter trigrams score the word in each candidate, and a Viterbi pass with a penalty for switching labels spans of
 words.  Scoring is numpy over whole batches; the Viterbi pass itself runs only
 for texts where some other language could pay for a switch.
 """
@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 TRAIN_DOCUMENTS = 2000
 #: Bytes of text that are labelled at once with up to so many languages; with more languages, fewer bytes.
 LABEL_BYTES, LABEL_LANGUAGES = 1 << 19, 64
-#: Log probability that a switch of language costs, and what a word costs in a language that doesn't use its script.
+#: Log probability that a switch of language costs.
 SWITCH_PENALTY = 24.0
-WRONG_SCRIPT = 12.0
 #: A language uses a script that at least this share of its letters has.
 SCRIPT_SHARE = 0.01
 BUCKETS = 1 << 16
@@ -111,14 +110,7 @@ class LanguageModel:
         spans of that language) and spans (language, first word, words)."""
         w, n_lang = _words(texts), len(self.languages)
         size = np.diff(np.append(w.starts, len(w.buckets)))
-        scores = np.empty((n_lang, len(w.starts)), np.float64)
-        for k in range(n_lang):
-            if len(w.starts):
-                scores[k] = np.add.reduceat(self.row(k)[w.buckets], w.starts, dtype=np.float64)
-        if n_lang:
-            some = self.uses.any(0)[w.script]
-            for k in range(n_lang):
-                scores[k] -= WRONG_SCRIPT * (~self.uses[k][w.script] & some)
+        scores = self._scores(w, size)
         first = np.searchsorted(w.text, np.arange(w.n_texts + 1))
         out: list[dict] = []
         one = self._single(scores, w, first)
@@ -138,6 +130,24 @@ class LanguageModel:
             out.append({"lang_pred": self.languages[best], "score": float(letters[best] / letters.sum()), "spans": spans})
         return pa.array(out, _LABEL_TYPE)
 
+    def _scores(self, w: _Words, size: np.ndarray) -> np.ndarray:
+        """languages x words: the sum of a word's log probabilities, and minus
+        infinity where the language isn't a candidate for it.  A word's
+        candidates are the languages that use its script, or all languages if
+        none does; others are not scored."""
+        scores = np.full((len(self.languages), len(w.starts)), -np.inf)
+        if not len(w.starts):
+            return scores
+        unused = ~self.uses.any(0)
+        for k, out in enumerate(scores):
+            fits = (self.uses[k] | unused)[w.script]
+            if fits.all():
+                out[:] = np.add.reduceat(self.row(k)[w.buckets], w.starts, dtype=np.float64)
+            elif fits.any():
+                starts = np.cumsum(size[fits]) - size[fits]
+                out[fits] = np.add.reduceat(self.row(k)[w.buckets[np.repeat(fits, size)]], starts, dtype=np.float64)
+        return scores
+
     def _single(self, scores: np.ndarray, w: _Words, first: np.ndarray) -> np.ndarray:
         """The one language of each text for which that is sure to be the best
         path, else -1.  With k the best language overall, each detour through j
@@ -148,11 +158,13 @@ class LanguageModel:
         if not len(full) or not len(scores):
             return best
         totals = np.add.reduceat(scores, first[full], axis=1)
-        best[full] = totals.argmax(0)
+        best[full] = np.where(totals.max(0) > -np.inf, totals.argmax(0), -1)
         own = scores[best[w.text], np.arange(scores.shape[1])]
+        own[best[w.text] < 0] = np.inf  # no language fits all words: decided already
         floor = -w.text * 1e9  # lets one running minimum restart at each text
         for j in range(len(scores)):
-            lead = np.cumsum(scores[j] - own)
+            # A drop of more than the whole penalty ends any rise, so its size doesn't matter.
+            lead = np.cumsum(np.maximum(scores[j] - own, -2 * SWITCH_PENALTY))
             before = np.concatenate([[0.0], lead[:-1]])
             base = before[first[full]][np.searchsorted(full, w.text)]
             low = np.minimum.accumulate(before - base + floor)
@@ -200,30 +212,26 @@ def fit(labelled: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> Language
             by_lang: dict[str, list[str]] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(text)
-            found = []
-            for texts in by_lang.values():
+            for lang, texts in by_lang.items():
                 w = _words(texts)
-                found.append(_packed(np.bincount(np.append(w.buckets, BUCKETS + w.letter_script), minlength=n_cells)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(by_lang), pa.string()), pa.array(found, pa.binary())], ["lang", "counts"])
-
-    def added(table: pa.Table) -> pa.Table:
-        total = np.zeros(n_cells, np.int64)
-        for x in table.column("counts").to_pylist():
-            cells, n = _unpacked(x)
-            total[cells] += n
-        return pa.table({"lang": table.column("lang")[:1], "counts": pa.array([_packed(total)], pa.binary())})
-
-    schema = "lang string, counts binary"
-    merged = {r["lang"]: r["counts"] for r in picked.mapInArrow(counted, schema).groupBy("lang").applyInArrow(added, schema).toLocalIterator()}
-    languages, all_grams = sorted(merged), np.zeros(BUCKETS)
-    for lang in languages:
-        cells, n = _unpacked(merged[lang])
-        all_grams[cells[cells < BUCKETS]] += n[cells < BUCKETS]
+                counts = np.bincount(np.append(w.buckets, BUCKETS + w.letter_script), minlength=n_cells)
+                cells = np.flatnonzero(counts)
+                columns = [pa.array([lang] * len(cells), pa.string()), pa.array(cells.astype(np.int32)), pa.array(counts[cells].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "cell", "n"])
+
+    # At most n_cells rows a language come to the driver.
+    added = picked.mapInArrow(counted, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow().sort_by("lang")
+    names, cell, n_of = added.column("lang").to_numpy(), added.column("cell").to_numpy(), added.column("n").to_numpy()
+    languages = sorted(set(names.tolist()))
+    all_grams = np.zeros(BUCKETS)
+    np.add.at(all_grams, cell[cell < BUCKETS], n_of[cell < BUCKETS])
     weight = BACKGROUND * all_grams / max(all_grams.sum(), 1) + 0.05  # towards all languages' letters
     total, seen = np.zeros(len(languages)), []
     uses = np.zeros((len(languages), len(_NAMES)), bool)
     for k, lang in enumerate(languages):
-        cells, n = _unpacked(merged[lang])
+        order = np.flatnonzero(names == lang)
+        order = order[np.argsort(cell[order])]
+        cells, n = cell[order], n_of[order]
         gram = cells < BUCKETS
         whole = weight.sum() + n[gram].sum()
         total[k] = np.log(whole)
@@ -234,17 +242,6 @@ def fit(labelled: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> Language
     return LanguageModel(languages, np.log(weight), total, seen, uses)
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """The cells of ``counts`` that aren't 0, and their counts."""
-    cells = np.flatnonzero(counts)
-    return np.concatenate([cells, counts[cells]]).astype(np.int64).tobytes()
-
-
-def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    cells, n = np.frombuffer(packed, np.int64).reshape(2, -1)
-    return cells, n
-
-
 def label_column(spark, model: LanguageModel, text: Column) -> Column:
     """``model``'s labels of ``text`` as a struct column, see ``LanguageModel.label``.
 
@@ -279,8 +276,12 @@ def train(docs: DataFrame) -> LanguageModel:
 
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score and spans of each row of ``docs``
-    (doc_id, text).  Equal texts get equal labels; an empty table gives an empty
-    result; other columns are left out."""
+    (doc_id, text).  Null and empty texts are ``und`` with score 0; equal texts,
+    repeated rows too, get equal labels; of languages tied in letters the more
+    likely wins, then the first by name; an empty table gives an empty result;
+    other columns, whatever their names, are left out.  A text is labelled
+    whole, which takes 8 bytes a word and language, so very long texts may have
+    some 10 million words with ten languages."""
     labels = docs.select("doc_id", held_out().alias("held_out"), label_column(docs.sparkSession, model, F.col("text")).alias("label"))
     return labels.select("doc_id", "held_out", "label.lang_pred", "label.score", "label.spans")
 
