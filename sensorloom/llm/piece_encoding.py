@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 MARKER = "▁"
 #: How much less an unknown character scores than the worst piece.
 UNKNOWN_PENALTY = 10.0
+#: The offset of the Zipf-Mandelbrot law: a piece of rank r has a probability in proportion to 1 / (r + offset).
+ZIPF_OFFSET = 2.7
 #: Segments that a task remembers, and the longest one that it does.
 MEMO_SEGMENTS = 400_000
 MEMO_CHARS = 64
@@ -101,9 +103,14 @@ class DoubleArray:
 
 
 class Vocabulary:
-    """Pieces, scores and ids of a SentencePiece file, whatever algorithm made
-    it: the scores that it stores count as log scores.  Only the vocabulary,
-    normaliser flags and byte pieces are taken from the file."""
+    """Pieces, log scores and ids of a SentencePiece file.
+
+    A unigram model stores its pieces' log probabilities.  Those of another
+    kind store ranks, which are no log scores; their pieces get the log
+    probability that the Zipf-Mandelbrot law gives to their rank.  Nothing is
+    trained.  Files with a normaliser's character map, removal of extra white
+    space or markers as suffixes are refused.
+    """
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -118,6 +125,8 @@ class Vocabulary:
         normal = [(i, p) for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)]
         self.ids = np.array([i for i, _ in normal], np.int32)
         self.scores = np.array([p.score for _, p in normal], np.float64)
+        if model.trainer_spec.model_type != model.trainer_spec.UNIGRAM:
+            self.scores = zipf_scores(self.scores)
         self.unknown_score = float(self.scores.min(initial=0.0)) - UNKNOWN_PENALTY
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         self.byte_ids = np.full(256, -1, np.int32)
@@ -130,6 +139,14 @@ class Vocabulary:
         self.segments = _segmenter(texts)
 
 
+def zipf_scores(scores: np.ndarray) -> np.ndarray:
+    """Log probabilities by rank; the highest score has the first rank, of equal scores the first."""
+    rank = np.empty(len(scores))
+    rank[np.argsort(-scores, kind="stable")] = np.arange(1, len(scores) + 1)
+    weight = 1 / (rank + ZIPF_OFFSET)
+    return np.log(weight / weight.sum()) if len(scores) else scores
+
+
 def _segmenter(pieces: list[str]) -> re.Pattern:
     """Matches the segments that no piece can cross."""
     longer = [x for x in pieces if len(x) > 1]
@@ -160,6 +177,9 @@ class Encoder:
             new = {s for segments in cut for s in segments}
         self.memo.update(self._encode_segments(list(new)))
         out = [b"".join([self.memo[s] for s in segments]) for segments in cut]
+        if (v.byte_ids < 0).any():  # no byte pieces: a run of unknown characters is one unknown piece
+            for i, ids in enumerate(np.frombuffer(x, np.int32) for x in out):
+                out[i] = ids[(ids != v.unknown) | (np.append(-1, ids[:-1]) != v.unknown)].tobytes()
         for s in new:
             if len(s) > MEMO_CHARS:
                 del self.memo[s]
@@ -265,8 +285,12 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, with_ids: bool = T
     Returns a row for each row of ``docs``: doc_id, n_tokens, n_bytes_fallback
     (byte pieces), ids (array<int>, if ``with_ids``), ids_sha256 (of the ids as
     little-endian int32), round_trip: the decoded text equals the text, taking
-    a marker character that the text itself holds as a space.  Equal texts have
-    equal ids; other columns are left out.
+    a marker character that the text itself holds as a space.  Equal texts,
+    repeated rows too, have equal ids; of tied segmentations the one whose last
+    pieces are longest is taken; an empty table gives an empty result; other
+    columns, whatever their names, are left out.  A text without a place to cut
+    is one segment and takes some 200 bytes for each of its own, so a very long
+    one may have some 5 MB; others are only held whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # one vocabulary file
     schema = "doc_id long, n_tokens long, n_byte_fallback long" + ", ids array<int>" * with_ids + ", ids_sha256 string, round_trip boolean"
