@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Edits allowed, as a share of an item's characters, and the shortest piece that is looked for.
+#: Edits allowed, as a share of an item's characters.
 ERROR_SHARE = 0.05
-MIN_PIECE = 12
 #: Characters of items that one automaton holds; more items take more passes.
 AUTOMATON_CHARS = 4 << 20
 
@@ -31,25 +30,24 @@ def normalised(text: str) -> str:
 
 
 def pieces_of(item: str, share: float = ERROR_SHARE) -> list[tuple[int, str]]:
-    """(offset, piece): one more piece than the errors allowed, about equally
-    long.  Where pieces would be shorter than MIN_PIECE the budget is cut."""
+    """(offset, piece): one more piece than the errors allowed, about equally long."""
     parts = error_budget(item, share) + 1
     cuts = [len(item) * i // parts for i in range(parts + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def error_budget(item: str, share: float = ERROR_SHARE) -> int:
-    return max(0, min(int(len(item) * share), len(item) // MIN_PIECE - 1))
+    """Edits that an item may have: its share, rounded down, and always fewer than its characters."""
+    return min(int(len(item) * share), len(item) - 1)
 
 
-def myers(pattern: str, text: str, limit: int, masks: dict[str, int] | None = None) -> tuple[int, int] | None:
-    """The least edit distance of ``pattern`` to any substring of ``text`` and
-    where the first best one ends, or None if it is over ``limit``."""
-    m = len(pattern)
-    masks = pattern_masks(pattern) if masks is None else masks
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    plus, minus, score, best = full, 0, m, (limit + 1, 0)
-    for at, c in enumerate(text):
+def _distances(m: int, text: Iterable[str], masks: dict[str, int], anchored: bool) -> Iterator[int]:
+    """Myers' bit-parallel recurrence for a pattern of ``m`` characters: after
+    each character of ``text`` the least edit distance of the pattern to what
+    ends there and begins anywhere, or, if ``anchored``, where ``text`` does."""
+    full, top, first = (1 << m) - 1, 1 << (m - 1), int(anchored)
+    plus, minus, score = full, 0, m
+    for c in text:
         eq = masks.get(c, 0)
         vertical = eq | minus
         carried = (((eq & plus) + plus) ^ plus) | eq
@@ -59,11 +57,24 @@ def myers(pattern: str, text: str, limit: int, masks: dict[str, int] | None = No
             score += 1
         elif h_minus & top:
             score -= 1
-        h_plus, h_minus = (h_plus << 1) & full, (h_minus << 1) & full
+        h_plus, h_minus = ((h_plus << 1) | first) & full, (h_minus << 1) & full
         plus, minus = h_minus | (full & ~(vertical | h_plus)), h_plus & vertical
-        if score < best[0]:
-            best = (score, at + 1)
-    return best if best[0] <= limit else None
+        yield score
+
+
+def myers(pattern: str, text: str, limit: int, masks: dict[str, int] | None = None) -> tuple[int, int, int] | None:
+    """The least edit distance of ``pattern`` to any substring of ``text``, and
+    where that begins and ends, or None if the distance is over ``limit``.  Of
+    equally near substrings it is one that ends first, of those the shortest."""
+    best, end = limit + 1, 0
+    for at, score in enumerate(_distances(len(pattern), text, pattern_masks(pattern) if masks is None else masks, False)):
+        if score < best:
+            best, end = score, at + 1
+    if best > limit:
+        return None
+    back = _distances(len(pattern), reversed(text[:end]), pattern_masks(pattern[::-1]), True)
+    size = next((n for n, score in enumerate(back, 1) if score == best), 0)
+    return best, end - size, end
 
 
 def pattern_masks(pattern: str) -> dict[str, int]:
@@ -106,8 +117,7 @@ class Items:
             for a, b in _merged((max(0, x - k), min(len(text), x + len(item) + k)) for x in sorted(starts)):
                 hit = myers(item, text[a:b], k if best is None else best[0] - 1, self.masks[i])
                 if hit:
-                    first = max(0, a + hit[1] - len(item))
-                    best = (hit[0], first, a + hit[1] - first)
+                    best = (hit[0], a + hit[1], hit[2] - hit[1])
             if best:
                 found.append((item_id, *best))
         return sorted(found)
@@ -145,14 +155,16 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; both texts
     are compared in lower case with white space as single spaces.  An item may
-    differ by ``share`` of its characters in edits, fewer if its pieces would
-    get shorter than MIN_PIECE; items shorter than that must be there
-    unchanged.  Returns a row for each document row and item found: doc_id,
-    item_id, distance, first_char and n_chars of the best place in the
-    normalised text.  Null or empty texts and items match nothing; repeated
-    rows are each judged; of equal item rows one counts; other columns are left
-    out.  The benchmark is read on the driver part by part, as many passes over
-    ``docs`` as it has parts of AUTOMATON_CHARS characters.
+    differ by ``share`` of its characters, rounded down, in edits.  Returns a
+    row for each document row and item found: doc_id, item_id, distance,
+    first_char and n_chars of the best place in the normalised text.  Of places
+    tied in distance it is the first one found, at its first end and shortest.
+    Null or empty texts and items match nothing; an empty table gives an empty
+    result; repeated rows are each judged; of equal item rows one counts; other
+    columns, whatever their names, are left out.  A text is read whole in one
+    task, however long, with a few bytes of memory for each character.  The
+    benchmark is read on the driver part by part, as many passes over ``docs``
+    as it has parts of AUTOMATON_CHARS characters.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
     result = docs.sparkSession.createDataFrame([], HIT_SCHEMA)

@@ -5,14 +5,23 @@ import pytest
 from sensorloom.llm import decontamination as D
 
 
-def brute(pattern, text):
-    row = [0] * (len(text) + 1)
+def last_row(pattern, text, anchored=False):
+    """The least distance of ``pattern`` to what ends at each place of ``text``."""
+    row = [j * anchored for j in range(len(text) + 1)]
     for i, c in enumerate(pattern, 1):
         new = [i]
         for j, x in enumerate(text, 1):
             new.append(min(row[j - 1] + (c != x), row[j] + 1, new[-1] + 1))
         row = new
-    return min(row), row.index(min(row))
+    return row
+
+
+def brute(pattern, text):
+    """The least distance, and where the first and shortest substring at that distance begins and ends."""
+    row = last_row(pattern, text)
+    end = row.index(min(row))
+    size = last_row(pattern[::-1], text[:end][::-1], True).index(row[end])
+    return row[end], end - size, end
 
 
 def test_myers_against_the_table():
@@ -20,17 +29,30 @@ def test_myers_against_the_table():
     for _ in range(500):
         p = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 90)))
         t = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 80)))
-        d, end = brute(p, t)
-        assert D.myers(p, t, 10**6)[0] == d and (d == len(p) or D.myers(p, t, 10**6)[1] == end)
-        assert D.myers(p, t, d - 1) is None
+        expected = brute(p, t)
+        assert D.myers(p, t, 10**6)[0] == expected[0] and (expected[0] == len(p) or D.myers(p, t, 10**6) == expected)
+        assert D.myers(p, t, expected[0] - 1) is None
 
 
 def test_pieces_cover_the_item():
-    for n in (1, 11, 12, 30, 240, 1000):
+    for n in (1, 11, 12, 19, 20, 22, 23, 24, 30, 240, 1000):
         item = "".join(chr(97 + i % 26) for i in range(n))
         parts = D.pieces_of(item)
-        assert "".join(x for _, x in parts) == item and len(parts) == D.error_budget(item) + 1
-        assert len(parts) == 1 or min(len(x) for _, x in parts) >= D.MIN_PIECE
+        assert "".join(x for _, x in parts) == item and len(parts) == D.error_budget(item) + 1 == n // 20 + 1
+
+
+def test_short_item_with_one_edit(spark):
+    item = "abcdefghij klmnopqrs"
+    docs = [(1, f"xx {item} yy"), (2, "xx abcdefghij klmnopqr_ yy"), (3, "xx abcdefghij_klmnopqrs yy"), (4, "xx abcdefghi_ klmnopqr_ yy")]
+    got = D.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [(1, 9, 0), (2, 9, 1), (3, 9, 1)]
+
+
+def test_place_of_an_item_with_a_gap(spark):
+    item = "".join(chr(97 + i * i % 26) for i in range(60)) + "0123456789" * 2
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = D.find_items(spark.createDataFrame([(1, item[:5] + item[9:])], "doc_id long, text string"), items)
+    assert [tuple(r) for r in got.collect()] == [(1, 1, 4, 0, 76)]
 
 
 @pytest.fixture(scope="module")
@@ -59,9 +81,9 @@ def test_finds_what_the_table_finds(spark, case):
         for item_id, item in items:
             if text and item:
                 p, t = D.normalised(item), D.normalised(text)
-                if abs(len(t)) >= 1 and (d := brute(p, t)[0]) <= D.error_budget(p):
-                    expected.append((doc_id, item_id, d))
-    assert sorted([tuple(r)[:3] for r in got.collect()], key=repr) == sorted(expected, key=repr)
+                if (found := brute(p, t))[0] <= D.error_budget(p):
+                    expected.append((doc_id, item_id, found[0], found[1], found[2] - found[1]))
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == sorted(expected, key=repr)
 
 
 def test_drops_documents_and_works_in_parts(spark, case, monkeypatch):
