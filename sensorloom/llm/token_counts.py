@@ -66,11 +66,11 @@ class TokenizerFile:
     def splits_at_spaces(self) -> bool:
         """Whether a single space between two other characters always begins a
         new word for this tokenizer, so that counts of the parts add up: byte-level
-        words, no normaliser, and no added token that takes or holds a space."""
+        words, no normaliser, and no added token that takes, holds or looks for a space."""
         rules = json.loads(self.content)
         words = rules.get("pre_tokenizer") or {}
         plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space", True)
-        return plain and not rules.get("normalizer") and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in rules.get("added_tokens", []))
+        return plain and not rules.get("normalizer") and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules.get("added_tokens", []))
 
 
 #: The counter of the tokenizer that a Python worker used last; its memory serves the worker's next tasks.
@@ -123,8 +123,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     that null counts as empty, as any other change could change a count.
 
     Returns a row for each row of ``docs``: doc_id, n_bytes, n_tokens.  Empty
-    texts have 0 of both; equal texts are encoded once; other columns are left
-    out.
+    texts have 0 of both; equal texts, tied or repeated rows, are encoded once
+    and counted each; an empty table gives an empty result; other columns,
+    whatever their names, are left out.  A text goes to the tokenizer whole, so
+    a very long one takes what the library needs for it.
     """
     spark = docs.sparkSession
     tokenizer = TokenizerFile(tokenizer_path)
