@@ -49,6 +49,7 @@ def replay_summary(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts:
         F.coalesce(F.sum(F.greatest(F.lit(0), F.col("_d") - 1)), F.lit(0)).alias("n_lost"),
         F.count(F.when(F.col("_t") <= 0, 1)).alias("n_not_forward"),
         F.avg("_t").alias("mean_period_us"),
+        F.coalesce(F.sum("_t"), F.lit(0)).alias("span_us"),
         F.count(F.when(F.col("_clipped"), 1)).alias("n_clipped"),
     )
 

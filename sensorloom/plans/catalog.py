@@ -323,13 +323,17 @@ def _(spark, d_):
 
 @query(
     "a21_replay_summary",
-    """$S, t AS (SELECT *, ts_us - lag(ts_us) OVER w AS dt, event_id - lag(event_id) OVER w AS dn FROM s WINDOW w AS (PARTITION BY event_type ORDER BY ts_us, event_id))
-    SELECT event_type, count(*) AS n_rows, CAST(coalesce(sum(greatest(0, dn - 1)), 0) AS BIGINT) AS n_lost, count(*) FILTER (WHERE dt <= 0) AS n_not_forward, round(avg(dt), 3) AS mean_period_us,
+    """$S, t AS (SELECT *, ts_us - lag(ts_us) OVER w AS dt, event_id - lag(event_id) OVER w AS dn FROM s WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts_us, event_id))
+    SELECT event_type, count(*) AS n_rows, CAST(coalesce(sum(greatest(0, dn - 1)), 0) AS BIGINT) AS n_lost, count(*) FILTER (WHERE dt <= 0) AS n_not_forward, round(sum(dt) / count(dt), 3) AS mean_period_us,
       count(*) FILTER (WHERE raw <= 8 OR raw >= 4087) AS n_clipped FROM t GROUP BY event_type""",
 )
 def _(spark, d_):
-    clipped = fn.rail(F.col("raw"), *fn.ECG_CLIP)
-    return rounded(series.replay_summary(samples(spark, d_), ["event_type"], ORDER, "ts_us", "event_id", clipped), 3)
+    """Each session's stream of a type by itself, then added up, so that no window spans sessions."""
+    clipped, c = fn.rail(F.col("raw"), *fn.ECG_CLIP), F.col
+    streams = series.replay_summary(samples(spark, d_), ["event_type", "user_id"], ORDER, "ts_us", "event_id", clipped)
+    sums = [F.sum(n).alias(n) for n in ("n_rows", "n_lost", "n_not_forward", "n_clipped")]
+    period = F.sum("span_us") / F.nullif(F.sum(c("n_rows") - 1), F.lit(0))
+    return rounded(streams.groupBy("event_type").agg(*sums, period.alias("mean_period_us")), 3)
 
 
 @query("a22_record_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -623,6 +627,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES["flagship"] = flagship
+_SQL["flagship"] = f"""WITH q AS ({_SQL["a10_ppg_quality"]}),
+    f AS ({_SQL["a04_stress_features"].replace("round(mean_pp_ms, 6)", "mean_pp_ms").replace("round(rmssd_ms, 6)", "rmssd_ms")}),
+    b AS (SELECT q.user_id, reasons, score, q.status = 'good' AS good, beat_count, f.status AS vs,
+      1 / (1 + exp(-(0.1 + (mean_pp_ms - 700.0) / 80.0 * -0.8 + (rmssd_ms - 250.0) / 60.0 * 0.5))) AS p FROM q LEFT JOIN f USING (user_id)),
+    r AS (SELECT *, good AND vs = 'ready' AS reached FROM b)
+    SELECT user_id, reasons AS quality_reasons, score AS quality_score, beat_count,
+      CASE WHEN NOT good THEN 'quality_rejected' WHEN NOT reached THEN vs ELSE 'valid' END AS stress_status, CASE WHEN NOT good THEN reasons ELSE 0 END AS stress_reason_flags,
+      CASE WHEN reached THEN round(p, 6) END AS stress_score, CASE WHEN reached THEN round(greatest(p, 1 - p), 6) END AS stress_confidence,
+      reached AND p >= 0.5 AS stress_alert, CASE WHEN reached THEN CASE WHEN p >= 0.5 THEN 'stress' ELSE 'baseline' END END AS stress_label FROM r"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -60,35 +60,65 @@ def _(spark, d_):
     return rounded(dsp.filtered(_scaled(spark, d_), KEYS, ORDER, "x", lambda x: dsp.preprocessed(x, **dsp.PPG), "event_id"))
 
 
-@query(
-    "f06_ppg_peaks",
-    """$R, r AS (SELECT user_id, idx, value AS p1, CAST(0 AS DOUBLE) AS p2, ts_us AS t1, 0.995 + 0.005 * value AS env, CAST(0 AS BIGINT) AS last_us, false AS hit, CAST(0 AS DOUBLE) AS amp FROM s WHERE idx = 0
+def _peaks_sql(height: str, scale: float, refractory_us: int) -> str:
+    """Each session's samples in order with the two heights before, the envelope and the last peak; ``height`` is of a sample {t}value."""
+    first, following = height.format(t=""), height.format(t="s.")
+    return f"""$R, r AS (SELECT user_id, idx, {first} AS p1, CAST(0 AS DOUBLE) AS p2, ts_us AS t1, 0.995 + 0.005 * {first} AS env, CAST(0 AS BIGINT) AS last_us, false AS hit, CAST(0 AS DOUBLE) AS amp FROM s WHERE idx = 0
     UNION ALL SELECT user_id, idx, x, p1, t, e, CASE WHEN hit THEN t1 ELSE last_us END, hit, p1 FROM (
-      SELECT s.user_id, s.idx, s.value AS x, s.ts_us AS t, r.p1, r.t1, r.last_us, 0.995 * r.env + 0.005 * s.value AS e,
-        s.idx >= 2 AND r.p1 > r.p2 AND r.p1 >= s.value AND r.p1 > (0.995 * r.env + 0.005 * s.value) * 0.45 AND (r.last_us = 0 OR r.t1 - r.last_us >= 280000) AS hit
-      FROM r JOIN s ON s.user_id = r.user_id AND s.idx = r.idx + 1))
-    SELECT user_id, last_us AS peak_us, amp AS amplitude FROM r WHERE hit""",
-)
+      SELECT user_id, idx, x, t, p1, t1, last_us, e, idx >= 2 AND p1 > p2 AND p1 >= x AND p1 > e * {scale} AND (last_us = 0 OR t1 - last_us >= {refractory_us}) AS hit
+      FROM (SELECT s.user_id, s.idx, {following} AS x, s.ts_us AS t, r.p1, r.p2, r.t1, r.last_us, 0.995 * r.env + 0.005 * {following} AS e FROM r JOIN s ON s.user_id = r.user_id AND s.idx = r.idx + 1)))
+    SELECT user_id, last_us AS peak_us, amp AS amplitude FROM r WHERE hit"""
+
+
+@query("f06_ppg_peaks", _peaks_sql("{t}value", 0.45, 280_000))
 def _(spark, d_):
     return dsp.session_peaks(samples(spark, d_), KEYS, ORDER, "ts_us", "value", dsp.PPG)
 
 
-@query("f07_r_peaks")
+@query("f07_r_peaks", _peaks_sql("abs({t}value - 70)", 0.55, 240_000))
 def _(spark, d_):
     centred = samples(spark, d_).withColumn("x", F.col("value") - 70)
     return dsp.session_peaks(centred, KEYS, ORDER, "ts_us", "x", dsp.ECG)
 
 
-@query("f12_biquad_cascade")
+_SECTIONS = dsp.butterworth_sections("low", 4, 20.0, 200.0)
+
+
+def _cascade_sql() -> str:
+    """Two sections in series; z11 to z22 are what each keeps from a sample to the next."""
+    (b0, b1, b2, a1, a2), (d0, d1, d2, c1, c2) = ([f"({x:.17e})" for x in row] for row in _SECTIONS.tolist())
+    kept = "z11, z12, z21, z22"
+
+    def step(source: str) -> str:
+        return f"""SELECT user_id, idx, event_id, o2 AS y, {b1} * x - {a1} * o1 + z12 AS z11, {b2} * x - {a2} * o1 AS z12, {d1} * o1 - {c1} * o2 + z22 AS z21, {d2} * o1 - {c2} * o2 AS z22
+        FROM (SELECT *, {d0} * o1 + z21 AS o2 FROM (SELECT *, {b0} * x + z11 AS o1 FROM ({source})))"""
+
+    first = "SELECT user_id, idx, event_id, value AS x, " + ", ".join(f"CAST(0 AS DOUBLE) AS {z}" for z in kept.split(", ")) + " FROM s WHERE idx = 0"
+    following = f"SELECT s.user_id, s.idx, s.event_id, s.value AS x, {kept} FROM r JOIN s ON s.user_id = r.user_id AND s.idx = r.idx + 1"
+    return f"$R, r AS ({step(first)} UNION ALL {step(following)}) SELECT event_id, round(y, 6) + 0.0 AS y FROM r"
+
+
+@query("f12_biquad_cascade", _cascade_sql())
+def _(spark, d_):
+    return rounded(dsp.filtered(samples(spark, d_), KEYS, ORDER, "value", lambda x: dsp.cascade(x, _SECTIONS), "event_id"))
+
+
+@query(
+    "r10_warm_up",
+    _ema_sql("y", 0.18).split("SELECT event_id, round(y, 6)")[0] + "SELECT user_id, count(*) AS n, round(avg(y), 6) AS mean, round(max(y), 6) AS top FROM r WHERE idx >= 5 GROUP BY user_id",
+)
 def _(spark, d_):
-    sections = dsp.butterworth_sections("low", 4, 20.0, 200.0)
-    return rounded(dsp.filtered(samples(spark, d_), KEYS, ORDER, "value", lambda x: dsp.cascade(x, sections), "event_id"))
+    """The filter keeps its state over the warm-up, the first 5 samples; statistics begin after it."""
+    rows = _scaled(spark, d_)
+    smooth = dsp.filtered(rows, KEYS, ORDER, "x", lambda x: dsp.ema(x, 0.18), "event_id")
+    numbered = rows.select("user_id", "event_id", (F.row_number().over(series.ordered(KEYS, ORDER)) - 1).alias("idx"))
+    after = numbered.filter("idx >= 5").join(smooth, "event_id")
+    return rounded(after.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.max("y").alias("top")))
 
 
 @query("f15_zero_phase")
 def _(spark, d_):
-    sections = dsp.butterworth_sections("low", 4, 20.0, 200.0)
-    return rounded(dsp.filtered(samples(spark, d_), KEYS, ORDER, "value", lambda x: dsp.zero_phase(x, sections), "event_id"))
+    return rounded(dsp.filtered(samples(spark, d_), KEYS, ORDER, "value", lambda x: dsp.zero_phase(x, _SECTIONS), "event_id"))
 
 
 @query(
@@ -183,10 +213,23 @@ def _(spark, d_):
     return samples(spark, d_).withColumn("late", late).groupBy("user_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("late"), 1)).alias("n_late"))
 
 
-@query("r09_session_states")
+_STATES_SQL = """$R, e AS (SELECT user_id AS session, idx, ts_us // 100000 AS t, NOT bad AS contact, event_type = 'signup' AS start FROM s),
+    r AS (SELECT session, CAST(-1 AS BIGINT) AS idx, CAST(0 AS BIGINT) AS t, 'idle' AS state, CAST(0 AS BIGINT) AS since, CAST(-1 AS BIGINT) AS held FROM e WHERE idx = 0
+    UNION ALL SELECT session, idx, t, following, CASE WHEN following <> state THEN t ELSE since END, held FROM (
+      SELECT *, CASE WHEN state = 'idle' AND start THEN 'contact_wait' WHEN state = 'contact_wait' AND held >= 0 AND t - held >= 500000 THEN 'warmup'
+        WHEN state = 'contact_wait' AND t - since >= 120000000 THEN 'error' WHEN state = 'warmup' AND t - since >= 3000000 THEN 'measuring'
+        WHEN state = 'measuring' AND t - since >= 60000000 THEN 'result' WHEN state IN ('result', 'error') AND t - since >= 45000000 THEN 'idle' ELSE state END AS following
+      FROM (SELECT e.session, e.idx, e.t, e.start, r.state, r.since, CASE WHEN NOT e.contact THEN -1 WHEN r.held < 0 THEN e.t ELSE r.held END AS held
+        FROM r JOIN e ON e.session = r.session AND e.idx = r.idx + 1)))
+    SELECT session, t AS timestamp_us, state FROM r WHERE idx >= 0"""
+
+
+@query("r09_session_states", _STATES_SQL)
 def _(spark, d_):
     c = F.col
-    events = samples(spark, d_).select(c("user_id").alias("session"), (c("ts_us") / 100000).cast("long").alias("timestamp_us"), (~c("bad")).alias("contact"), (c("event_type") == "signup").alias("start"))
+    events = samples(spark, d_).select(
+        c("user_id").alias("session"), F.floor(c("ts_us") / 100000).alias("timestamp_us"), c("event_id").alias("sequence"), (~c("bad")).alias("contact"), (c("event_type") == "signup").alias("start")
+    )
     return sessions.state_batch(events)
 
 

@@ -180,16 +180,8 @@ def _(spark, d_):
     return rows.filter("l_returnflag = 'A'").select("l_suppkey").intersect(rows.filter("l_returnflag = 'N'").select("l_suppkey")).agg(F.count("*").alias("n_shared"))
 
 
-@query("t02_ascending", "$S SELECT user_id, array_to_string(list_sort(list(raw)), ',') AS sorted FROM s WHERE idx < 20 GROUP BY user_id")
+@query("t02_ascending", "$S SELECT user_id, event_id, raw, row_number() OVER (PARTITION BY user_id ORDER BY raw, ts_us, event_id) - 1 AS pos FROM s")
 def _(spark, d_):
-    w = series.ordered(KEYS, ORDER)
-    rows = samples(spark, d_).withColumn("rn", F.row_number().over(w)).filter("rn <= 20")
-    return rows.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("raw")), ",").alias("sorted"))
-
-
-@query("t02_sorted_samples", "$S SELECT user_id, event_id, raw, row_number() OVER (PARTITION BY user_id ORDER BY raw, ts_us, event_id) - 1 AS pos FROM s")
-def _(spark, d_):
-    """All samples, where t02_ascending has the first 20 of a session, as its SQL states."""
     return series.positions(samples(spark, d_), KEYS, [F.asc("raw"), *ORDER]).select("user_id", "event_id", "raw", "pos")
 
 
@@ -205,11 +197,6 @@ def _(spark, d_):
     return samples(spark, d_).filter("raw > 500").withColumn("rn", F.row_number().over(w)).filter("rn <= 15").select("user_id", "event_id")
 
 
-@query("s17_synthetic_samples", "SELECT (i + 1) * 5000 AS timestamp_us, i AS seq, CAST(floor(40000 + 500 * sin(2 * pi() * (i % 40) / 40)) AS BIGINT) AS red FROM range(0, 800) r(i)")
-def _(spark, d_):
-    return logs.synthetic_ppg(spark, 800).select("timestamp_us", "seq", "red")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

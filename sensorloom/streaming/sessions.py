@@ -17,7 +17,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 # Times of the states in milliseconds.
 CONTACT_STABLE_MS, CONTACT_TIMEOUT_MS, WARMUP_MS, MEASURE_MS, HOLD_MS = 500, 120_000, 3_000, 60_000, 45_000
 
-LATE_SCHEMA = "session long, timestamp_us long, value double, late boolean, gap boolean"
+#: Wall time without a row after which a session's state is let go.
+IDLE_MS = 3_600_000
+
+LATE_SCHEMA = "session long, arrival long, timestamp_us long, value double, late boolean, gap boolean"
 STATE_SCHEMA = "session long, timestamp_us long, state string"
 
 
@@ -34,18 +37,25 @@ def mark_late(rows: pd.DataFrame, last_us: int | None, period_us: int) -> tuple[
     return rows.assign(late=late, gap=gap & before.notna()), top if last_us is None else max(top, last_us)
 
 
-def late_marked_stream(samples: DataFrame, period_us: int) -> DataFrame:
-    """``samples`` (session, timestamp_us, value) as a stream, in order of arrival."""
+def late_marked_stream(samples: DataFrame, period_us: int, idle_ms: int = IDLE_MS) -> DataFrame:
+    """``samples`` (session, arrival, timestamp_us, value) as a stream.
+
+    ``arrival`` numbers rows as they came, such as a source's offset: a
+    micro-batch's shuffle keeps no order, so rows are put into that one.  A
+    session without a row for ``idle_ms`` is forgotten and begins anew.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        for batch in batches:
-            marked, last = mark_late(batch, last, period_us)
-            yield marked[["session", "timestamp_us", "value", "late", "gap"]]
-        if last is not None:
-            state.update((last,))
+        marked, last = mark_late(pd.concat(list(batches)).sort_values("arrival", ignore_index=True), last, period_us)
+        yield marked[["session", "arrival", "timestamp_us", "value", "late", "gap"]]
+        state.update((last,))
+        state.setTimeoutDuration(idle_ms)
 
-    return samples.groupBy("session").applyInPandasWithState(step, LATE_SCHEMA, "last_us long", "append", GroupStateTimeout.NoTimeout)
+    return samples.groupBy("session").applyInPandasWithState(step, LATE_SCHEMA, "last_us long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 @dataclass
@@ -84,18 +94,27 @@ def session_states(rows: pd.DataFrame, machine: Machine) -> pd.DataFrame:
     return rows.assign(state=states)[["session", "timestamp_us", "state"]]
 
 
+_IN_ORDER = ["timestamp_us", "sequence"]
+
+
 def state_batch(events: DataFrame) -> DataFrame:
-    return events.groupBy("session").applyInPandas(lambda rows: session_states(rows.sort_values("timestamp_us", kind="stable"), Machine()), STATE_SCHEMA)
+    """The states of ``events`` (session, timestamp_us, sequence, contact, start); ``sequence`` orders rows of one time."""
+    return events.groupBy("session").applyInPandas(lambda rows: session_states(rows.sort_values(_IN_ORDER), Machine()), STATE_SCHEMA)
+
 
+def state_stream(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """``state_batch`` as a stream; a session without a row for ``idle_ms`` is forgotten and begins anew."""
 
-def state_stream(events: DataFrame) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         machine = Machine(*state.get) if state.exists else Machine()
-        rows = pd.concat(list(batches))
-        yield session_states(rows.sort_values("timestamp_us", kind="stable"), machine)
+        yield session_states(pd.concat(list(batches)).sort_values(_IN_ORDER), machine)
         state.update(astuple(machine))
+        state.setTimeoutDuration(idle_ms)
 
-    return events.groupBy("session").applyInPandasWithState(step, STATE_SCHEMA, "state string, since_us long, contact_us long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("session").applyInPandasWithState(step, STATE_SCHEMA, "state string, since_us long, contact_us long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_means(samples: DataFrame, ts: str, value: str, width: str, slide: str, delay: str) -> DataFrame:

@@ -134,8 +134,8 @@ def test_session_machine_and_late_rows():
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [(s, t * 100_000, t % 7 != 3 or t > 30, t == 1) for s in (1, 2) for t in range(60)]
-    df = spark.createDataFrame(rows, "session long, timestamp_us long, contact boolean, start boolean")
+    rows = [(s, t * 100_000, 2 * t + k, t % 7 != 3 or t > 30, t == 1 and k == 1) for s in (1, 2) for t in range(60) for k in (1, 0)]
+    df = spark.createDataFrame(rows, "session long, timestamp_us long, sequence long, contact boolean, start boolean")
     for part in range(3):
         df.filter(F.floor(F.col("timestamp_us") / 2_000_000) == part).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
@@ -145,6 +145,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("states").collect())) == expected
 
 
+def test_late_stream_follows_arrival(spark, tmp_path):
+    """Files hold rows in another order than they arrived in."""
+    times = [10, 20, 20, 15, 30, 90, 80, 100, 100, 130]
+    rows = [(s, i, t + s, float(t)) for s in (1, 2) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "session long, arrival long, timestamp_us long, value double")
+    for part in range(2):
+        df.filter(F.floor(F.col("arrival") / 5) == part).orderBy(F.desc("timestamp_us")).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = sessions.late_marked_stream(stream, 10).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(r["session"], r["arrival"]): (r["late"], r["gap"]) for r in spark.table("late").collect()}
+    for s in (1, 2):
+        marked, _ = sessions.mark_late(pd.DataFrame({"timestamp_us": [t + s for t in times]}), None, 10)
+        assert [got[s, i] for i in range(len(times))] == list(zip(marked["late"].tolist(), marked["gap"].tolist(), strict=True))
+
+
 def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "k int, i int, v double")
     assert intervals.stress_features(empty, ["k"], ["i"], "v").count() == 0

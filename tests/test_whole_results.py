@@ -20,7 +20,7 @@ def long_sessions(spark, folder, n=60):
 
 def test_all_samples_are_sorted(spark, tmp_path):
     rows = long_sessions(spark, tmp_path)
-    up = {(r["user_id"], r["pos"]): (r["event_id"], r["raw"]) for r in QUERIES["t02_sorted_samples"](spark, str(tmp_path)).collect()}
+    up = {(r["user_id"], r["pos"]): (r["event_id"], r["raw"]) for r in QUERIES["t02_ascending"](spark, str(tmp_path)).collect()}
     down = {(r["user_id"], r["pos"]): (r["idx"], r["raw"]) for r in QUERIES["t03_sorted_indices"](spark, str(tmp_path)).collect()}
     assert len(up) == len(down) == len(rows)
     for u in (1, 2):
@@ -31,7 +31,7 @@ def test_all_samples_are_sorted(spark, tmp_path):
 
 def test_all_positions_are_joined(spark, tmp_path):
     rows = long_sessions(spark, tmp_path)
-    got = {(r["user_id"], r["idx"]): r["raw"] for r in QUERIES["j04_all_positions"](spark, str(tmp_path)).collect()}
+    got = {(r["user_id"], r["idx"]): r["raw"] for r in QUERIES["j04_positional_join"](spark, str(tmp_path)).collect()}
     assert got == {(u, i): v for _, u, v, i in rows}
 
 
@@ -39,7 +39,7 @@ def test_lines_of_any_quantity_are_judged(spark, tmp_path):
     rows = [(1, 1, 5.0, "F", 0.1, 0.08), (1, 2, 5.0, "F", 0.0, 0.0), (2, 1, 50.0, "O", 0.1, 0.08), (3, 1, 7.0, "O", 0.1, 0.08), (3, 2, 50.0, "O", 0.0, 0.0), (4, 1, 1.0, None, 0.0, 0.0)]
     df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_linestatus string, l_discount double, l_tax double")
     df.write.parquet(f"{tmp_path}/lineitem.parquet")
-    found = sorted(map(tuple, QUERIES["a32_all_wrong_predictions"](spark, str(tmp_path)).collect()))
+    found = sorted(map(tuple, QUERIES["a32_wrong_predictions"](spark, str(tmp_path)).collect()))
     assert found == [(1, 2, "false_negative"), (2, 1, "false_positive"), (3, 1, "false_positive")]
     assert QUERIES["a32_prediction_counts"](spark, str(tmp_path)).first().asDict() == {"total": 5, "correct": 2, "false_positive": 2, "false_negative": 1}
 
@@ -60,7 +60,7 @@ def test_positions_over_ranges(spark, rows_per_range):
 def test_whole_table_is_sorted(spark, tmp_path):
     df, expected = suppliers(spark)
     df.write.parquet(f"{tmp_path}/supplier.parquet")
-    assert [tuple(r) for r in QUERIES["t05_sorted_table"](spark, str(tmp_path)).collect()] == [(k, i + 1) for i, k in enumerate(expected)]
+    assert [tuple(r) for r in QUERIES["t05_multi_key_sort"](spark, str(tmp_path)).collect()] == [(k, i + 1) for i, k in enumerate(expected)]
 
 
 def test_each_user_is_an_oxygen_session(spark, small):
