@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 #: Bytes of text in a chunk, and values in a shard, on average.
 CHUNK_BYTES = 4 << 20
 SHARD_VALUES = 2 << 20
-#: Rows that a chunk or a node between chunks and shards sends at most.
-FAN_OUT = 512
+#: Rows that a chunk or a node between chunks and shards sends at most; of a chunk's values some 170 go in each then.
+FAN_OUT = 4096
 #: Rows of a partition of a checkpointed table.
 PARTITION_ROWS = 100_000
 #: Bytes whose words are looked for at once.
