@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Leading tokens of a leaf; documents that make a token constant and a template recurring; least share of constant tokens.
+#: Leading tokens of a leaf; documents that make a token constant and a template recurring; least share of constant tokens;
+#: share of the line's median support below which a token is a field's value.
 DEPTH = 3
 MIN_DOCUMENTS = 5
 MIN_CONSTANT = 0.75
+FIELD_SHARE = 0.5
 
 WILDCARD = "<*>"
 _SPACE = r" \t\x0B\f\r"
@@ -72,14 +74,18 @@ def recurring_contents(docs: DataFrame, lines: DataFrame, min_documents: int = M
         .select("leaf", "content", "weight", "n_tokens", "place", F.xxhash64("token").alias("token")),
         "line-places",
     )
-    supported = places.groupBy("leaf", "place", "token").agg(F.sum("weight").alias("n")).filter(F.col("n") >= min_documents).drop("n")
-    templates = (
+    supported = places.groupBy("leaf", "place", "token").agg(F.sum("weight").alias("n")).filter(F.col("n") >= min_documents)
+    parts = (
         places.join(supported, ["leaf", "place", "token"])
         .groupBy("leaf", "content", "n_tokens")
-        .agg(F.count("*").alias("n_constant"), F.xxhash64(F.sort_array(F.collect_list(F.struct("place", "token")))).alias("template"))
-        .filter(F.col("n_constant") >= min_constant * F.col("n_tokens"))
-        .select("leaf", "content", "template")
+        .agg(F.sort_array(F.collect_list(F.struct("place", "token", "n"))).alias("fine"))
+        .filter(F.size("fine") >= min_constant * F.col("n_tokens"))
     )
+    # The second form follows from the first, so it only ever merges templates.
+    median = F.element_at(F.array_sort(F.col("fine.n")), F.ceil(F.size("fine") / 2).cast("int"))
+    parts = parts.withColumn("least", FIELD_SHARE * median).withColumn("coarse", F.filter("fine", lambda x: x["n"] >= F.col("least")))
+    template = F.when(F.size("coarse") >= min_constant * F.col("n_tokens"), F.xxhash64("coarse")).otherwise(F.xxhash64("fine"))
+    templates = parts.select("leaf", "content", template.alias("template"))
     templates = C.checkpointed(templates)
     documents = pairs.join(templates, ["leaf", "content"]).select("leaf", "template", "doc_id").distinct()
     recurring = documents.groupBy("leaf", "template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
@@ -91,8 +97,9 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_documents: int
     column ``line_dedup`` (n_lines, n_dropped), which replaces one of that name.
 
     ``docs`` needs doc_id and text; lines end with \\n.  A token is constant if
-    ``min_documents`` pairs of a document and a line have it at its place.  Rows
-    of one doc_id are one document.  A null text stays null with 0 lines; lines
+    ``min_documents`` pairs of a document and a line have it at its place, and,
+    where enough constants are left, at least half as many as have the line's
+    median constant.  Rows of one doc_id are one document.  A null text stays null with 0 lines; lines
     without a token have no template and stay; rows with a null doc_id take no
     part and keep all lines; a document whose lines are all dropped keeps an
     empty text.
@@ -145,10 +152,14 @@ WITH lines AS (
   SELECT doc_id, line, masked, n_tokens, lead, unnest(range(0, len(tokens))) AS place, unnest(tokens) AS token
   FROM leaves SEMI JOIN common USING (n_tokens, lead)
 ), supported AS (
-  SELECT n_tokens, lead, place, token FROM places WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT (doc_id, masked)) >= 5
-), templates AS (
-  SELECT doc_id, line, n_tokens, lead, list({'p': place, 't': token} ORDER BY place) AS template
+  SELECT n_tokens, lead, place, token, count(DISTINCT (doc_id, masked)) AS n FROM places WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT (doc_id, masked)) >= 5
+), fine AS (
+  SELECT doc_id, line, n_tokens, lead, list({'p': place, 't': token, 'n': n} ORDER BY place) AS fine, list_sort(list(n))[(count(*) + 1) // 2] AS median
   FROM places JOIN supported USING (n_tokens, lead, place, token) GROUP BY doc_id, line, n_tokens, lead HAVING count(*) >= 0.75 * n_tokens
+), coarse AS (
+  SELECT *, list_filter(fine, lambda x: x.n >= 0.5 * median) AS coarse FROM fine
+), templates AS (
+  SELECT doc_id, line, n_tokens, lead, CASE WHEN len(coarse) >= 0.75 * n_tokens THEN coarse ELSE fine END AS template FROM coarse
 ), recurring AS (
   SELECT n_tokens, lead, template, min(doc_id) AS first_doc FROM templates GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5
 ), gone AS (

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -13,6 +15,29 @@ def test_templates_with_variable_fields(spark):
     assert got[3]["line_dedup"]["n_lines"] == 3 and got[3]["line_dedup"]["n_dropped"] == 1 and got[3]["text"].endswith("keep ddd")
 
 
+@pytest.mark.parametrize("n", [20, 200, 2000])
+def test_popular_field_values(spark, n):
+    names, cities, days = ("abcdefghij", "klmnopqrst", "uvwxyzäöüß")
+    line = "contact our desk through {} about any {} order on {} today please now or later this very week"
+    pick = random.Random(1).choice
+    texts = [line.format(pick(names), pick(cities), pick(days)) for _ in range(n)]
+    one_of_two = [f"we open this shop {('early', 'late')[i % 2]} on every morning of the week" for i in range(n)]
+    rows = [(i, f"{a}\n{b}\nown line {'x' * (i + 1)} {'y' * (i + 1)}") for i, (a, b) in enumerate(zip(texts, one_of_two, strict=True))]
+    got = line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum("contact" in r["text"] for r in got) == 1
+    assert sum("we open" in r["text"] for r in got) == 2  # values as common as this stay two templates
+    assert all("own line" in r["text"] for r in got)
+
+
+def test_rare_exact_copies_among_popular_templates(spark):
+    """A line in few documents, most of whose tokens are far more common, keeps its own template."""
+    words = [["red", "green", "blue", "black"], ["one", "two", "three", "four"], ["north", "south", "east", "west"], ["day", "night", "noon", "dawn"]]
+    popular = [(i, "this is a " + " ".join(w[(i + k) % 3] for k, w in enumerate(words)) + " x") for i in range(300)]
+    rare = [(1000 + i, "this is a " + " ".join(w[3] for w in words) + " x") for i in range(6)]
+    got = line_dedup.drop_recurring_lines(spark.createDataFrame(popular + rare, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] >= 1000 and r["text"]) == [1000]
+
+
 def test_few_documents_keep_their_lines(spark):
     rows = [(i, "the same line\n" + "x" * i) for i in range(4)] + [(9, "again\nagain\nagain\nagain\nagain\nagain")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
