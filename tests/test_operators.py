@@ -201,14 +201,37 @@ def test_bandpass_and_peaks():
         w.look_ahead_peaks(x, np.zeros(10), 1, 0.5, 4)
 
 
-def test_pulse_window_features():
-    from sensorloom.operators import waveforms as w
+def test_pulse_window_features(spark):
+    from sensorloom.operators import dsp, waveforms as w
 
     t = np.arange(3840) / 64
-    features, reason = w.window_features(np.sin(2 * np.pi * 1.25 * t))
-    assert reason == "" and features["mean_hr_bpm"] == pytest.approx(75, abs=1) and features["valid_rr_ratio"] > 0.95 and len(features) == 20
-    assert w.window_features(np.ones(3840)) == (None, "flat") and w.window_features(t[:10])[1] == "wrong_length"
-    assert w.window_features(np.where(t < 5, np.nan, t))[1] == "too_many_gaps"
+    rng = np.random.default_rng(3)
+    beat_at = np.cumsum(0.8 + 0.08 * rng.standard_normal(80))
+    pulse = -sum(np.exp(-(((t - b) / 0.08) ** 2)) for b in beat_at)
+    windows = {1: np.sin(2 * np.pi * 1.25 * t), 2: np.ones(3840), 3: t[:10], 4: np.where(t < 5, np.nan, t), 5: pulse, 6: np.sin(2 * np.pi * 0.55 * t)}
+    rows = pd.DataFrame([(k, i, float(v)) for k, x in windows.items() for i, v in enumerate(x)], columns=["k", "i", "v"])
+    got = w.window_features(spark.createDataFrame(rows.sample(frac=1, random_state=1)), ["k"], ["i"], "v").toPandas().set_index("k").to_dict("index")
+    assert {k: r["reason"] for k, r in got.items()} == {1: "", 2: "flat", 3: "wrong_length", 4: "too_many_gaps", 5: "", 6: "too_few_beats"}
+    assert got[1]["mean_hr_bpm"] == pytest.approx(75, abs=1) and got[1]["valid_rr_ratio"] > 0.95 and np.isnan(got[2]["mean_hr_bpm"]) and len(got[1]) == 21
+
+    def plainly(y):
+        at = w.find_peaks(y, distance=21, prominence=0.2 * y.std())
+        ms = [1000 * (b - a) / 64 for a, b in zip(at, at[1:], strict=False) if 1 / 3 <= (b - a) / 64 <= 1.5]
+        middle = np.median(ms)
+        ms = np.array([v for v in ms if abs(v - middle) <= 0.3 * middle])
+        rises = np.array([y[b] - min(y[a:b]) for a, b in zip(at, at[1:], strict=False)])
+        return {
+            "valid_rr_ratio": len(ms) / (len(at) - 1), "beat_count": len(at), "mean_hr_bpm": (60000 / ms).mean(), "sdnn_ms": ms.std(ddof=1), "median_pp_ms": np.median(ms),
+            "rmssd_ms": np.sqrt((np.diff(ms) ** 2).mean()), "sdsd_ms": np.diff(ms).std(ddof=1), "pnn50_pct": 100 * (abs(np.diff(ms)) > 50).mean(),
+            "mean_pulse_amplitude": rises.mean(), "std_pulse_amplitude": rises.std(ddof=1),
+        }
+
+    y = dsp.zero_phase(pulse, w.bandpass_sections(4, 0.5, 4.0, 64))
+    up, down = plainly(y), plainly(-y)
+    assert up["valid_rr_ratio"] != down["valid_rr_ratio"]
+    expected = max(up, down, key=lambda e: e["valid_rr_ratio"])
+    expected |= {"filtered_std": y.std(), "signal_range": np.ptp(y), "signal_skewness": float(pd.Series(y).skew()), "signal_kurtosis": float(pd.Series(y).kurt())}
+    assert {k: got[5][k] for k in expected} == pytest.approx(expected)
 
 
 def test_r_peaks_of_a_spike_train():
