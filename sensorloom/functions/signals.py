@@ -151,6 +151,19 @@ def logistic_score(features: Sequence[Column], mean: Sequence[float], scale: Seq
     return F.when(z >= 0, 1.0 / (1.0 + small)).otherwise(small / (1.0 + small))
 
 
+def model_result(features: dict[str, Column], expected: Sequence[str], probability: Column) -> dict[str, Column]:
+    """What a model may say: nothing if its inputs have other names or another
+    order than ``expected`` (an error when planned) or one isn't finite."""
+    if list(features) != list(expected):
+        raise ValueError(f"the model takes {', '.join(expected)}")
+    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    finite = F.lit(True)
+    for x in features.values():
+        finite = finite & ok(x)
+    valid = finite & ok(probability)
+    return {"model_available": finite, "valid": valid, "probability": F.when(valid, probability), "complement": F.when(valid, 1.0 - probability)}
+
+
 def stress_branch(quality_good: Column, quality_reasons: Column, vector_status: Column, probability: Column) -> dict[str, Column]:
     """The gates in order, then the score; confidence is that of the label."""
     reached = quality_good & (vector_status == "ready") & finite(probability)

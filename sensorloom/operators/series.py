@@ -206,6 +206,23 @@ def leakage(df: DataFrame, subject: str, split: str) -> DataFrame:
     return df.groupBy(subject).agg(F.countDistinct(split).alias("n_splits")).filter("n_splits > 1")
 
 
+def split_check(df: DataFrame, subject: str, split: str, expected: dict[str, int]) -> DataFrame:
+    """For each expected split its subjects, those that are in another split
+    too, and whether both are as they should be; ``verified`` raises if not."""
+    pairs = df.select(F.col(subject).alias("subject"), F.col(split).alias("split")).distinct()
+    shared = pairs.groupBy("subject").agg(F.count("*").alias("n_splits"))
+    found = pairs.join(shared, "subject").groupBy("split").agg(F.count("*").alias("n_subjects"), F.count(F.when(F.col("n_splits") > 1, 1)).alias("n_shared"))
+    wanted = df.sparkSession.createDataFrame(list(expected.items()), "split string, expected int")
+    rows = wanted.join(found, "split", "left").na.fill(0, ["n_subjects", "n_shared"])
+    return rows.withColumn("ok", (F.col("n_subjects") == F.col("expected")) & (F.col("n_shared") == 0))
+
+
+def verified(checked: DataFrame) -> DataFrame:
+    """The rows of ``split_check``; a row that isn't ok is an error when it is read."""
+    message = F.concat(F.lit("split "), "split", F.lit(": subjects "), "n_subjects", F.lit(", expected "), "expected", F.lit(", in another split too "), "n_shared")
+    return checked.withColumn("ok", F.when(F.col("ok"), True).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def classification_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str, threshold: float = 0.5) -> DataFrame:
     """Confusion counts, accuracy, balanced accuracy, precision, recall, F1
     and AUC.  Ranks of tied scores are their mean, taken from counts by score, so

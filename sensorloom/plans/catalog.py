@@ -639,12 +639,12 @@ _SQL["flagship"] = f"""WITH q AS ({_SQL["a10_ppg_quality"]}),
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from sensorloom.plans import extra, more, rest
+    from sensorloom.plans import blocks, extra, more, rest
 
-    return _QUERIES | more.queries() | extra.queries() | rest.queries()
+    return _QUERIES | more.queries() | extra.queries() | rest.queries() | blocks.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from sensorloom.plans import extra, more, rest
+    from sensorloom.plans import blocks, extra, more, rest
 
-    return _SQL | more.oracle_sql() | extra.oracle_sql() | rest.oracle_sql()
+    return _SQL | more.oracle_sql() | extra.oracle_sql() | rest.oracle_sql() | blocks.oracle_sql()

@@ -47,6 +47,28 @@ def encoded(records: pd.DataFrame) -> bytes:
     return frames.tobytes()
 
 
+def session_header(df: DataFrame, keys: list[str], session: str, device: str, rates: tuple[int, int], versions: dict[str, int], hardware: dict[str, int], commit: str) -> DataFrame:
+    """Keys and the four records (types 16 to 19) that begin a session's log:
+    session and device with the two rates, versions, hardware, and the commit's
+    twenty bytes.  Two 16-bit numbers share one 32-bit value."""
+
+    def pair(high: int, low: int) -> int:
+        return high << 16 | low
+
+    parts = np.frombuffer(bytes.fromhex(commit), np.dtype([("a", "<i8"), ("b", "<i4"), ("c", "<i4"), ("d", "<i4")]))[0].item()
+    s, d, v, h = F.col(session).cast("long"), F.col(device).cast("long"), versions, hardware
+    low, high = d.bitwiseAND((1 << 32) - 1), F.shiftright(d, 32).cast("int")
+    rows = [
+        (16, s, low, high, pair(*rates), v["features"]),
+        (17, s, v["firmware"], pair(v["ppg"], v["ecg"]), pair(v["quality"], v["oxygen"]), v["calibration"]),
+        (18, s, h["red"] | h["ir"] << 8, h["range"], h["window_ms"], h["width_us"]),
+        (19, *parts, 0),
+    ]
+    types = ["int", "long", "long", "int", "int", "int"]
+    record = F.explode(F.array(*[F.struct(*[(x if isinstance(x, Column) else F.lit(x)).cast(t).alias(n) for n, x, t in zip(_COLUMNS[1:], r, types, strict=True)]) for r in rows]))
+    return df.select(*keys, record.alias("r")).select(*keys, "r.*")
+
+
 def decoded(content: bytes) -> pd.DataFrame:
     """The records of some frames; a rest, a wrong sync word or checksum is an error."""
     if len(content) % FRAME.itemsize:

@@ -269,3 +269,33 @@ def test_windowed_means(spark):
     rows = spark.createDataFrame([(1_000_000, 1.0), (1_500_000, 3.0), (61_000_000, 5.0)], "t long, v double")
     got = sessions.windowed_means(rows, "t", "v", "60 seconds", "60 seconds", "10 seconds").select("n", "mean").collect()
     assert sorted(map(tuple, got)) == [(1, 5.0), (2, 2.0)]
+
+
+def test_windows_spectra_and_crossings(spark):
+    from sensorloom.operators import spectral
+
+    x = 3 + np.sin(2 * np.pi * 4 * np.arange(32) / 32)
+    rows = [(k, i, float(v)) for k, values in ((1, x), (2, np.full(32, 5.0)), (3, x[:20])) for i, v in enumerate(values)]
+    windows = spectral.row_windows(spark.createDataFrame(rows, "k int, t int, v double"), ["k"], ["t"], 32)
+    power = {(r["k"], r["bin"]): r["power"] for r in spectral.periodogram(windows, ["k"], "v", 32, 32.0).collect()}
+    assert len(power) == 2 * 17 and power[1, 4] == pytest.approx(0.5) and sum(abs(p) for key, p in power.items() if key != (1, 4)) < 1e-9
+    flat = {r["k"]: r for r in spectral.flattened(windows, ["k"], "v", 2).collect()}
+    assert flat[2]["std"] == flat[2]["skew"] == flat[2]["kurtosis"] == 0 and flat[1]["mean"] == pytest.approx(3) and flat[1]["rms"] == pytest.approx(np.sqrt(9.5))
+    crossed = {r["k"]: r for r in spectral.crossings_and_entropy(windows, ["k"], "v").collect()}
+    assert crossed[2]["entropy"] == 0 and crossed[1]["zero_crossings"] == 0 and crossed[1]["mean_crossings"] > 0
+    back = spark.range(1).select(spectral.hertz(spectral.mel(F.lit(440.0))).alias("f")).first()["f"]
+    assert back == pytest.approx(440)
+
+
+def test_split_check_and_model_result(spark):
+    rows = spark.createDataFrame([("a", "train"), ("b", "train"), ("b", "test")], "s string, split string")
+    checked = series.split_check(rows, "s", "split", {"train": 2, "test": 1, "validation": 1})
+    assert {r["split"]: (r["n_subjects"], r["n_shared"], r["ok"]) for r in checked.collect()} == {"train": (2, 1, False), "test": (1, 1, False), "validation": (0, 0, False)}
+    with pytest.raises(Exception, match="in another split too 1"):
+        series.verified(checked).collect()
+    assert all(r["ok"] for r in series.verified(series.split_check(rows.filter("split = 'train'"), "s", "split", {"train": 2})).collect())
+    df = spark.createDataFrame([(1.0, 0.25), (float("nan"), 0.25), (float("inf"), 0.25), (None, 0.25), (1.0, None)], "x double, p double")
+    got = df.select(*[v.alias(k) for k, v in fn.model_result({"x": F.col("x")}, ["x"], F.col("p")).items()]).collect()
+    assert [(r["model_available"], r["valid"], r["probability"]) for r in got] == [(True, True, 0.25), (False, False, None), (False, False, None), (False, False, None), (True, False, None)]
+    with pytest.raises(ValueError):
+        fn.model_result({"y": F.col("x")}, ["x"], F.col("p"))
