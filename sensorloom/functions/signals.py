@@ -186,6 +186,52 @@ def stress_branch(quality_good: Column, quality_reasons: Column, vector_status:
     }
 
 
+def rhythm_branch(quality_good: Column, quality_reasons: Column, vector_status: Column, model_available: Column, probability: Column) -> dict[str, Column]:
+    """The gates in order, then the more probable label.  Reasons beside those of
+    quality: 1 too few intervals, 2 interval quality, 4 no model, 8 model error; a
+    negative result is never conclusive."""
+    usable = finite(probability)
+    gates = [
+        (~quality_good, "quality_rejected", quality_reasons),
+        (vector_status == "not_ready", "not_ready", F.lit(1)),
+        (vector_status == "quality_rejected", "quality_rejected", F.lit(2)),
+        (vector_status != "ready", "invalid_input", F.lit(0)),
+        (~model_available, "not_ready", F.lit(4)),
+        (~usable, "error", F.lit(8)),
+    ]
+    status, reasons = F.lit("valid"), F.lit(0)
+    for closed, name, reason in reversed(gates):
+        status, reasons = F.when(closed, name).otherwise(status), F.when(closed, reason).otherwise(reasons)
+    reached = status == "valid"
+    alert = reached & (probability > 1.0 - probability)
+    return {
+        "status": status,
+        "reason_flags": reasons,
+        "score": F.when(reached, probability),
+        "confidence": F.when(reached, F.greatest(probability, 1.0 - probability)),
+        "alert": alert,
+        "label": F.when(reached, F.when(alert, "AF").otherwise("nonAF")),
+        "negative_conclusive": F.lit(False),
+    }
+
+
+def pulse_arrival(ecg_us: Column, ppg_us: Column) -> Column:
+    """Milliseconds from the last R peak to the last pulse, if 50 to 600 and both are there."""
+    delay = (ppg_us - ecg_us) / 1000.0
+    return F.when((ecg_us > 0) & (ppg_us > ecg_us) & delay.between(50.0, 600.0), delay)
+
+
+def oxygen_value_status(estimator: Column, input_rejected: Column) -> Column:
+    """What an estimator's status means for the value."""
+    return (
+        F.when(input_rejected, "Error")
+        .when(estimator == "ok", "Valid")
+        .when(estimator == "not_ready", "NotAvailable")
+        .when(estimator == "out_of_range", "Error")
+        .otherwise("InvalidSignal")
+    )
+
+
 def decision(statuses: Sequence[Column], alerts: Sequence[Column], conclusive: Sequence[Column], poor: Column) -> dict[str, Column]:
     """Normal if all branches are valid, without alert and conclusive;
     remeasure on poor quality or a branch that got no usable input."""

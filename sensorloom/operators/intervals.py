@@ -57,6 +57,16 @@ def variability(
     )
 
 
+def variability_aggregates(value: str, keys: Sequence[str], order: Sequence[str], low: float = 250.0, high: float = 2000.0) -> tuple[Column, dict[str, Column]]:
+    """``variability`` beside other aggregates of the same groups: the column ``diff``
+    to add to the rows, and the aggregates, null with fewer than two intervals in range."""
+    x = F.when(F.col(value).between(low, high), F.col(value))
+    before = F.last(x, ignorenulls=True).over(_by(keys, order).rowsBetween(Window.unboundedPreceding, -1))
+    enough, diff = F.count(x) >= 2, F.col("diff")
+    found = {"mean": F.avg(x), "sdnn": F.stddev_samp(x), "rmssd": F.sqrt(F.avg(diff * diff)), "pnn50": 100.0 * F.avg((F.abs(diff) > 50.0).cast("int"))}
+    return x - before, {k: F.when(enough, v) for k, v in found.items()}
+
+
 def median_cleaned(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, tolerance: float) -> DataFrame:
     """All rows with ``clean``: in range and within ``tolerance`` of
     the median of the group's intervals in range."""

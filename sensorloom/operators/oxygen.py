@@ -8,11 +8,12 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.functions import signals
 from sensorloom.operators.dsp import forward_mean4, over_sessions, plateau_peaks, spaced_peaks
-from sensorloom.operators.series import last_rows
+from sensorloom.operators.series import last_rows, ordered
 
 RATE, PAIRS, RAW_ROWS, KEEP_EVERY = 25, 100, 400, 4
 FULL, MIN_IR = 262143, 10000
@@ -86,6 +87,18 @@ def evaluate(ir: np.ndarray, red: np.ndarray, good: bool = True, n: int | None =
     return {"status": "ok" if percent is not None else "algorithm_rejected", "percent": percent, "bpm": bpm}
 
 
+def gate_status(df: DataFrame, keys: Sequence[str], order: Sequence[str], ir: str, red: str, good: Column, rows: int = RAW_ROWS) -> DataFrame:
+    """O03 at each row: ``gate``, by the last ``rows`` rows: not_ready before there are
+    so many, quality_rejected, the first fault's status, else ok."""
+    w = ordered(keys, order)
+    fault = signals.spo2_fault(F.col(ir), F.col(red), MIN_IR)
+    first = F.first(F.when(fault > 0, fault), ignorenulls=True).over(w.rowsBetween(1 - rows, 0))
+    status = F.when(F.col("_rn") < rows, "not_ready").when(~F.col("_good"), "quality_rejected")
+    for code, name in STATUS_OF_FAULT.items():
+        status = status.when(F.col("_fault") == code, name)
+    return df.withColumns({"_rn": F.row_number().over(w), "_good": good, "_fault": first}).withColumn("gate", status.otherwise("ok")).drop("_rn", "_good", "_fault")
+
+
 def session_oxygen(df: DataFrame, keys: Sequence[str], order: Sequence[str], ir: str, red: str) -> DataFrame:
     """status, percent and bpm of each session's last samples; Spark cuts to these,
     so that a session of any length is one small group."""

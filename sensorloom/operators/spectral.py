@@ -68,6 +68,39 @@ def band_power(bins: DataFrame, keys: Sequence[str], edges: Sequence[float]) ->
     return bins.groupBy(*keys, "w").agg(*[F.coalesce(F.avg(F.when(inside(a, b), F.col("power"))), F.lit(0.0)).alias(f"band{i}") for i, (a, b) in enumerate(bands)])
 
 
+def top_peaks(bins: DataFrame, keys: Sequence[str], most: int, threshold: float, rate: float, size: int) -> DataFrame:
+    """Keys, w, place (from 1), frequency and power of each spectrum's ``most``
+    highest peaks (ties to the lower bin); those under ``threshold`` and places
+    without a peak are 0.  Frequencies divide 0 to half the rate by the bins less two."""
+    key = [*keys, "w"]
+    over = Window.partitionBy(*key).orderBy("bin")
+    sides = bins.withColumns({"_a": F.lag("power").over(over), "_b": F.lead("power").over(over)})
+    peak = (F.col("power") > F.col("_a")) & (F.col("power") > F.col("_b")) & (F.col("power") >= threshold)
+    at = F.col("bin") * F.lit(rate / 2 / (size // 2 - 1))
+    found = sides.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(peak, F.struct((-F.col("power")).alias("p"), at.alias("f"))))).alias("_p"))
+    places = found.select(*key, "_p", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("place"))
+    one = F.get("_p", F.col("place") - 1)
+    return places.select(*key, "place", F.coalesce(one["f"], F.lit(0.0)).alias("frequency"), F.coalesce(-one["p"], F.lit(0.0)).alias("power"))
+
+
+def component_features(rows: DataFrame, keys: Sequence[str], value: str = "x", bins: int = 100) -> DataFrame:
+    """The fourteen features of each component of ``i`` and ``value``: entropy of
+    a histogram, crossings, percentiles and moments (0 for those of a flat one)."""
+    x, whole = F.col(value), Window.partitionBy(*keys)
+    rows = rows.withColumns({"_low": F.min(x).over(whole), "_high": F.max(x).over(whole), "_mean": F.avg(x).over(whole), "_before": F.lag(x).over(whole.orderBy("i"))})
+    step = (F.col("_high") - F.col("_low")) / bins
+    at = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((x - F.col("_low")) / step), F.lit(bins - 1))).otherwise(F.lit(0))
+    inside = F.count("*").over(Window.partitionBy(*keys, "_bin"))
+    rows = rows.withColumn("_bin", at).withColumn("_inside", inside)
+    n, across = F.count("*"), lambda level: F.count(F.when((x - level) * (F.col("_before") - level) < 0, 1))
+    shares = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    return rows.groupBy(*keys).agg(
+        (F.log(n) - F.avg(F.log("_inside"))).alias("entropy"), (across(F.lit(0.0)) / n).alias("zero_crossings"), (across(F.col("_mean")) / n).alias("mean_crossings"),
+        *[F.percentile(x, F.lit(p)).alias(name) for name, p in shares.items()], F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.var_pop(x).alias("variance"),
+        F.sqrt(F.avg(x * x)).alias("rms"), F.coalesce(F.nanvl(F.skewness(x), F.lit(0.0)), F.lit(0.0)).alias("skew"), F.coalesce(F.nanvl(F.kurtosis(x), F.lit(0.0)), F.lit(0.0)).alias("kurtosis"),
+    )
+
+
 def crossings_and_entropy(windows: DataFrame, keys: Sequence[str], value: str, bins: int = 100) -> DataFrame:
     """Entropy of a histogram between the window's ends (0 in a flat one), and
     the shares of steps across zero and across the window's mean."""

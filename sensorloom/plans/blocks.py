@@ -2,36 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import signals as fn
 from sensorloom.operators import intervals, series, spectral, waveforms
-from sensorloom.plans import catalog
-from sensorloom.plans.catalog import _SAMPLES_SQL, KEYS, ORDER, rounded, samples
+from sensorloom.plans.catalog import KEYS, ORDER, rounded, samples
+from sensorloom.plans.register import FRAGMENTS, SAMPLES_SQL, SQL, query
 from sensorloom.sources import logs
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 
 c = F.col
 SIZE = 16
-_WINDOWS_SQL = _SAMPLES_SQL + f""", v AS (SELECT user_id, event_id, idx AS i, idx // {SIZE} AS w, value * 0.7310585786e0 AS x, count(*) OVER (PARTITION BY user_id, idx // {SIZE}) AS n FROM s),
+FRAGMENTS["$W"] = SAMPLES_SQL + f""", v AS (SELECT user_id, event_id, idx AS i, idx // {SIZE} AS w, value * 0.7310585786e0 AS x, count(*) OVER (PARTITION BY user_id, idx // {SIZE}) AS n FROM s),
     x AS (SELECT * FROM v WHERE n = {SIZE})"""
 
 
-def query(name: str, sql: str | None = None):
-    def register(f):
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql.replace("$S", _SAMPLES_SQL).replace("$W", _WINDOWS_SQL)
-        return f
-
-    return register
-
-
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole windows of rows; scaled to values without short decimals, so that no rounded result is a tie."""
     scaled = (c("value") * 0.7310585786).alias("x")
@@ -59,20 +45,20 @@ def _(spark, d_):
     return spectral.threshold_peaks(samples(spark, d_), KEYS, ORDER, "raw", 100).select("event_id", "raw")
 
 
-_POWER_SQL = f"""$W, m AS (SELECT user_id, w, avg(x) AS m FROM x GROUP BY user_id, w),
+POWER_SQL = f"""$W, m AS (SELECT user_id, w, avg(x) AS m FROM x GROUP BY user_id, w),
     t AS (SELECT user_id, w, CAST(k AS INTEGER) AS bin, sum((x - m) * cos(2 * pi() * k * (i % {SIZE}) / {SIZE})) AS re, sum((x - m) * sin(2 * pi() * k * (i % {SIZE}) / {SIZE})) AS im
       FROM x JOIN m USING (user_id, w), range(0, {SIZE // 2 + 1}) r(k) GROUP BY user_id, w, k),
     p AS (SELECT user_id, w, bin, bin * 2.0e0 / {SIZE} AS frequency, (re * re + im * im) / (2.0e0 * {SIZE}) * CASE WHEN bin = {SIZE // 2} THEN 1 ELSE 2 END AS power FROM t)"""
 
 
-@query("v26_periodogram", _POWER_SQL + " SELECT user_id, w, bin, round(frequency, 6) AS frequency, round(power, 6) + 0.0 AS power FROM p")
+@query("v26_periodogram", POWER_SQL + " SELECT user_id, w, bin, round(frequency, 6) AS frequency, round(power, 6) + 0.0 AS power FROM p")
 def _(spark, d_):
     return rounded(spectral.periodogram(windows(spark, d_), KEYS, "x", SIZE, 2.0))
 
 
 @query(
     "v25_band_power",
-    _POWER_SQL
+    POWER_SQL
     + """ SELECT user_id, w, round(coalesce(avg(power) FILTER (WHERE frequency < 0.25), 0), 6) + 0.0 AS band0, round(coalesce(avg(power) FILTER (WHERE frequency >= 0.25 AND frequency < 0.8), 0), 6) AS band1,
     round(coalesce(avg(power) FILTER (WHERE frequency >= 0.8 AND frequency < 0.85), 0), 6) AS band2 FROM p GROUP BY user_id, w""",
 )
@@ -121,7 +107,7 @@ def _(spark, d_):
 def _(spark, d_):
     """Windows of 512 rows (8 s) of each supplier's lines; a rest that is shorter is rejected."""
     rows = spark.read.parquet(f"{d_}/lineitem.parquet").select(c("l_suppkey").alias("stream"), "l_orderkey", "l_linenumber", c("l_quantity").cast("double").alias("x"))
-    order = ["l_orderkey", "l_linenumber"]
+    order = ["l_orderkey", "l_linenumber", "x"]  # the first two may repeat
     numbered = series.positions(rows, ["stream"], order).withColumn("window", F.floor(c("pos") / 512))
     return rounded(waveforms.window_features(numbered, ["stream", "window"], order, "x", samples=512, min_beats=8, min_ratio=0.3))
 
@@ -163,7 +149,7 @@ def _(spark, d_):
 # ----------------------------------------------------------------- model results
 @query(
     "m05_offline_predict",
-    f"""WITH f AS ({catalog._SQL["a04_stress_features"].replace("round(mean_pp_ms, 6)", "mean_pp_ms").replace("round(rmssd_ms, 6)", "rmssd_ms")}),
+    f"""WITH f AS ({SQL["a04_stress_features"].replace("round(mean_pp_ms, 6)", "mean_pp_ms").replace("round(rmssd_ms, 6)", "rmssd_ms")}),
     p AS (SELECT user_id, status, CASE WHEN status = 'ready' THEN 1 / (1 + exp(-(0.1 + (mean_pp_ms - 700.0) / 80.0 * -0.8 + (rmssd_ms - 250.0) / 60.0 * 0.5))) END AS p FROM f)
     SELECT user_id, status, round(p, 6) AS probability, CASE WHEN p >= 0.5 THEN 'stress' WHEN p < 0.5 THEN 'baseline' END AS label FROM p""",
 )
@@ -184,11 +170,3 @@ def _(spark, d_):
     g = samples(spark, d_).groupBy("user_id").agg(F.avg("rr_ms").alias("m"), spread.alias("sd"))
     p = fn.logistic_score([c("m"), c("sd")], [700.0, 250.0], [80.0, 60.0], [-0.8, 0.5], 0.1)
     return rounded(g.select("user_id", *[v.alias(k) for k, v in fn.model_result({"m": c("m"), "sd": c("sd")}, ["m", "sd"], p).items()]))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)

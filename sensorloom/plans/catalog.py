@@ -14,28 +14,11 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions import signals as fn
 from sensorloom.operators import intervals, series
+from sensorloom.plans.register import QUERIES, SQL, query
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 
 KEYS, ORDER = ["user_id"], ["ts_us", "event_id"]
 
-_SAMPLES_SQL = """WITH s AS (
-  SELECT user_id, event_id, event_type, value, epoch_us(ts) AS ts_us, CAST(floor(value * 8) AS BIGINT) AS raw,
-         CAST(floor(value * 400) AS BIGINT) AS red, CAST(floor(value * 600) AS BIGINT) AS ir, 200 + value * 4 AS rr_ms,
-         event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events
-)"""
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql.replace("$S", _SAMPLES_SQL)
-        return f
-
-    return register
-
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("user_id").isNotNull())
@@ -226,23 +209,6 @@ def _(spark, d_):
     return rounded(intervals.interval_summary(rows, KEYS, ORDER, "x"))
 
 
-@query(
-    "a07_channel_features",
-    """$S, g AS (SELECT user_id, avg(red) AS red_mean, stddev_samp(red) AS red_std, min(red) AS red_min, max(red) AS red_max, avg(ir) AS ir_mean, stddev_samp(ir) AS ir_std,
-      min(ir) AS ir_min, max(ir) AS ir_max, corr(red, ir) AS red_ir_corr FROM s GROUP BY user_id)
-    SELECT user_id, round(red_mean, 4) AS red_mean, round(red_std, 4) AS red_std, red_min, red_max, red_max - red_min AS red_range, round(ir_mean, 4) AS ir_mean, round(ir_std, 4) AS ir_std,
-      ir_min, ir_max, ir_max - ir_min AS ir_range, round(CASE WHEN red_mean > 0 THEN red_std / red_mean END, 4) AS red_perfusion,
-      round(CASE WHEN ir_mean > 0 THEN ir_std / ir_mean END, 4) AS ir_perfusion, round(red_ir_corr, 4) AS red_ir_corr FROM g""",
-)
-def _(spark, d_):
-    g = samples(spark, d_).groupBy("user_id").agg(
-        *[f(c).alias(f"{c}_{n}") for c in ("red", "ir") for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))], F.corr("red", "ir").alias("red_ir_corr")
-    )
-    for c in ("red", "ir"):
-        g = g.withColumn(f"{c}_range", F.col(f"{c}_max") - F.col(f"{c}_min")).withColumn(f"{c}_perfusion", F.when(F.col(f"{c}_mean") > 0, F.col(f"{c}_std") / F.col(f"{c}_mean")))
-    return rounded(g, 4)
-
-
 _WINDOW_SQL = """$S, g AS (SELECT user_id, count(*) AS received, count(*) FILTER (WHERE bad) AS dropped, count(*) FILTER (WHERE {clip}) AS clipped,
   bool_or(ir >= 50000) AS contact, stddev_samp(ir) AS ir_ac, avg(ir) AS ir_dc, corr(red, ir) AS correlation, stddev_samp(raw) AS std, count(*) FILTER (WHERE event_type = 'purchase') AS peaks
   FROM s GROUP BY user_id), q AS (SELECT *, least(1.0, received / 60.0) AS complete, clipped / received AS clipping, CASE WHEN ir_dc > 0 THEN ir_ac / ir_dc ELSE 0 END AS perfusion FROM g), """
@@ -626,9 +592,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joined.select("user_id", "quality_reasons", "quality_score", "beat_count", *[v.alias(f"stress_{k}") for k, v in branch.items()]))
 
 
-_QUERIES["flagship"] = flagship
-_SQL["flagship"] = f"""WITH q AS ({_SQL["a10_ppg_quality"]}),
-    f AS ({_SQL["a04_stress_features"].replace("round(mean_pp_ms, 6)", "mean_pp_ms").replace("round(rmssd_ms, 6)", "rmssd_ms")}),
+QUERIES["flagship"] = flagship
+SQL["flagship"] = f"""WITH q AS ({SQL["a10_ppg_quality"]}),
+    f AS ({SQL["a04_stress_features"].replace("round(mean_pp_ms, 6)", "mean_pp_ms").replace("round(rmssd_ms, 6)", "rmssd_ms")}),
     b AS (SELECT q.user_id, reasons, score, q.status = 'good' AS good, beat_count, f.status AS vs,
       1 / (1 + exp(-(0.1 + (mean_pp_ms - 700.0) / 80.0 * -0.8 + (rmssd_ms - 250.0) / 60.0 * 0.5))) AS p FROM q LEFT JOIN f USING (user_id)),
     r AS (SELECT *, good AND vs = 'ready' AS reached FROM b)
@@ -638,13 +604,15 @@ _SQL["flagship"] = f"""WITH q AS ({_SQL["a10_ppg_quality"]}),
       reached AND p >= 0.5 AS stress_alert, CASE WHEN reached THEN CASE WHEN p >= 0.5 THEN 'stress' ELSE 'baseline' END END AS stress_label FROM r"""
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from sensorloom.plans import blocks, extra, more, rest
+def _loaded() -> None:
+    from sensorloom.plans import blocks, detections, extra, more, rest  # noqa: F401
 
-    return _QUERIES | more.queries() | extra.queries() | rest.queries() | blocks.queries()
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _loaded()
+    return dict(QUERIES)
 
-def oracle_sql() -> dict[str, str]:
-    from sensorloom.plans import blocks, extra, more, rest
 
-    return _SQL | more.oracle_sql() | extra.oracle_sql() | rest.oracle_sql() | blocks.oracle_sql()
+def oracle_sql() -> dict[str, str]:
+    _loaded()
+    return dict(SQL)

@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import signals as fn
 from sensorloom.operators import series
-from sensorloom.plans.catalog import _SAMPLES_SQL, KEYS, ORDER, indexed, rounded, samples
-from sensorloom.sources import logs
+from sensorloom.plans.catalog import KEYS, ORDER, indexed, rounded, samples
+from sensorloom.plans.register import query
+from sensorloom.sources import logs, sinks
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 
 c = F.col
 
 
-def query(name: str, sql: str | None = None):
-    def register(f):
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql.replace("$S", _SAMPLES_SQL)
-        return f
-
-    return register
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -323,40 +310,34 @@ def _(spark, d_):
     return rounded(rows.select("event_id", ((c("value") - fitted["m"]) / fitted["sd"]).alias("z")))
 
 
-_CENTRES = [(20.0, 5000.0), (120.0, 30000.0), (300.0, 90000.0)]
-
-
-@query(
-    "v10_cluster_anomaly",
-    "$S SELECT event_id, round(least(" + ", ".join(f"sqrt((value - {a}) * (value - {a}) + (red - {b}) * (red - {b}))" for a, b in _CENTRES) + ") - 1000, 4) AS anomaly FROM s",
-)
-def _(spark, d_):
-    distance = [F.sqrt((c("value") - a) * (c("value") - a) + (c("red") - b) * (c("red") - b)) for a, b in _CENTRES]
-    return rounded(samples(spark, d_).select("event_id", (F.least(*distance) - 1000).alias("anomaly")), 4)
+MODEL_FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 
-@query("m04_trained_model")
-def _(spark, d_):
-    """Scaler and logistic regression fitted on one split, scored on the other."""
+def _trained(spark, d_):
+    """Scaler and logistic regression fitted on one split, and the rows of the other."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    rows = table(spark, d_, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", (c("l_linestatus") == "F").cast("double").alias("label"))
+    rows = table(spark, d_, "lineitem").select("l_orderkey", "l_linenumber", *MODEL_FEATURES, (c("l_linestatus") == "F").cast("double").alias("label"))
     train, test = rows.filter("l_orderkey % 5 <> 0"), rows.filter("l_orderkey % 5 = 0")
     stages = [
-        VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="raw_features"),
+        VectorAssembler(inputCols=MODEL_FEATURES, outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True),
         LogisticRegression(regParam=0.01, elasticNetParam=0.0, standardization=False),
     ]
-    scored = Pipeline(stages=stages).fit(train).transform(test)
-    return scored.select("l_orderkey", "l_linenumber", vector_to_array("probability")[1].alias("p"), c("prediction"))
+    return Pipeline(stages=stages).fit(train), test
+
 
+@query("m04_trained_model")
+def _(spark, d_):
+    from pyspark.ml.functions import vector_to_array
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    model, test = _trained(spark, d_)
+    return model.transform(test).select("l_orderkey", "l_linenumber", vector_to_array("probability")[1].alias("p"), c("prediction"))
 
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+@query("k13_model_parameters")
+def _(spark, d_):
+    _, scaler, regression = _trained(spark, d_)[0].stages
+    return sinks.model_parameters(spark, MODEL_FEATURES, scaler.mean, scaler.std, regression.coefficients, regression.intercept)

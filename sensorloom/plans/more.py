@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.functions import signals as fn
 from sensorloom.operators import dsp, oxygen, series, waveforms
-from sensorloom.plans.catalog import _SAMPLES_SQL, KEYS, ORDER, rounded, samples
+from sensorloom.plans.catalog import KEYS, ORDER, rounded, samples
+from sensorloom.plans.register import query
 from sensorloom.sources import logs
 from sensorloom.streaming import sessions
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-_RECURSIVE = _SAMPLES_SQL.replace("WITH s AS", "WITH RECURSIVE s AS")
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql.replace("$S", _SAMPLES_SQL).replace("$R", _RECURSIVE)
-        return f
-
-    return register
-
 
 def _ema_sql(output: str, alpha: float) -> str:
     return f"""$R, r AS (SELECT user_id, idx, event_id, value * 0.7310585786e0 AS x, value * 0.7310585786e0 AS y FROM s WHERE idx = 0
@@ -240,11 +224,3 @@ def _(spark, d_):
 def _(spark, d_):
     w = series.ordered(KEYS, ORDER).rowsBetween(-4, 0)
     return samples(spark, d_).select("event_id", fn.smoothed_votes(F.col("event_type"), w).alias("votes"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)

@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import signals as fn
-from sensorloom.operators import intervals, series
-from sensorloom.plans.catalog import _SAMPLES_SQL, KEYS, ORDER, rounded, samples
+from sensorloom.operators import intervals, oxygen, series
+from sensorloom.plans.catalog import KEYS, ORDER, rounded, samples
+from sensorloom.plans.register import QUERIES, SQL, query
 from sensorloom.sources import logs
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 
 c = F.col
 
 
-def query(name: str, sql: str | None = None):
-    def register(f):
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql.replace("$S", _SAMPLES_SQL)
-        return f
-
-    return register
-
-
 # ------------------------------------------------------------------- statistics
 @query(
     "a03_prv",
@@ -39,27 +26,84 @@ def _(spark, d_):
     return rounded(intervals.variability(samples(spark, d_).filter("event_type = 'view'"), KEYS, ORDER, "rr_ms"))
 
 
+# The order of the features is that of their bits in the mask.
+_PPG_FEATURES = """red_mean red_std red_min red_max ir_mean ir_std ir_min ir_max red_ac red_dc ir_ac ir_dc red_perfusion ir_perfusion red_ir_corr pulse_rate mean_ppi sdnn_ppi rmssd_ppi pnn50_ppi
+    peak_count mean_pulse_amplitude pulse_amplitude_variation red_range ir_range spo2_ratio completeness clipping_fraction""".split()
+
+_HRV_SQL = """$S, f AS (SELECT s.*, CASE WHEN rr_ms BETWEEN 250 AND 2000 THEN rr_ms END AS x FROM s),
+    v AS (SELECT *, x - last_value(x IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS diff FROM f)"""
+_HRV_COLUMNS = """CASE WHEN count(x) >= 2 THEN avg(x) END AS mean_{0}, CASE WHEN count(x) >= 2 THEN stddev_samp(x) END AS sdnn_{0}, CASE WHEN count(x) >= 2 THEN sqrt(avg(diff * diff)) END AS rmssd_{0},
+      CASE WHEN count(x) >= 2 THEN 100.0e0 * avg(CASE WHEN diff IS NULL THEN NULL WHEN abs(diff) > 50 THEN 1 ELSE 0 END) END AS pnn50_{0}"""
+
+
+@query(
+    "a07_channel_features",
+    _HRV_SQL
+    + f""", g AS (SELECT user_id, avg(red) AS red_mean, stddev_samp(red) AS red_std, min(red) AS red_min, max(red) AS red_max, avg(ir) AS ir_mean, stddev_samp(ir) AS ir_std, min(ir) AS ir_min, max(ir) AS ir_max,
+      corr(red, ir) AS red_ir_corr, CASE WHEN count(*) FILTER (WHERE rr_ms BETWEEN 333.33 AND 1500) >= 4 THEN 60000.0 / quantile_cont(rr_ms, 0.5) FILTER (WHERE rr_ms BETWEEN 333.33 AND 1500) END AS pulse_rate,
+      {_HRV_COLUMNS.format("ppi")}, count(*) FILTER (WHERE event_type = 'purchase') AS peak_count, avg(abs(raw)) FILTER (WHERE event_type = 'purchase') AS mean_pulse_amplitude,
+      stddev_samp(abs(raw)) FILTER (WHERE event_type = 'purchase') AS pulse_amplitude_variation, least(1.0, count(*) / 60.0e0) AS completeness,
+      count(*) FILTER (WHERE red <= 1000 OR red >= 260000 OR ir <= 1000 OR ir >= 260000) / count(*) AS clipping_fraction FROM v GROUP BY user_id),
+    r AS (SELECT *, red_max - red_min AS red_range, ir_max - ir_min AS ir_range, red_std AS red_ac, red_mean AS red_dc, ir_std AS ir_ac, ir_mean AS ir_dc, CASE WHEN red_mean > 0 THEN red_std / red_mean END AS red_perfusion,
+      CASE WHEN ir_mean > 0 THEN ir_std / ir_mean END AS ir_perfusion, CASE WHEN red_mean > 0 AND ir_mean > 0 AND ir_std > 0 THEN (red_std / red_mean) / (ir_std / ir_mean) END AS spo2_ratio FROM g)
+    SELECT user_id, {", ".join(f if f.endswith(("min", "max", "range", "count")) else f"round({f}, 4) AS {f}" for f in _PPG_FEATURES)},
+      {" + ".join(f"CASE WHEN coalesce(isfinite(CAST({f} AS DOUBLE)), false) THEN {1 << i} ELSE 0 END" for i, f in enumerate(_PPG_FEATURES))} AS feature_mask FROM r""",
+)
+def _(spark, d_):
+    rows = samples(spark, d_)
+    diff, hrv = intervals.variability_aggregates("rr_ms", KEYS, ORDER)
+    amplitude = F.when(c("event_type") == "purchase", F.abs("raw"))
+    beats = F.when(c("rr_ms").between(333.33, 1500.0), c("rr_ms"))
+    levels = [f(x).alias(f"{x}_{n}") for x in ("red", "ir") for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+    g = rows.withColumn("diff", diff).groupBy("user_id").agg(
+        *levels, F.corr("red", "ir").alias("red_ir_corr"), F.when(F.count(beats) >= 4, 60000.0 / F.percentile(beats, F.lit(0.5))).alias("pulse_rate"),
+        *[v.alias(f"{k}_ppi") for k, v in hrv.items()], F.count(amplitude).alias("peak_count"), F.avg(amplitude).alias("mean_pulse_amplitude"),
+        F.stddev_samp(amplitude).alias("pulse_amplitude_variation"), F.least(F.lit(1.0), F.count("*") / 60.0).alias("completeness"),
+        F.avg(fn.has_bit(fn.ppg_flags(c("red"), c("ir"), F.lit(False), F.lit(False)), 2).cast("int")).alias("clipping_fraction"),
+    )
+    for x in ("red", "ir"):
+        g = g.withColumns({
+            f"{x}_range": c(f"{x}_max") - c(f"{x}_min"), f"{x}_ac": c(f"{x}_std"), f"{x}_dc": c(f"{x}_mean"),
+            f"{x}_perfusion": F.when(c(f"{x}_mean") > 0, c(f"{x}_std") / c(f"{x}_mean")),
+        })
+    g = g.withColumn("spo2_ratio", fn.ratio_of_ratios(c("red_ac"), c("red_dc"), c("ir_ac"), c("ir_dc"))[0])
+    mask = fn.bitmask({1 << i: F.coalesce(fn.finite(c(f).cast("double")), F.lit(False)) for i, f in enumerate(_PPG_FEATURES)})
+    return rounded(g.select("user_id", *_PPG_FEATURES, mask.alias("feature_mask")), 4)
+
+
 @query(
     "a08_ecg_features",
-    """$S SELECT user_id, round(avg(raw), 4) AS mean, round(stddev_samp(raw), 4) AS std, max(raw) - min(raw) AS value_range, round(60000.0 / avg(rr_ms), 6) AS mean_rate, round(avg(CASE WHEN event_type = 'purchase' THEN abs(raw) END), 4) AS peak_amplitude
-    FROM s GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'purchase') > 0""",
+    _HRV_SQL
+    + f""", g AS (SELECT user_id, avg(raw) AS mean, stddev_samp(raw) AS std, max(raw) - min(raw) AS value_range, 60000.0 / quantile_cont(x, 0.5) AS heart_rate, {_HRV_COLUMNS.format("rr")},
+      avg(CASE WHEN event_type = 'purchase' THEN abs(raw) END) AS peak_amplitude, count(*) FILTER (WHERE event_type = 'purchase') AS peak_count, CASE WHEN count(x) >= 2 THEN 10 ELSE 4 END AS n_valid FROM v GROUP BY user_id)
+    SELECT user_id, round(mean, 4) AS mean, round(std, 4) AS std, value_range, round(heart_rate, 4) AS heart_rate, round(mean_rr, 4) AS mean_rr, round(sdnn_rr, 4) AS sdnn_rr, round(rmssd_rr, 4) AS rmssd_rr,
+      round(pnn50_rr, 4) AS pnn50_rr, round(peak_amplitude, 4) AS peak_amplitude, peak_count, n_valid FROM g""",
 )
 def _(spark, d_):
-    peak = F.when(c("event_type") == "purchase", F.abs("raw"))
-    g = samples(spark, d_).groupBy("user_id").agg(
-        F.round(F.avg("raw"), 4).alias("mean"), F.round(F.stddev_samp("raw"), 4).alias("std"), (F.max("raw") - F.min("raw")).alias("value_range"),
-        F.round(60000.0 / F.avg("rr_ms"), 6).alias("mean_rate"), F.round(F.avg(peak), 4).alias("peak_amplitude"), F.count(peak).alias("n"),
+    diff, hrv = intervals.variability_aggregates("rr_ms", KEYS, ORDER)
+    peak, beats = F.when(c("event_type") == "purchase", F.abs("raw")), F.when(c("rr_ms").between(250, 2000), c("rr_ms"))
+    g = samples(spark, d_).withColumn("diff", diff).groupBy("user_id").agg(
+        F.avg("raw").alias("mean"), F.stddev_samp("raw").alias("std"), (F.max("raw") - F.min("raw")).alias("value_range"), (60000.0 / F.percentile(beats, F.lit(0.5))).alias("heart_rate"),
+        *[v.alias(f"{k}_rr") for k, v in hrv.items()], F.avg(peak).alias("peak_amplitude"), F.count(peak).alias("peak_count"), F.when(F.count(beats) >= 2, 10).otherwise(4).alias("n_valid"),
     )
-    return g.filter("n > 0").drop("n")
+    return rounded(g, 4)
 
 
 @query(
     "a09_fusion_features",
-    """$S, g AS (SELECT user_id, 60000.0 / quantile_cont(rr_ms, 0.5) AS a, 60000.0 / avg(rr_ms) AS b FROM s GROUP BY user_id) SELECT user_id, round(abs(a - b), 6) AS rate_difference FROM g""",
+    """$S, g AS (SELECT user_id, 60000.0 / quantile_cont(rr_ms, 0.5) FILTER (WHERE event_type = 'view') AS a, 60000.0 / quantile_cont(rr_ms, 0.5) FILTER (WHERE event_type = 'click') AS b,
+      max(ts_us // 500000) FILTER (WHERE event_type = 'view') AS e, max(ts_us // 500000) FILTER (WHERE event_type = 'click') AS p FROM s GROUP BY user_id),
+    d AS (SELECT user_id, abs(a - b) AS rate_difference, CASE WHEN e > 0 AND p > e AND (p - e) / 1000.0e0 BETWEEN 50 AND 600 THEN (p - e) / 1000.0e0 END AS arrival_ms FROM g)
+    SELECT user_id, round(rate_difference, 6) AS rate_difference, round(arrival_ms, 6) AS arrival_ms, arrival_ms IS NOT NULL AS arrival_valid, CASE WHEN arrival_ms IS NULL THEN 0 ELSE 1 END AS matched_beats FROM d""",
 )
 def _(spark, d_):
-    g = samples(spark, d_).groupBy("user_id").agg((60000.0 / F.percentile("rr_ms", F.lit(0.5))).alias("a"), (60000.0 / F.avg("rr_ms")).alias("b"))
-    return rounded(g.select("user_id", F.abs(c("a") - c("b")).alias("rate_difference")))
+    """Views stand for R peaks and clicks for pulses."""
+    of = lambda kind, x: F.when(c("event_type") == kind, x)
+    rate = lambda kind: 60000.0 / F.percentile(of(kind, c("rr_ms")), F.lit(0.5))
+    last = lambda kind: F.max(of(kind, F.floor(c("ts_us") / 500000)))
+    g = samples(spark, d_).groupBy("user_id").agg(F.abs(rate("view") - rate("click")).alias("rate_difference"), fn.pulse_arrival(last("view"), last("click")).alias("arrival_ms"))
+    valid = c("arrival_ms").isNotNull()
+    return rounded(g.select("*", valid.alias("arrival_valid"), valid.cast("int").alias("matched_beats")))
 
 
 @query(
@@ -122,23 +166,36 @@ def _(spark, d_):
 
 @query(
     "o07_oxygen_status",
-    "$S SELECT event_id, CASE WHEN bad THEN 'InvalidSignal' WHEN raw < 100 THEN 'NotAvailable' WHEN raw < 200 THEN 'Error' ELSE 'Valid' END AS status, false AS clinically_validated FROM s",
+    """$S, f AS (SELECT *, CASE WHEN ir > 262143 OR red > 262143 THEN 1 WHEN ir = 262143 OR red = 262143 THEN 2 WHEN ir = 0 OR red = 0 OR ir < 10000 THEN 3 END AS fault FROM s),
+    g AS (SELECT event_id, user_id, CASE WHEN idx < 7 THEN 'not_ready' WHEN bad THEN 'quality_rejected' ELSE coalesce(CASE first_value(fault IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY idx ROWS 7 PRECEDING)
+      WHEN 1 THEN 'out_of_range' WHEN 2 THEN 'saturated' WHEN 3 THEN 'no_signal' END, 'ok') END AS gate FROM f)
+    SELECT event_id, gate, CASE WHEN user_id % 10 = 9 THEN 'Error' WHEN gate = 'ok' THEN 'Valid' WHEN gate = 'not_ready' THEN 'NotAvailable' WHEN gate = 'out_of_range' THEN 'Error' ELSE 'InvalidSignal' END AS status,
+      false AS clinically_validated FROM g""",
 )
 def _(spark, d_):
-    status = F.when(c("bad"), "InvalidSignal").when(c("raw") < 100, "NotAvailable").when(c("raw") < 200, "Error").otherwise("Valid")
-    return samples(spark, d_).select("event_id", status.alias("status"), F.lit(False).alias("clinically_validated"))
+    """The estimator's gate over eight rows instead of its 400; one user in ten has rejected settings."""
+    rows = oxygen.gate_status(samples(spark, d_), KEYS, ORDER, "ir", "red", ~c("bad"), rows=8)
+    return rows.select("event_id", "gate", fn.oxygen_value_status(c("gate"), c("user_id") % 10 == 9).alias("status"), F.lit(False).alias("clinically_validated"))
 
 
 @query(
     "o11_rhythm_branch",
-    """$S, g AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE bad) AS nb, avg(value) / 200 AS p FROM s GROUP BY user_id)
-    SELECT user_id, CASE WHEN nb > 14 THEN 'quality_rejected' WHEN n < 50 THEN 'not_ready' ELSE 'valid' END AS status,
-      CASE WHEN nb <= 14 AND n >= 50 THEN CASE WHEN p > 1 - p THEN 'AF' ELSE 'nonAF' END END AS label, false AS negative_conclusive FROM g""",
+    f"""WITH q AS ({SQL["a11_ecg_quality"]}), f AS ({SQL["a05_af_features"].replace("round(avg(x), 6) AS mean_rr", "avg(x) AS mean_rr").replace("round(stddev_samp(x) / avg(x), 6) AS cv_rr", "stddev_samp(x) / avg(x) AS cv_rr")}),
+    b AS (SELECT q.user_id, q.status = 'good' AS good, reasons, interval_count, coalesce(interval_count < 75, false) AS no_model, 1 / (1 + exp(-(0.1 + (mean_rr - 0.6) / 0.1 * -0.4 + (cv_rr - 0.4) / 0.1 * 0.7))) AS p FROM q LEFT JOIN f USING (user_id)),
+    r AS (SELECT *, CASE WHEN NOT good THEN 'quality_rejected' WHEN interval_count IS NULL THEN 'not_ready' WHEN interval_count < 30 THEN 'quality_rejected' WHEN no_model THEN 'not_ready' ELSE 'valid' END AS status FROM b)
+    SELECT user_id, status, CASE WHEN NOT good THEN reasons WHEN interval_count IS NULL THEN 1 WHEN interval_count < 30 THEN 2 WHEN no_model THEN 4 ELSE 0 END AS reason_flags, CASE WHEN status = 'valid' THEN round(p, 6) END AS score,
+      CASE WHEN status = 'valid' THEN round(greatest(p, 1 - p), 6) END AS confidence, status = 'valid' AND p > 1 - p AS alert, CASE WHEN status = 'valid' THEN CASE WHEN p > 1 - p THEN 'AF' ELSE 'nonAF' END END AS label,
+      false AS negative_conclusive FROM r""",
 )
 def _(spark, d_):
-    g = samples(spark, d_).groupBy("user_id").agg(F.count("*").alias("n"), F.count(F.when(c("bad"), 1)).alias("nb"), (F.avg("value") / 200).alias("p"))
-    status = F.when(c("nb") > 14, "quality_rejected").when(c("n") < 50, "not_ready").otherwise("valid")
-    return g.select("user_id", status.alias("status"), F.when(status == "valid", F.when(c("p") > 1 - c("p"), "AF").otherwise("nonAF")).alias("label"), F.lit(False).alias("negative_conclusive"))
+    """The gates of quality and intervals; the network's weights aren't published, so a
+    logistic score of two features stands in, for sessions of 75 intervals or more."""
+    quality = QUERIES["a11_ecg_quality"](spark, d_).select("user_id", (c("status") == "good").alias("good"), "reasons")
+    f = intervals.af_features(samples(spark, d_), KEYS, ORDER, "rr_ms").select("user_id", "interval_count", "mean_rr", "cv_rr")
+    vector = F.when(c("interval_count").isNull(), "not_ready").when(c("interval_count") < 30, "quality_rejected").otherwise("ready")
+    p = fn.logistic_score([c("mean_rr"), c("cv_rr")], [0.6, 0.4], [0.1, 0.1], [-0.4, 0.7], 0.1)
+    branch = fn.rhythm_branch(c("good"), c("reasons"), vector, F.coalesce(c("interval_count") >= 75, F.lit(True)), p)
+    return rounded(quality.join(f, "user_id", "left").select("user_id", *[v.alias(k) for k, v in branch.items()]))
 
 
 @query("o12_low_oxygen_rule", "$S SELECT event_id, 86 + value / 35 < 92 AS below, false AS alert FROM s")
@@ -195,11 +252,3 @@ def _(spark, d_):
 def _(spark, d_):
     w = Window.partitionBy("user_id").orderBy(*ORDER)
     return samples(spark, d_).filter("raw > 500").withColumn("rn", F.row_number().over(w)).filter("rn <= 15").select("user_id", "event_id")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,19 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.select(*[F.nanvl(c, F.lit(None)).alias(c) if c in doubles else F.col(c) for c in df.columns]).write.mode("overwrite").json(path)
 
 
+def model_parameters(spark: SparkSession, names: Sequence[str], mean: Sequence[float], scale: Sequence[float], coef: Sequence[float], intercept: float) -> DataFrame:
+    """A scaled linear model as rows: pos, name, mean, scale, coef; the intercept is the last."""
+    rows = [(i, n, float(m), float(s), float(w)) for i, (n, m, s, w) in enumerate(zip(names, mean, scale, coef, strict=True))]
+    return spark.createDataFrame([*rows, (len(rows), "(intercept)", None, None, float(intercept))], "pos int, name string, mean double, scale double, coef double")
+
+
+def write_model(parameters: DataFrame, path: str) -> None:
+    """The rows as CSV and as JSON lines."""
+    one = parameters.coalesce(1)
+    write_csv(one, f"{path}/csv")
+    write_summary(one, f"{path}/json")
+
+
 def upload_batches(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function; a batch that is sent again replaces its own
     folder, so delivery is at least once and the result as if once."""
