@@ -101,13 +101,13 @@ def _(spark, d_):
 # ------------------------------------------------------------ scores and outliers
 @query(
     "v12_calibrated_events",
-    """$R, l AS (SELECT user_id, event_id, ts_us, idx + 1 AS pos, avg(least(1.0e0, value / 160)) OVER w AS high, avg(1 / (1 + value * 0.0131e0)) OVER w AS low FROM s WINDOW w AS (PARTITION BY user_id ORDER BY idx ROWS 3 PRECEDING)),
+    """$R, l AS (SELECT user_id, event_id, ts_us, idx + 1 AS pos, avg(least(1.0e0, value * 0.0062310585786e0)) OVER w AS high, avg(1 / (1 + value * 0.0131e0)) OVER w AS low FROM s WINDOW w AS (PARTITION BY user_id ORDER BY idx ROWS 3 PRECEDING)),
     c AS (SELECT *, greatest(high, low) AS score FROM l WHERE greatest(high, low) >= 0.55),
     e AS (SELECT user_id, min(pos) AS pos FROM c GROUP BY user_id UNION ALL SELECT user_id, pos FROM (SELECT e.user_id, min(c.pos) AS pos FROM e JOIN c ON c.user_id = e.user_id AND c.pos > e.pos + 5 GROUP BY e.user_id))
     SELECT user_id, ts_us, event_id, CAST(pos AS INTEGER) AS pos, CASE WHEN high = score THEN 'high' ELSE 'low' END AS label, round(score, 6) AS score FROM c JOIN e USING (user_id, pos)""",
 )
 def _(spark, d_):
-    rows = samples(spark, d_).withColumns({"high": F.least(F.lit(1.0), c("value") / 160), "low": 1 / (1 + c("value") * 0.0131)})
+    rows = samples(spark, d_).withColumns({"high": F.least(F.lit(1.0), c("value") * 0.0062310585786), "low": 1 / (1 + c("value") * 0.0131)})
     return rounded(detections.calibrated_events(rows, KEYS, ORDER, ["high", "low"], 4, 0.55, 5))
 
 
