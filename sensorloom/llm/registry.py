@@ -16,6 +16,8 @@ MODULES = {
     "op1_language_id": "language_id",
     "op3_token_counts": "token_counts",
     "op4_substring_dedup": "substring_dedup",
+    "op11_merkle_manifest": "merkle_manifest",
+    "op12_vector_codes": "vector_codes",
 }
 
 
