@@ -18,6 +18,7 @@ MODULES = {
     "op4_substring_dedup": "substring_dedup",
     "op11_merkle_manifest": "merkle_manifest",
     "op12_vector_codes": "vector_codes",
+    "op13_quality_ranking": "quality_ranking",
 }
 
 
