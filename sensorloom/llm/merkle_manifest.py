@@ -138,18 +138,18 @@ class _Run:
             yield doc_id, leaf, subroot, root, proof, folded[start], folded[start] == root
 
 
-def _kept(rdd: RDD) -> RDD:
-    """``rdd`` computed once, in the shared folder, so that no later step depends on a lost executor's memory."""
-    rdd.checkpoint()
-    rdd.count()
-    return rdd
-
-
 def _message_up(key: Key, own: str, sources: int) -> list[tuple[Key, tuple]]:
     above = parent(key, sources)
     return [(above[0], (above[1], own, key))] if above else []
 
 
+def _go_up(key: Key, told: list[tuple], sources: int) -> list[tuple[Key, tuple]]:
+    """A node that has been told of all its children tells its parent; until then what it was told waits."""
+    if len(told) < n_children(key):
+        return [(key, c) for c in told]
+    return _message_up(key, digest(*[c[1] for c in told]), sources)
+
+
 def manifest(docs: DataFrame) -> DataFrame:
     """Each row's leaf, its source's root (subroot), the root of all, the digest
     of its siblings on the way to the root (proof_sha256), and whether the row,
@@ -172,28 +172,25 @@ def manifest(docs: DataFrame) -> DataFrame:
     if sizes[0] is None:
         return spark.createDataFrame([], RESULT)
     sources, largest, n = sizes[0] + 1, sizes[1], sizes[2]
-    C.scratch_dir(spark)
     parts = max(1, min(-(-n // LEAF_ROWS) * 2, 4096))
     own = rows.select("tree", "size", "at", "doc_id", "leaf", "tampered").rdd
     grouped = own.map(lambda r: ((r[0], r[1], 1, r[2] // FAN_IN), (r[2], r[3], r[4], r[5]))).groupByKey(_partitions(spark, parts))
-    runs = _kept(grouped.mapValues(lambda x: _Run(list(x))))
+    runs = grouped.mapValues(lambda x: _Run(list(x)))
 
-    # Up: what a parent is told waits with it until it has all its children.
+    # Up: as many supersteps as levels above the runs; their shuffles are one job's, and a lost one is made again from the one before.
     waiting = runs.flatMap(lambda x: _message_up(x[0], x[1].digest(x[0]), sources))
     done: list[RDD] = []
     for _ in range(max(0, depth(largest) - 1) + depth(sources)):
-        told = _kept(waiting.groupByKey(_partitions(spark, parts)).mapValues(lambda x: sorted(x)))
-        complete = told.filter(lambda x: len(x[1]) == n_children(x[0]))
-        forward = complete.flatMap(lambda x: _message_up(x[0], digest(*[c[1] for c in x[1]]), sources))
-        waiting = told.filter(lambda x: len(x[1]) < n_children(x[0])).flatMap(lambda x: [(x[0], c) for c in x[1]]).union(forward)
-        done.append(complete)
         parts = max(1, parts // FAN_IN)
+        told = waiting.groupByKey(_partitions(spark, parts)).mapValues(sorted)
+        done.append(told.filter(lambda x: len(x[1]) == n_children(x[0])))
+        waiting = told.flatMap(lambda x: _go_up(x[0], x[1], sources))
 
     # Down: a path waits until its node's turn; the node hands it on with one more level.
     top = (TOP, sources, depth(sources), 0) if sources > 1 else (0, largest, max(1, depth(largest)), 0)
     paths = spark.sparkContext.parallelize([(top, (None, None, ()))], 1)
     for level in reversed(done):
-        paths = _kept(level.cogroup(paths, _partitions(spark, level.getNumPartitions())).flatMap(_hand_down))
+        paths = level.cogroup(paths, level.getNumPartitions()).flatMap(_hand_down)
     found = runs.join(paths, runs.getNumPartitions()).flatMap(lambda x: x[1][0].proofs(x[0], *x[1][1]))
     return spark.createDataFrame(found, RESULT, verifySchema=False)
 
