@@ -174,14 +174,3 @@ def filtered(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: st
     return over_sessions(
         df.select(*dict.fromkeys([*keys, *order, id_column, value])), keys, order, lambda r: pd.DataFrame({id_column: r[id_column], "y": f(r[value].to_numpy())}), f"{id_column} long, y double"
     )
-
-
-def session_peaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, value: str, settings: dict) -> DataFrame:
-    """Keys, time and amplitude of each session's peaks."""
-    key_schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-
-    def find(rows: pd.DataFrame) -> pd.DataFrame:
-        at, height = peaks(rows[value].to_numpy(), rows[ts].to_numpy(), **settings)
-        return pd.DataFrame({**{k: rows[k].iloc[at].to_numpy() for k in keys}, "peak_us": rows[ts].to_numpy()[at], "amplitude": height})
-
-    return over_sessions(df.select(*dict.fromkeys([*keys, *order, ts, value])), keys, order, find, f"{key_schema}, peak_us long, amplitude double")

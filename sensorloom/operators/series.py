@@ -141,30 +141,6 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
     return df.withColumn("pos", (F.row_number().over(ordered(keys, order)) - 1).cast("long"))
 
 
-def sorted_positions(df: DataFrame, key: str, value: str, tie: str, rows_per_range: int = 1 << 20) -> DataFrame:
-    """Every row with ``pos``, its place from 1 by ``key``, falling ``value``
-    and ``tie``, nulls last.  Rows are numbered within ranges of a key's values
-    of about ``rows_per_range`` rows, and the rows in earlier ranges added; rows
-    of one key and value share a range.  The ranges' bounds are collected, so
-    that both uses of them agree."""
-    most = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    parts = max(1, -(-most // rows_per_range))
-    at = F.col(value)
-    number = F.lit(0)
-    if parts > 1:
-        cuts = df.groupBy(F.col(key).alias("_key")).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 100 * parts).alias("_cuts"))
-        cuts = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-        df = df.join(F.broadcast(cuts), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
-        number = F.size(F.filter("_cuts", lambda x: x > at))
-    rows = df.withColumn("_range", F.when(at.isNull(), parts).otherwise(number)).drop("_cuts")
-    ranges = rows.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(F.asc_nulls_last("_key"), "_r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select("_key", "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rows = rows.join(F.broadcast(offsets), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_r")))
-    within = Window.partitionBy(key, "_range").orderBy(F.desc_nulls_last(value), F.asc_nulls_last(tie))
-    return rows.withColumn("pos", F.col("_before") + F.row_number().over(within)).drop("_key", "_r", "_range", "_before")
-
-
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, low_us: int, high_us: int) -> DataFrame:
     """Each row of ``left`` with the last time in ``right`` before it, if
     that is ``low_us`` to ``high_us`` back.  One sort of the union by time; no

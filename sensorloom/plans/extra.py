@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import signals as fn
-from sensorloom.operators import series
+from sensorloom.operators import blocks, series
 from sensorloom.plans.catalog import KEYS, ORDER, indexed, rounded, samples
 from sensorloom.plans.register import query
 from sensorloom.sources import logs, sinks
@@ -259,7 +259,8 @@ def _(spark, d_):
 @query("t05_multi_key_sort", "SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) AS pos FROM supplier ORDER BY pos")
 def _(spark, d_):
     rows = table(spark, d_, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    return series.sorted_positions(rows, "s_nationkey", "s_acctbal", "s_suppkey").select("s_suppkey", "pos").orderBy("pos")
+    order = [F.asc_nulls_last("s_nationkey"), F.desc_nulls_last("s_acctbal"), F.asc_nulls_last("s_suppkey")]
+    return blocks.numbered(rows, [], order, "pos").select("s_suppkey", (c("pos") + 1).alias("pos")).orderBy("pos")
 
 
 @query("t08_first_seconds", "$S, f AS (SELECT *, min(ts_us) OVER (PARTITION BY user_id) AS t0 FROM s) SELECT event_id FROM f WHERE ts_us - t0 < 259200000000")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.functions import signals as fn
-from sensorloom.operators import dsp, oxygen, series, waveforms
+from sensorloom.operators import blocks, dsp, oxygen, series, waveforms
 from sensorloom.plans.catalog import KEYS, ORDER, rounded, samples
 from sensorloom.plans.register import query
 from sensorloom.sources import logs
@@ -24,14 +24,18 @@ def _scaled(spark, d_) -> DataFrame:
     return samples(spark, d_).withColumn("x", F.col("value") * 0.7310585786)
 
 
+def _filtered(rows: DataFrame, value: str, f: blocks.Affine) -> DataFrame:
+    return rounded(blocks.recurrence(rows, KEYS, ORDER, value, {"y": f}, ["event_id"]).select("event_id", "y"))
+
+
 @query("f01_dc_blocker", _ema_sql("x - y", 0.05))
 def _(spark, d_):
-    return rounded(dsp.filtered(_scaled(spark, d_), KEYS, ORDER, "x", lambda x: dsp.dc_blocked(x, 0.05), "event_id"))
+    return _filtered(_scaled(spark, d_), "x", blocks.ema(0.05, of_level=True))
 
 
 @query("f02_low_pass", _ema_sql("y", 0.18))
 def _(spark, d_):
-    return rounded(dsp.filtered(_scaled(spark, d_), KEYS, ORDER, "x", lambda x: dsp.ema(x, 0.18), "event_id"))
+    return _filtered(_scaled(spark, d_), "x", blocks.ema(0.18))
 
 
 @query(
@@ -41,7 +45,7 @@ def _(spark, d_):
     SELECT event_id, round(z, 6) + 0.0 AS y FROM r""",
 )
 def _(spark, d_):
-    return rounded(dsp.filtered(_scaled(spark, d_), KEYS, ORDER, "x", lambda x: dsp.preprocessed(x, **dsp.PPG), "event_id"))
+    return _filtered(_scaled(spark, d_), "x", blocks.level_then_smooth(dsp.PPG["dc"], dsp.PPG["low_pass"]))
 
 
 def _peaks_sql(height: str, scale: float, refractory_us: int) -> str:
@@ -56,13 +60,13 @@ def _peaks_sql(height: str, scale: float, refractory_us: int) -> str:
 
 @query("f06_ppg_peaks", _peaks_sql("{t}value", 0.45, 280_000))
 def _(spark, d_):
-    return dsp.session_peaks(samples(spark, d_), KEYS, ORDER, "ts_us", "value", dsp.PPG)
+    return blocks.session_peaks(samples(spark, d_), KEYS, ORDER, "ts_us", "value", dsp.PPG)
 
 
 @query("f07_r_peaks", _peaks_sql("abs({t}value - 70)", 0.55, 240_000))
 def _(spark, d_):
     centred = samples(spark, d_).withColumn("x", F.col("value") - 70)
-    return dsp.session_peaks(centred, KEYS, ORDER, "ts_us", "x", dsp.ECG)
+    return blocks.session_peaks(centred, KEYS, ORDER, "ts_us", "x", dsp.ECG)
 
 
 _SECTIONS = dsp.butterworth_sections("low", 4, 20.0, 200.0)
@@ -84,7 +88,7 @@ def _cascade_sql() -> str:
 
 @query("f12_biquad_cascade", _cascade_sql())
 def _(spark, d_):
-    return rounded(dsp.filtered(samples(spark, d_), KEYS, ORDER, "value", lambda x: dsp.cascade(x, _SECTIONS), "event_id"))
+    return _filtered(samples(spark, d_), "value", blocks.sections(_SECTIONS))
 
 
 @query(
@@ -93,16 +97,13 @@ def _(spark, d_):
 )
 def _(spark, d_):
     """The filter keeps its state over the warm-up, the first 5 samples; statistics begin after it."""
-    rows = _scaled(spark, d_)
-    smooth = dsp.filtered(rows, KEYS, ORDER, "x", lambda x: dsp.ema(x, 0.18), "event_id")
-    numbered = rows.select("user_id", "event_id", (F.row_number().over(series.ordered(KEYS, ORDER)) - 1).alias("idx"))
-    after = numbered.filter("idx >= 5").join(smooth, "event_id")
-    return rounded(after.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.max("y").alias("top")))
+    smooth = blocks.recurrence(_scaled(spark, d_), KEYS, ORDER, "x", {"y": blocks.ema(0.18)})
+    return rounded(smooth.filter("idx >= 5").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.max("y").alias("top")))
 
 
 @query("f15_zero_phase")
 def _(spark, d_):
-    return rounded(dsp.filtered(samples(spark, d_), KEYS, ORDER, "value", lambda x: dsp.zero_phase(x, _SECTIONS), "event_id"))
+    return rounded(blocks.zero_phase(samples(spark, d_), KEYS, ORDER, "value", _SECTIONS, ["event_id"]).select("event_id", "y"))
 
 
 @query(

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sensorloom.operators import oxygen, series
+from sensorloom.operators import blocks, oxygen
 from sensorloom.plans import catalog
 
 QUERIES = catalog.queries()
@@ -53,8 +54,9 @@ def suppliers(spark):
 @pytest.mark.parametrize("rows_per_range", [1 << 20, 20])
 def test_positions_over_ranges(spark, rows_per_range):
     df, expected = suppliers(spark)
-    got = series.sorted_positions(df, "s_nationkey", "s_acctbal", "s_suppkey", rows_per_range).collect()
-    assert [r["s_suppkey"] for r in sorted(got, key=lambda r: r["pos"])] == expected and sorted(r["pos"] for r in got) == list(range(1, 405))
+    order = [F.asc_nulls_last("s_nationkey"), F.desc_nulls_last("s_acctbal"), F.asc_nulls_last("s_suppkey")]
+    got = blocks.numbered(df, [], order, "pos", rows_per_range).collect()
+    assert [r["s_suppkey"] for r in sorted(got, key=lambda r: r["pos"])] == expected and sorted(r["pos"] for r in got) == list(range(404))
 
 
 def test_whole_table_is_sorted(spark, tmp_path):
