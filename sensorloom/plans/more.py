@@ -72,21 +72,35 @@ def _(spark, d_):
 _SECTIONS = dsp.butterworth_sections("low", 4, 20.0, 200.0)
 
 
-def _cascade_sql() -> str:
-    """Two sections in series; z11 to z22 are what each keeps from a sample to the next."""
+def _cascade_pass(name: str, source: str, starts: list[float]) -> str:
+    """A recursive table: two sections in series over the samples x of a table; z11 to z22 are what each keeps from
+    a sample to the next, and begin as ``starts`` times the first sample."""
     (b0, b1, b2, a1, a2), (d0, d1, d2, c1, c2) = ([f"({x:.17e})" for x in row] for row in _SECTIONS.tolist())
-    kept = "z11, z12, z21, z22"
+    kept = ["z11", "z12", "z21", "z22"]
 
-    def step(source: str) -> str:
+    def step(rows: str) -> str:
         return f"""SELECT user_id, idx, event_id, o2 AS y, {b1} * x - {a1} * o1 + z12 AS z11, {b2} * x - {a2} * o1 AS z12, {d1} * o1 - {c1} * o2 + z22 AS z21, {d2} * o1 - {c2} * o2 AS z22
-        FROM (SELECT *, {d0} * o1 + z21 AS o2 FROM (SELECT *, {b0} * x + z11 AS o1 FROM ({source})))"""
+        FROM (SELECT *, {d0} * o1 + z21 AS o2 FROM (SELECT *, {b0} * x + z11 AS o1 FROM ({rows})))"""
 
-    first = "SELECT user_id, idx, event_id, value AS x, " + ", ".join(f"CAST(0 AS DOUBLE) AS {z}" for z in kept.split(", ")) + " FROM s WHERE idx = 0"
-    following = f"SELECT s.user_id, s.idx, s.event_id, s.value AS x, {kept} FROM r JOIN s ON s.user_id = r.user_id AND s.idx = r.idx + 1"
-    return f"$R, r AS ({step(first)} UNION ALL {step(following)}) SELECT event_id, round(y, 6) + 0.0 AS y FROM r"
+    first = "SELECT user_id, idx, event_id, x, " + ", ".join(f"({v:.17e}) * x AS {z}" for v, z in zip(starts, kept, strict=True)) + f" FROM {source} WHERE idx = 0"
+    following = f"SELECT t.user_id, t.idx, t.event_id, t.x, {', '.join(kept)} FROM {name} JOIN {source} t ON t.user_id = {name}.user_id AND t.idx = {name}.idx + 1"
+    return f"{name} AS ({step(first)} UNION ALL {step(following)})"
 
 
-@query("f12_biquad_cascade", _cascade_sql())
+def _zero_phase_sql() -> str:
+    """Odd extensions at both ends of sessions of 12 samples or more, a pass forwards, a pass backwards."""
+    reach, starts = 3 * (2 * len(_SECTIONS) + 1), blocks.sections(_SECTIONS, settled=True).first.tolist()
+    return f"""$R, n AS (SELECT user_id, count(*) AS n, avg(value) AS mean, arg_min(value, idx) AS x0, arg_max(value, idx) AS x1, least({reach}, count(*) - 2) AS pad FROM s GROUP BY user_id),
+    k AS (SELECT s.user_id, s.idx, s.event_id, value, n, mean, x0, x1, pad FROM s JOIN n USING (user_id)),
+    e AS (SELECT user_id, pad + idx AS idx, event_id, value AS x FROM k WHERE n >= 12 UNION ALL SELECT user_id, pad - idx, NULL, 2 * x0 - value FROM k WHERE n >= 12 AND idx BETWEEN 1 AND pad
+      UNION ALL SELECT user_id, pad + 2 * (n - 1) - idx, NULL, 2 * x1 - value FROM k WHERE n >= 12 AND n - 1 - idx BETWEEN 1 AND pad),
+    {_cascade_pass("f", "e", starts)},
+    b AS (SELECT user_id, max(idx) OVER (PARTITION BY user_id) - idx AS idx, event_id, y AS x FROM f),
+    {_cascade_pass("g", "b", starts)}
+    SELECT event_id, round(y, 6) + 0.0 AS y FROM g WHERE event_id IS NOT NULL UNION ALL SELECT event_id, round(value - mean, 6) + 0.0 FROM k WHERE n < 12"""
+
+
+@query("f12_biquad_cascade", f"$R, x AS (SELECT user_id, idx, event_id, value AS x FROM s), {_cascade_pass('r', 'x', [0.0] * 4)} SELECT event_id, round(y, 6) + 0.0 AS y FROM r")
 def _(spark, d_):
     return _filtered(samples(spark, d_), "value", blocks.sections(_SECTIONS))
 
@@ -101,7 +115,7 @@ def _(spark, d_):
     return rounded(smooth.filter("idx >= 5").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.max("y").alias("top")))
 
 
-@query("f15_zero_phase")
+@query("f15_zero_phase", _zero_phase_sql())
 def _(spark, d_):
     return rounded(blocks.zero_phase(samples(spark, d_), KEYS, ORDER, "value", _SECTIONS, ["event_id"]).select("event_id", "y"))
 
