@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorloom import storage
 from sensorloom.functions import signals as fn
 from sensorloom.operators import blocks, dsp, oxygen, series, waveforms
 from sensorloom.plans.catalog import KEYS, ORDER, rounded, samples
 from sensorloom.plans.register import query
 from sensorloom.sources import logs
+from sensorloom.sources.log_source import LogSource
 from sensorloom.streaming import sessions
 
 
@@ -160,7 +164,11 @@ def _records(spark, d_) -> DataFrame:
     CAST(CASE WHEN bad THEN 1 ELSE 0 END AS INTEGER) AS flags FROM s""",
 )
 def _(spark, d_):
-    return logs.decode_frames(logs.encode_frames(_records(spark, d_))).drop("schema")
+    """The records written as a log of many files, which many tasks read in byte ranges."""
+    folder = f"{storage.shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    spark.dataSource.register(LogSource)
+    _records(spark, d_).write.format("sensor_log").mode("append").save(folder)
+    return logs.read_binary_logs(spark, folder).drop("schema")
 
 
 @query(

@@ -102,7 +102,14 @@ def decode_frames(files: DataFrame) -> DataFrame:
 
 
 def read_binary_logs(spark: SparkSession, path: str) -> DataFrame:
-    return decode_frames(spark.read.format("binaryFile").load(path))
+    """The records of a file, folder or glob, read in byte ranges; damaged
+    bytes are an error.  ``sensor_log`` gives those as rows."""
+    from sensorloom.sources.log_source import LogSource
+
+    spark.dataSource.register(LogSource)
+    found = spark.read.format("sensor_log").load(path)
+    bad = F.raise_error(F.format_string("%s: %s at byte %d of %s", F.lit("damaged log"), F.col("reason"), F.col("offset"), F.col("path")))
+    return found.select(F.when(F.col("reason").isNotNull(), bad.cast("int")).otherwise(F.col("schema")).alias("schema"), *_COLUMNS[1:])
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -150,12 +157,3 @@ def preferred_file(files: DataFrame, key: str) -> DataFrame:
     depth = F.size(F.split("path", "/"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(matches.desc(), depth, "path"))
     return files.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
-
-
-def synthetic_ppg(spark: SparkSession, n: int, period: int = 40) -> DataFrame:
-    """A two-channel sine at 200 Hz."""
-    angle = 2 * np.pi * F.pmod(F.col("id"), F.lit(period)) / period
-    return spark.range(n).select(
-        ((F.col("id") + 1) * 5000).alias("timestamp_us"), F.col("id").alias("seq"),
-        (40000 + 500 * F.sin(angle)).cast("long").alias("red"), (60000 + 1200 * F.sin(angle)).cast("long").alias("ir"),
-    )
