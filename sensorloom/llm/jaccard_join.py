@@ -10,10 +10,10 @@ Its lists are used twice:
   comparisons as it has members.
 * Within each list the postings of a component are a block.  Blocks of the own
   component are skipped as their answer is known, others where their sizes
-  and positions can't reach the threshold.  Pairs from different components
-  that are left are answered from their leaders' overlap, which differs from
-  theirs at most by what they don't share with the leaders; only pairs that
-  this leaves open are compared themselves.
+  and positions can't reach the threshold; lists meet by bands of sizes, so
+  sets of sizes that a position excludes never meet.  Pairs from different
+  components that are left are answered from their leaders' overlap and the
+  few shingles in which they differ from their leaders.
 
 So every pair that is never compared is in one component already, or proven to
 be below the threshold.
@@ -148,40 +148,79 @@ def _leader_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return found.filter(_reaches(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent))
 
 
+def _most_size(size: Column, pos: Column, percent: int) -> Column:
+    """The size up to which another set can be similar to one of ``size`` that shares nothing before ``pos``."""
+    return F.floor((100 + percent) * (size - pos) / percent).cast("int") - size
+
+
+def _band(size: Column) -> Column:
+    """Sizes in bands of a fifth of a doubling or less."""
+    return F.floor(5 * F.log2(size.cast("double"))).cast("int")
+
+
+def _opened(own: DataFrame, percent: int) -> DataFrame:
+    """Postings (a, size, pos) with the blocks (token, band, other) of no larger sets that they may hold an answer to.
+
+    A posting at ``pos`` of a set can only meet sets up to a size that falls with
+    ``pos``, and of two sets the larger looks the smaller up, so it goes to a few
+    bands of sizes of its list, or to none; a set is only looked up at positions
+    within a ninth of its size (at 80 hundredths).  Lists meet their blocks by
+    (token, band), never as a whole."""
+    size, pos = F.col("size"), F.col("pos")
+    filed = own.withColumn("most", _most_size(size, pos, percent)).filter(F.col("most") >= size).withColumn("band", _band(size))
+    blocks = filed.groupBy("token", "band", F.col("component").alias("other")).agg(F.min("pos").alias("min_pos"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), F.max("most").alias("most"))
+    least, top = F.ceil(size * percent / 100).cast("int"), F.least(size, _most_size(size, pos, percent))
+    asking = own.withColumn("least", least).withColumn("top", top).filter("least <= top")
+    asking = asking.withColumn("band", F.explode(F.sequence(_band(F.col("least")), _band(F.col("top")))))
+    met = asking.join(blocks, ["token", "band"])
+    # A block is skipped if even its best sizes and position can't reach the threshold.
+    best = F.least(F.col("max_size") - F.col("min_pos"), size - pos)
+    fits = (F.col("component") != F.col("other")) & (F.col("min_size") <= F.col("top")) & (F.col("max_size") >= F.col("least")) & (F.col("most") >= size)
+    met = met.filter(fits & _reaches(best, size, F.col("min_size"), percent))
+    return met.select("token", "band", "other", F.col("node").alias("a"), "size", "pos")
+
+
 def _left_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) from different components that some list leaves possible."""
     own = postings.join(labels.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    blocks = own.groupBy("token", "component").agg(F.min("pos").alias("min_pos"), F.min("size").alias("min_size"), F.max("size").alias("max_size"))
-    several = blocks.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    own = C.checkpointed(own.join(several, "token", "left_semi"))
-    blocks = blocks.join(several, "token", "left_semi").withColumnRenamed("component", "other")
-    # A block is skipped if even its best sizes and position can't reach the threshold.
-    best = F.least(F.col("max_size") - F.col("min_pos"), F.col("size") - F.col("pos"))
-    opened = own.join(blocks, "token").filter(
-        (F.col("component") < F.col("other"))
-        & (100 * F.col("max_size") >= percent * F.col("size"))
-        & (100 * F.col("size") >= percent * F.col("min_size"))
-        & _reaches(best, F.col("size"), F.col("min_size"), percent)
-    )
-    other = own.select("token", F.col("component").alias("other"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
+    several = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
+    own = C.checkpointed(own.join(several, "token", "left_semi").select("token", "node", "size", "pos", "component"))
+    other = own.select("token", _band(F.col("size")).alias("band"), F.col("component").alias("other"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
     rest = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))
-    pairs = opened.select("token", "other", F.col("node").alias("a"), "size", "pos").join(other, ["token", "other"])
-    return pairs.filter(_reaches(rest, F.col("size"), F.col("size_b"), percent)).select("a", "b").distinct()
+    pairs = _opened(own, percent).join(other, ["token", "band", "other"]).filter((F.col("size_b") <= F.col("size")) & _reaches(rest, F.col("size"), F.col("size_b"), percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _answers(pairs: DataFrame, leaders: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) among ``pairs``, from their leaders' overlap where it decides."""
-    lead_a = leaders.select(F.col("node").alias("a"), F.col("leader").alias("lead_a"), F.col("apart").alias("apart_a"), F.col("size").alias("size_a"))
-    lead_b = leaders.select(F.col("node").alias("b"), F.col("leader").alias("lead_b"), F.col("apart").alias("apart_b"), F.col("size").alias("size_b"))
-    led = C.checkpointed(pairs.join(lead_a, "a").join(lead_b, "b"))
+    """The links (a, b) among ``pairs``, derived from their leaders' overlap.
+
+    A set is its leader's with some shingles more (plus) and some less (minus).
+    So the overlap of a and b is that of their leaders, and of each one's plus and
+    minus with the other's leader, and of the plus and minus with each other,
+    minus counting negative.  Leaders' sets travel once for each leader or set
+    that they are asked by; a pair takes the few differing shingles only.
+    """
+    of = lambda x: leaders.select(F.col("node").alias(x), F.col("leader").alias(f"lead_{x}"), F.col("apart").alias(f"apart_{x}"), F.col("size").alias(f"size_{x}"))
+    led = C.checkpointed(pairs.join(of("a"), "a").join(of("b"), "b"))
     known = _overlaps(led.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b")).distinct(), sets, percent)
     known = known.select(F.col("a").alias("lead_a"), F.col("b").alias("lead_b"), "overlap")
     most = F.col("overlap") + F.col("apart_a") + F.col("apart_b")
     possible = C.checkpointed(led.join(known, ["lead_a", "lead_b"]).filter(_reaches(most, F.col("size_a"), F.col("size_b"), percent)))
-    decided = (F.col("a") == F.col("lead_a")) & (F.col("b") == F.col("lead_b"))
-    compared = _overlaps(possible.filter(~decided).select("a", "b"), sets, percent)
-    compared = compared.filter(_reaches(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent))
-    return possible.filter(decided).select("a", "b").unionByName(compared.select("a", "b"))
+
+    asked = possible.select(F.col("a").alias("node"), F.col("lead_a").alias("lead"), F.col("lead_b").alias("with"))
+    asked = asked.unionByName(possible.select(F.col("b").alias("node"), F.col("lead_b").alias("lead"), F.col("lead_a").alias("with"))).distinct()
+    shared = lambda x, name: sets.select(F.col("node").alias(x), F.col("shared").alias(name))
+    differing = asked.filter("node <> lead").select("node", "lead").distinct().join(shared("node", "own"), "node").join(shared("lead", "led"), "lead")
+    differing = C.checkpointed(differing.select("node", F.array_except("own", "led").alias("plus"), F.array_except("led", "own").alias("minus")))
+    both = lambda x, y: F.size(F.array_intersect(x, y))
+    half = asked.select("node", "with").join(differing, "node").join(shared("with", "led"), "with").select("node", "with", (both("plus", "led") - both("minus", "led")).alias("change"))
+    change = lambda x, y: half.select(F.col("node").alias(x), F.col("with").alias(f"lead_{y}"), F.col("change").alias(f"change_{x}"))
+    few = lambda x: differing.select(F.col("node").alias(x), F.col("plus").alias(f"plus_{x}"), F.col("minus").alias(f"minus_{x}"))
+    full = possible.join(change("a", "b"), ["a", "lead_b"], "left").join(change("b", "a"), ["b", "lead_a"], "left").join(few("a"), "a", "left").join(few("b"), "b", "left")
+    cross = both("plus_a", "plus_b") + both("minus_a", "minus_b") - both("plus_a", "minus_b") - both("minus_a", "plus_b")
+    zero = F.lit(0)
+    overlap = F.col("overlap") + F.coalesce("change_a", zero) + F.coalesce("change_b", zero) + F.when(F.col("plus_a").isNull() | F.col("plus_b").isNull(), 0).otherwise(cross)
+    return full.filter(_reaches(overlap, F.col("size_a"), F.col("size_b"), percent)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -194,7 +233,12 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int
     component_id (the smallest doc_id that links reach, the row's own
     included).  Null texts and texts without words have empty sets and stay by
     themselves; equal sets are linked; a null doc_id is never the smallest; an
-    empty table gives an empty result; other columns are left out.
+    empty table gives an empty result; other columns are left out.  Repeated
+    rows are rows each, with one set; rows of one doc_id and different texts
+    are linked by their texts alone.  A similarity of just ``percent``
+    hundredths links; ties among leaders go by a hash and change no component.
+    A text is one task's work, however long: about sixty bytes a word there, and
+    its set as one array of 8 bytes a shingle that others may have too.
     """
     rows = C.stored(indexed_sets(docs, width, percent), "shingle-sets")
     found = rows.filter("shared IS NOT NULL").select(F.col("signature").alias("node"), F.col("n_shingles").cast("int").alias("size"), "prefix", "shared")
