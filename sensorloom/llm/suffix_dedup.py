@@ -16,6 +16,13 @@ segment of at most 75 bytes.  The rounds:
 3. Where a sample occurs in several segments, rank their single windows of 50
    bytes; that is the threshold, so no round follows.
 
+A phrase that many documents hold in other surroundings is one sample with as
+many segments as documents.  So a chunk sends at most MANY + 1 pairs of a sample:
+that it has more than one, or more than MANY, segments is told by these.  Windows
+of samples with up to MANY segments are ranked where the sample's shard is, from
+the segments' bytes; those of samples with more are ranked by digests of the
+windows themselves, which spread evenly whatever the sample.
+
 Between rounds, ranks go by their sorted digests to shards, which answer in the
 same order; a document's bytes stay with it.
 """
@@ -34,6 +41,8 @@ from . import common as C
 LENGTH = 50
 #: Bytes handled at once in a chunk, so that arrays stay in the processor's cache.
 STEP_BYTES = 1 << 17
+#: Segments of a sample whose bytes may meet in the sample's shard.
+MANY = 16
 
 _POWERS = C.Powers(0x9E3779B97F4A7C15), C.Powers(0xD1B54A32D192ED03)
 _BYTES = C.mixed(np.arange(1, 257, dtype=np.uint64)), C.mixed(np.arange(1001, 1257, dtype=np.uint64))
@@ -111,7 +120,7 @@ def _doc_ids(table: pa.Table) -> np.ndarray:
 class _Chunk:
     """A chunk in the rounds: its segments, and what the shards answered so far."""
 
-    def __init__(self, table: pa.Table, sketch: C.Sketch, length: int, answers: pa.Table):
+    def __init__(self, table: pa.Table, sketch: C.Sketch, length: int, answers: pa.Table, many: int):
         self.ids = _doc_ids(table)
         s = self.segments = Segments(C.texts_of(table), length)
         # Round 2: the distinct (sample, segment) pairs of samples that may be repeated, and their smallest document here.
@@ -123,15 +132,37 @@ class _Chunk:
         self.at = self.picked[self.order][begin]
         ids = self.ids[s.text[self.picked]][self.order]
         self.smallest = np.minimum.reduceat(ids, begin) if len(begin) else ids
+        # Pairs are in the samples' order: each one's number within its sample, and where that sample's pairs begin.
+        sample = s.sample[self.at]
+        first = np.flatnonzero(np.diff(sample, prepend=~sample[:1]) != 0)
+        head = np.repeat(first, np.diff(np.append(first, len(sample))))
+        self.sent = np.flatnonzero(np.arange(len(sample)) - head <= many)
         two = self.of_kind(answers, 2)
-        self.first = C.answers_of(two, "a").astype(np.int64)
-        self.several = np.flatnonzero(C.answers_of(two, "b"))
+        told = C.answers_of(two, "b")
+        if len(told) or not len(sample):
+            self.first, kind = np.full(len(sample), _NO_ID), np.zeros(len(sample), np.int64)
+            self.first[self.sent], kind[self.sent] = C.answers_of(two, "a").astype(np.int64), told
+            kind = kind[head]
+            self.one, self.several, self.many = (np.flatnonzero(kind == k) for k in range(3))
+
+    def many_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ranks (first, second) of windows of samples with many segments, sorted and distinct, the smallest document
+        of each here, and which of them each window is."""
+        s, at = self.segments, self.at[self.many]
+        n, data = s.windows[at], np.frombuffer(s.bytes_of(at), np.uint8)
+        ranks = [_window_ranks(data[a:b], n[i:j], s.length) for a, b, i, j in _steps(n + s.length - 1)] if len(n) else []
+        one, two = np.concatenate([np.zeros((2, 0), np.uint64), *ranks], axis=1)
+        order, group, begin = C.distinct_digests(one, two)
+        ids = np.repeat(self.smallest[self.many], n)[order]
+        of = np.empty(len(order), np.int64)
+        of[order] = group
+        return one[order[begin]], two[order[begin]], np.minimum.reduceat(ids, begin) if len(begin) else ids, of
 
     def of_kind(self, answers: pa.Table, kind: int) -> pa.Table:
         return answers.filter(pa.array(self.kind == kind))
 
 
-def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: bool = True) -> DataFrame:
+def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: bool = True, many: int = MANY) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes (50 or another
     even number) that also starts in a document with a smaller doc_id.
 
@@ -143,12 +174,14 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: boo
     doc_id is not smaller than any and loses nothing; an empty table gives an
     empty result; other columns, whatever their names, are left out.  A text is
     in one task whole, with some seven bytes of memory for each of its own and
-    a step's arrays, so very long ones may have some 100 MB.
+    a step's arrays, so very long ones may have some 100 MB.  ``many``: see the
+    module; it changes no result.
     """
     n_bytes = C.text_bytes(docs)
     sketch = C.Sketch(n_bytes / 12, C.repeated)
     shards = C.shard_count(n_bytes / 4)
-    pairs = C.Exchange(shards, _rank_pairs, least=True)
+    pairs = C.Exchange(shards, lambda sample, first: _rank_pairs(sample, first, many), least=True)
+    spread = C.Exchange(shards, lambda first, number: (number,), least=True)
     chunks = C.chunked(docs, C.chunk_count(2 * n_bytes))
     by_chunk = chunks.groupBy("chunk")
 
@@ -161,15 +194,16 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: boo
     answers_1 = with_kind(sketch.exchange.answered(by_chunk.applyInArrow(sketched, C.PART_SCHEMA)), 1)
 
     def pair_rows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        c = _Chunk(_in_order(table), sketch, length, answers)
-        return pairs.rows(key[0].as_py(), c.segments.sample[c.at], c.segments.segment[c.at], c.smallest)
+        c = _Chunk(_in_order(table), sketch, length, answers, many)
+        at = c.at[c.sent]
+        return pairs.rows(key[0].as_py(), c.segments.sample[at], c.segments.segment[at], c.smallest[c.sent])
 
     sent_2 = by_chunk.cogroup(answers_1.groupBy("chunk")).applyInArrow(pair_rows, C.PART_SCHEMA)
     answers_2 = answers_1.unionByName(with_kind(pairs.answered(sent_2), 2))
 
     def windows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         """A row for each shard that windows go to, so never more rows than segments."""
-        c = _Chunk(_in_order(table), sketch, length, answers)
+        c = _Chunk(_in_order(table), sketch, length, answers, many)
         at = c.at[c.several]
         shard = (((c.segments.sample[at] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
         edges = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(at))
@@ -207,31 +241,37 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: boo
         )
 
     sent_3 = by_chunk.cogroup(answers_2.groupBy("chunk")).applyInArrow(windows, "shard long, chunk long, n int, sizes binary, ids binary, data binary")
-    answers_3 = answers_2.unionByName(with_kind(sent_3.groupBy("shard").applyInArrow(rank_windows, C.ANSWER_SCHEMA), 3))
+
+    def window_rows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        return spread.rows(key[0].as_py(), *_Chunk(_in_order(table), sketch, length, answers, many).many_windows()[:3])
+
+    sent_4 = by_chunk.cogroup(answers_2.groupBy("chunk")).applyInArrow(window_rows, C.PART_SCHEMA)
+    answers_3 = answers_2.unionByName(with_kind(sent_3.groupBy("shard").applyInArrow(rank_windows, C.ANSWER_SCHEMA), 3)).unionByName(with_kind(spread.answered(sent_4), 4))
 
     def removed(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = _in_order(table)
-        c = _Chunk(table, sketch, length, answers)
+        c = _Chunk(table, sketch, length, answers, many)
         s = c.segments
         cover = np.zeros(len(s.data) + 1, np.int32)
         ids = c.ids[s.text[c.picked]][c.order]
         at = c.picked[c.order]
-        several = np.zeros(len(c.at), bool)
-        several[c.several] = True
-        gone = ~several[c.group] & (c.first[c.group] < ids) & (ids != _NO_ID)
+        single = np.zeros(len(c.at), bool)
+        single[c.one] = True
+        gone = single[c.group] & (c.first[c.group] < ids) & (ids != _NO_ID)
         _cover(cover, s.start[at[gone]], s.windows[at[gone]] + length - 1)
-        # Segments whose windows were ranked one by one.
-        firsts = C.answers_of(c.of_kind(answers, 3)).astype(np.int64)
-        n = s.windows[c.at[c.several]]
-        begin = np.zeros(len(c.at), np.int64)
-        begin[c.several] = np.cumsum(n) - n
-        one_by_one = np.flatnonzero(several[c.group])
-        n = s.windows[at[one_by_one]]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        own = np.repeat(ids[one_by_one], n)
-        gone = (firsts[np.repeat(begin[c.group[one_by_one]], n) + within] < own) & (own != _NO_ID)
-        start = (np.repeat(s.start[at[one_by_one]], n) + within)[gone]
-        _cover(cover, start, np.full(len(start), length))
+        # Segments whose windows were ranked one by one, in their sample's shard or by themselves.
+        *_, of = c.many_windows()
+        for pairs_, firsts in ((c.several, C.answers_of(c.of_kind(answers, 3))), (c.many, C.answers_of(c.of_kind(answers, 4))[of])):
+            n = s.windows[c.at[pairs_]]
+            begin = np.full(len(c.at), -1)
+            begin[pairs_] = np.cumsum(n) - n
+            one_by_one = np.flatnonzero(begin[c.group] >= 0)
+            n = s.windows[at[one_by_one]]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            own = np.repeat(ids[one_by_one], n)
+            gone = (firsts.astype(np.int64)[np.repeat(begin[c.group[one_by_one]], n) + within] < own) & (own != _NO_ID)
+            start = (np.repeat(s.start[at[one_by_one]], n) + within)[gone]
+            _cover(cover, start, np.full(len(start), length))
         drop = np.cumsum(cover, out=cover)[:-1] > 0
         data = np.frombuffer(s.data, np.uint8)
         rows = []
@@ -255,10 +295,11 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, with_kept: boo
     return by_chunk.cogroup(answers_3.groupBy("chunk")).applyInArrow(removed, schema)
 
 
-def _rank_pairs(sample: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each (sample, segment) its smallest document, and whether the sample occurs in several segments."""
+def _rank_pairs(sample: np.ndarray, first: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each (sample, segment) its smallest document, and whether the sample occurs in one (0), several (1) or many segments (2)."""
     of = np.cumsum(np.diff(sample, prepend=~sample[:1]) != 0) - 1
-    return first, np.bincount(of)[of] > 1
+    n = np.bincount(of)[of]
+    return first, (n > 1).astype(np.int64) + (n > many)
 
 
 def _steps(sizes: np.ndarray) -> list[tuple[int, int, int, int]]:

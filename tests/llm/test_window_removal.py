@@ -1,17 +1,18 @@
 """op4 and op9 against plain loops."""
 
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sensorloom.llm import common as C
+from sensorloom.llm import suffix_dedup as S
 from sensorloom.llm.substring_dedup import remove_repeated_windows
 from sensorloom.llm.suffix_dedup import remove_earlier_strings
 
-import numpy as np
-import pyarrow as pa
-
 from .conftest import as_rows
 
 
@@ -59,6 +60,55 @@ def test_strings(edge_docs, edge_rows, length):
     assert as_rows(remove_earlier_strings(edge_docs, length)) == brute_strings(edge_rows, length)
 
 
+@pytest.mark.parametrize("many", [0, 1, 3])
+def test_samples_with_few_or_many_segments(edge_docs, edge_rows, monkeypatch, many):
+    monkeypatch.setattr(C, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(C, "SHARD_VALUES", 5_000)
+    assert as_rows(remove_earlier_strings(edge_docs, many=many)) == brute_strings(edge_rows, 50)
+
+
+def phrase_rows(n, seed=3):
+    """Documents of 1 kB with one phrase of 49 bytes among other bytes, and a passage that some share."""
+    rng = random.Random(seed)
+    phrase, passage = "".join(rng.choices("abcdefgh ", k=49)), "".join(rng.choices("abcdefgh ", k=80))
+    letters = lambda k: "".join(rng.choices("ijklmnopqrstuvwxyz", k=k))
+    return [(i, letters(500) + phrase + letters(450) + passage * (i % 50 == 0)) for i in range(n)]
+
+
+def shard_sizes(n):
+    """Pairs that each shard of round 2 gets, and windows of those samples by shard in round 3, of chunks of 500 documents."""
+    sketch = C.Sketch(n * 80, C.repeated)
+    pairs, windows = np.zeros(64, np.int64), np.zeros(64, np.int64)
+    for a in range(0, n, 500):
+        rows = phrase_rows(n)[a : a + 500]
+        table = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+        segments = S.Segments(C.texts_of(table), 50)
+        cells, _, _ = sketch.touched(segments.sample)
+        one = pa.table({"kind": [1], "sender": [0], "dest": [0], "n": pa.array([len(cells)], pa.int32()), "a": [C.pack_ints(np.ones(len(cells), np.uint64))], "b": pa.nulls(1, pa.binary())})
+        c = S._Chunk(table, sketch, 50, one, S.MANY)
+        sample = c.segments.sample[c.at]
+        pairs += np.bincount((sample[c.sent] >> np.uint64(58)).astype(np.int64), minlength=64)
+        _, number, count = np.unique(sample, return_inverse=True, return_counts=True)
+        c.many = np.flatnonzero(count[number] > S.MANY)
+        first, *_ = c.many_windows()
+        windows += np.bincount((first >> np.uint64(58)).astype(np.int64), minlength=64)
+    return pairs, windows
+
+
+def test_no_shard_needs_all_segments_of_a_phrase():
+    for n in (2000, 8000):
+        pairs, windows = shard_sizes(n)
+        assert windows.sum() > n * 20  # the phrase's windows, one by one
+        assert pairs.max() < 1.3 * pairs.mean() and windows.max() < 1.3 * windows.mean()
+
+
+def test_a_common_phrase(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK_BYTES", 50_000)
+    monkeypatch.setattr(C, "SHARD_VALUES", 20_000)
+    rows = phrase_rows(400)
+    assert as_rows(remove_earlier_strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute_strings(rows, 50)
+
+
 def test_many_small_chunks(edge_docs, edge_rows, monkeypatch):
     monkeypatch.setattr(C, "CHUNK_BYTES", 20_000)
     monkeypatch.setattr(C, "SHARD_VALUES", 5_000)
