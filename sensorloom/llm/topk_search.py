@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +45,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 def quantised(vectors: DataFrame) -> tuple[DataFrame, int, int]:
     """vec_id and floor(1024 * x) of each component as a vector of doubles, which
     hold these whole numbers exactly; the dimension and the rows.  Shorter
-    vectors count as if zeros followed."""
+    vectors count as if zeros followed, empty ones as zeros."""
     ok = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     dim, n = rows.agg(F.max(F.size("vector")), F.count("*")).first()
-    dim = dim or 0
+    dim = max(dim, 1) if n else 0
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +100,9 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int | None = None, b
                 along = (x * directions[near]).sum(1)
                 off = np.sqrt(np.maximum(square - along**2, 0))
                 radius = np.sqrt(((x - centres[near]) ** 2).sum(1))
-                part = np.random.default_rng(len(x)).integers(0, 1 << 30, len(x)).astype(np.int32)
+                # From the row alone, so that a task that is repeated deals its rows alike.
+                part = [xxhash.xxh32_intdigest(v, int(i) & 0xFFFFFFFF) >> 1 for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("vector").to_pylist(), strict=True)]
+                part = np.array(part, np.int32)
                 found = [near.astype(np.int32), part, along, off, np.sqrt(square), radius]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], ["vec_id", "vector", "pivot", "part", "along", "off", "norm", "radius"])
 
@@ -245,7 +248,7 @@ WITH v AS (
   FROM embeddings WHERE embedding IS NOT NULL
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
-         CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+         CAST(coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])), 0) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s

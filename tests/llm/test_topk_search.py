@@ -75,3 +75,10 @@ def test_large_components(spark):
     got = K.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, pivots=16, block_rows=64)
     big = [(i, [min(max(x, -1.75e305), 1.75e305) for x in v]) for i, v in rows]  # past a double's range all scores are a long's end anyway
     assert sorted(map(tuple, got.collect())) == brute(big, 10)
+
+
+@pytest.mark.parametrize("rows", [[(0, []), (100, []), (3, [])], [(0, []), (1, [2.0, -1.0]), (100, [0.5, 0.5]), (7, [])]])
+def test_empty_vectors_are_zeros(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    padded = [(i, v or [0.0, 0.0]) for i, v in rows]
+    assert sorted(map(tuple, K.top_k(df, F.col("vec_id") % 100 == 0).collect())) == brute(padded, 10)
