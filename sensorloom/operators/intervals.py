@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators import quantiles
+
 
 def _by(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -21,10 +23,9 @@ def _by(keys: Sequence[str], order: Sequence[str]):
 def median_rate(df: DataFrame, keys: Sequence[str], value: str, low: float = 250.0, high: float = 2000.0, at_least: int = 1) -> DataFrame:
     """60000 over the median of the intervals in range; null below ``at_least``."""
     kept = F.col(value).between(low, high)
-    return df.groupBy(*keys).agg(
-        F.count(F.when(kept, 1)).alias("n_valid"),
-        F.when(F.count(F.when(kept, 1)) >= at_least, 60000.0 / F.percentile(F.when(kept, F.col(value)), F.lit(0.5))).alias("bpm"),
-    )
+    n, middle = {"n_valid": F.count(F.when(kept, 1))}, {"_median": (F.when(kept, F.col(value)), 0.5)}
+    found = quantiles.aggregated(df, keys, n, middle, quantiles.large_groups(df, keys))
+    return found.select(*keys, "n_valid", F.when(F.col("n_valid") >= at_least, 60000.0 / F.col("_median")).alias("bpm"))
 
 
 def with_difference(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, valid: Column, bridging: bool) -> DataFrame:
@@ -70,10 +71,8 @@ def variability_aggregates(value: str, keys: Sequence[str], order: Sequence[str]
 def median_cleaned(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, tolerance: float) -> DataFrame:
     """All rows with ``clean``: in range and within ``tolerance`` of
     the median of the group's intervals in range."""
-    w = Window.partitionBy(*keys)
     in_range = F.col(value).between(low, high)
-    middle = F.expr(f"percentile(CASE WHEN {value} BETWEEN {low} AND {high} THEN {value} END, 0.5)").over(w)
-    rows = df.withColumn("_median", middle)
+    rows = quantiles.with_percentile(df, keys, F.when(in_range, F.col(value)), 0.5, "_median", quantiles.large_groups(df, keys))
     return rows.withColumn("clean", in_range & F.col(value).between(F.col("_median") * (1 - tolerance), F.col("_median") * (1 + tolerance))).drop("_median")
 
 
@@ -89,24 +88,18 @@ def stress_features(
     x = F.when(F.col("clean"), F.col(value))
     rate, diff = 60000.0 / x, F.col("diff")
     n_raw, n_clean, n_diff = F.count("*"), F.count(x), F.count("diff")
-    grouped = rows.groupBy(*keys).agg(
-        (n_raw + 1).alias("beat_count"),
-        n_clean.alias("n_clean"),
-        n_diff.alias("n_diff"),
-        (n_clean / n_raw).alias("valid_rr_ratio"),
-        F.avg(rate).alias("mean_hr_bpm"),
-        F.stddev_samp(rate).alias("std_hr_bpm"),
-        F.min(rate).alias("min_hr_bpm"),
-        F.max(rate).alias("max_hr_bpm"),
-        F.avg(x).alias("mean_pp_ms"),
-        F.percentile(x, F.lit(0.5)).alias("median_pp_ms"),
-        F.stddev_samp(x).alias("sdnn_ms"),
-        F.sqrt(F.avg(diff * diff)).alias("rmssd_ms"),
-        F.stddev_samp(diff).alias("sdsd_ms"),
-        (100.0 * F.avg((F.abs(diff) > 20.0).cast("int"))).alias("pnn20_pct"),
-        (100.0 * F.avg((F.abs(diff) > 50.0).cast("int"))).alias("pnn50_pct"),
-        (F.stddev_samp(x) / F.avg(x)).alias("cvnn"),
-    )
+    counts = {"beat_count": n_raw + 1, "n_clean": n_clean, "n_diff": n_diff, "valid_rr_ratio": n_clean / n_raw}
+    rates = {"mean_hr_bpm": F.avg(rate), "std_hr_bpm": F.stddev_samp(rate), "min_hr_bpm": F.min(rate), "max_hr_bpm": F.max(rate), "mean_pp_ms": F.avg(x)}
+    spreads = {
+        "sdnn_ms": F.stddev_samp(x),
+        "rmssd_ms": F.sqrt(F.avg(diff * diff)),
+        "sdsd_ms": F.stddev_samp(diff),
+        "pnn20_pct": 100.0 * F.avg((F.abs(diff) > 20.0).cast("int")),
+        "pnn50_pct": 100.0 * F.avg((F.abs(diff) > 50.0).cast("int")),
+        "cvnn": F.stddev_samp(x) / F.avg(x),
+    }
+    grouped = quantiles.aggregated(rows, keys, counts | rates | spreads, {"median_pp_ms": (x, 0.5)}, quantiles.large_groups(df, keys))
+    grouped = grouped.select(*keys, *counts, *rates, "median_pp_ms", *spreads)
     ready = (F.col("beat_count") >= min_beats) & (F.col("n_clean") >= 3) & (F.col("n_diff") >= 2) & (F.col("valid_rr_ratio") >= min_ratio)
     names = [c for c in grouped.columns if c not in (*keys, "beat_count", "n_clean", "n_diff", "valid_rr_ratio")]
     return grouped.select(
@@ -124,22 +117,21 @@ def af_features(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     valid = v.isNotNull() & ~F.isnan(v) & v.between(low, high)
     seconds = df.withColumn("rr_s", v / 1000.0)
     rows = with_difference(seconds, keys, order, "rr_s", valid, bridging=True)
-    return (
-        rows.groupBy(*keys)
-        .agg(
-            F.count("*").alias("interval_count"),
-            F.avg("rr_s").alias("mean_rr"),
-            F.percentile("rr_s", F.lit(0.5)).alias("median_rr"),
-            F.stddev_samp("rr_s").alias("sdnn"),
-            F.sqrt(F.avg(F.col("diff") * F.col("diff"))).alias("rmssd"),
-            (100.0 * F.avg((F.abs("diff") > 0.050).cast("int"))).alias("pnn50"),
-            (F.stddev_samp("rr_s") / F.avg("rr_s")).alias("cv_rr"),
-            (F.percentile("rr_s", F.lit(0.75)) - F.percentile("rr_s", F.lit(0.25))).alias("iqr_rr"),
-            F.min("rr_s").alias("min_rr"),
-            F.max("rr_s").alias("max_rr"),
-        )
-        .filter(F.col("interval_count") >= at_least)
-    )
+    x, diff = F.col("rr_s"), F.col("diff")
+    columns = {
+        "interval_count": F.count("*"),
+        "mean_rr": F.avg(x),
+        "sdnn": F.stddev_samp(x),
+        "rmssd": F.sqrt(F.avg(diff * diff)),
+        "pnn50": 100.0 * F.avg((F.abs(diff) > 0.050).cast("int")),
+        "cv_rr": F.stddev_samp(x) / F.avg(x),
+        "min_rr": F.min(x),
+        "max_rr": F.max(x),
+    }
+    shares = {"median_rr": (x, 0.5), "_low": (x, 0.25), "_high": (x, 0.75)}
+    found = quantiles.aggregated(rows, keys, columns, shares, quantiles.large_groups(df, keys)).withColumn("iqr_rr", F.col("_high") - F.col("_low"))
+    names = "interval_count mean_rr median_rr sdnn rmssd pnn50 cv_rr iqr_rr min_rr max_rr".split()
+    return found.filter(F.col("interval_count") >= at_least).select(*keys, *names)
 
 
 def interval_summary(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -147,10 +139,11 @@ def interval_summary(df: DataFrame, keys: Sequence[str], order: Sequence[str], v
     SDNN (0 for one) and RMSSD (null for two or fewer)."""
     total = df.groupBy(*keys).agg(F.count("*").alias("n_raw"))
     rows = with_difference(df, keys, order, value, F.col(value).between(0.30, 2.0), bridging=True)
-    found = rows.groupBy(*keys).agg(
-        F.count("*").alias("n_valid"),
-        (60.0 / F.percentile(value, F.lit(0.5))).alias("median_bpm"),
-        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sdnn_s"),
-        F.when(F.count("*") > 2, F.sqrt(F.avg(F.col("diff") * F.col("diff")))).alias("rmssd_s"),
-    )
+    columns = {
+        "n_valid": F.count("*"),
+        "sdnn_s": F.coalesce(F.stddev_samp(value), F.lit(0.0)),
+        "rmssd_s": F.when(F.count("*") > 2, F.sqrt(F.avg(F.col("diff") * F.col("diff")))),
+    }
+    found = quantiles.aggregated(rows, keys, columns, {"_median": (F.col(value), 0.5)}, quantiles.large_groups(df, keys))
+    found = found.select(*keys, "n_valid", (60.0 / F.col("_median")).alias("median_bpm"), "sdnn_s", "rmssd_s")
     return total.join(found, list(keys), "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))

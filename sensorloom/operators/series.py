@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators import quantiles
+from sensorloom.storage import written
+
 
 def ordered(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -29,15 +32,14 @@ def continuity(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str
 def stream_validation(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, seq: str) -> DataFrame:
     """Rows, missing numbers, steps back, duration, median step and rate."""
     rows = df.withColumn("step", F.col(ts) - F.lag(ts).over(ordered(keys, order)))
-    middle = F.percentile("step", F.lit(0.5))
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n_rows"),
-        (F.max(seq) - F.min(seq) + 1 - F.countDistinct(seq)).alias("n_missing"),
-        F.count(F.when(F.col("step") <= 0, 1)).alias("n_regressions"),
-        ((F.max(ts) - F.min(ts)) / 1e6).alias("duration_s"),
-        middle.alias("median_step_us"),
-        F.when(middle > 0, 1e6 / middle).alias("rate_hz"),
-    )
+    columns = {
+        "n_rows": F.count("*"),
+        "n_missing": F.max(seq) - F.min(seq) + 1 - F.countDistinct(seq),
+        "n_regressions": F.count(F.when(F.col("step") <= 0, 1)),
+        "duration_s": (F.max(ts) - F.min(ts)) / 1e6,
+    }
+    found = quantiles.aggregated(rows, keys, columns, {"median_step_us": (F.col("step"), 0.5)}, quantiles.large_groups(df, keys))
+    return found.withColumn("rate_hz", F.when(F.col("median_step_us") > 0, 1e6 / F.col("median_step_us")))
 
 
 def replay_summary(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, seq: str, clipped: Column) -> DataFrame:
@@ -205,8 +207,9 @@ def classification_metrics(df: DataFrame, keys: Sequence[str], label: str, score
     no row is ranked one by one."""
     y, s = F.col(label), F.col(score)
     by_score = df.groupBy(*keys, s.alias("_s")).agg(F.sum((y == 1).cast("long")).alias("_p"), F.sum((y == 0).cast("long")).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    area = by_score.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    if df.count() > quantiles.RANGE_ROWS:
+        by_score = written(by_score, "scores")
+    area = quantiles.prefix_sums(by_score, keys, ["_s"], "_n", "_below")
     hit = F.col("_s") >= threshold
     total = area.groupBy(*keys).agg(
         F.sum(F.when(hit, F.col("_p")).otherwise(0)).alias("tp"),

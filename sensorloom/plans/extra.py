@@ -270,16 +270,6 @@ def _(spark, d_):
 
 
 # --------------------------------------------------------------------- stream rules
-@query(
-    "r01_event_time_windows",
-    "$S SELECT CAST(ts_us // 86400000000 AS BIGINT) AS day, count(*) AS n, round(avg(value), 6) AS mean FROM s GROUP BY ALL",
-)
-def _(spark, d_):
-    w = F.window(F.timestamp_micros("ts_us"), "1 day")
-    g = samples(spark, d_).groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    return rounded(g.select(F.floor(F.unix_micros("w.start") / 86_400_000_000).alias("day"), "n", "mean"))
-
-
 @query(
     "r11_broken_chain",
     """$S, t AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS step FROM s),

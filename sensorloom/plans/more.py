@@ -14,7 +14,7 @@ from sensorloom.plans.catalog import KEYS, ORDER, rounded, samples
 from sensorloom.plans.register import query
 from sensorloom.sources import logs
 from sensorloom.sources.log_source import LogSource
-from sensorloom.streaming import sessions
+from sensorloom.streaming import processors, sessions
 
 
 def _ema_sql(output: str, alpha: float) -> str:
@@ -209,15 +209,50 @@ def _(spark, d_):
 
 
 # ------------------------------------------------------------------- streaming
+def _stream(spark, d_) -> DataFrame:
+    """The events as a stream of files."""
+    table = spark.read.parquet(f"{d_}/events.parquet")
+    rows = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(d_).filter("user_id IS NOT NULL")
+    return rows.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp_us"), "value")
+
+
 @query(
     "r03_late_samples",
     """$S, l AS (SELECT event_id, user_id, coalesce(ts_us <= max(ts_us) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM s)
     SELECT user_id, count(*) AS n, count(*) FILTER (WHERE late) AS n_late FROM l GROUP BY user_id""",
 )
 def _(spark, d_):
-    w = series.ordered(["user_id"], ["event_id"]).rowsBetween(-(1 << 31), -1)
-    late = F.coalesce(F.col("ts_us") <= F.max("ts_us").over(w), F.lit(False))
-    return samples(spark, d_).withColumn("late", late).groupBy("user_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("late"), 1)).alias("n_late"))
+    """Rows in the order of their arrival, through the stream's operator."""
+    c = F.col
+    rows = _stream(spark, d_).select(c("user_id").alias("session"), c("event_id").alias("arrival"), "timestamp_us", "value")
+    marked = processors.replayed(sessions.late_marked_stream(rows, 1_000_000, None), "late")
+    return marked.groupBy(c("session").alias("user_id")).agg(F.count("*").alias("n"), F.count(F.when(c("late"), 1)).alias("n_late"))
+
+
+@query(
+    "r01_two_watermarks",
+    """$S, w AS (SELECT least(max(CASE WHEN event_type = 'view' THEN ts_us END), max(CASE WHEN event_type <> 'view' THEN ts_us END)) // 1000 - 3600000 AS ms FROM s)
+    SELECT day, n, mean FROM (SELECT CAST(ts_us // 86400000000 AS BIGINT) AS day, count(*) AS n, round(avg(value * 0.7310585786e0), 6) AS mean FROM s GROUP BY ALL), w WHERE (day + 1) * 86400000 <= ms""",
+)
+def _(spark, d_):
+    """Views and all other events as two streams: a day comes out when both are an hour past its end."""
+    rows = _stream(spark, d_).withColumn("value", F.col("value") * 0.7310585786)
+    views, others = rows.filter("event_type = 'view'"), rows.filter("event_type <> 'view'")
+    days = processors.replayed(processors.two_stream_windows(views, others, "timestamp_us", "value", "1 day", "1 hour").select("w.start", "n", "mean"), "two-streams")
+    return rounded(days.select(F.floor(F.unix_micros("start") / 86_400_000_000).alias("day"), "n", "mean"))
+
+
+@query(
+    "r02_drained_windows",
+    """$S, t AS (SELECT user_id, least(max(CASE WHEN event_type = 'view' THEN ts_us END), max(CASE WHEN event_type <> 'view' THEN ts_us END)) AS top,
+      count(DISTINCT event_type = 'view') AS streams FROM s GROUP BY user_id)
+    SELECT user_id AS session, CAST(ts_us // 86400000000 AS BIGINT) AS "window", count(*) AS n, round(sum(value), 6) AS total, 'drained' AS reason
+    FROM s JOIN t USING (user_id) WHERE streams = 2 AND ts_us // 86400000000 < top // 86400000000 GROUP BY ALL""",
+)
+def _(spark, d_):
+    """Days of each session that both of its streams have passed when the replay ends."""
+    rows = _stream(spark, d_).select(F.col("user_id").alias("session"), F.when(F.col("event_type") == "view", 0).otherwise(1).cast("long").alias("stream"), "timestamp_us", "value")
+    return rounded(processors.replayed(sessions.closed_windows_stream(rows, 2, 86_400_000_000, idle_ms=None), "drained"))
 
 
 _STATES_SQL = """$R, e AS (SELECT user_id AS session, idx, ts_us // 100000 AS t, NOT bad AS contact, event_type = 'signup' AS start FROM s),

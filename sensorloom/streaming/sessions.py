@@ -6,13 +6,11 @@ of a session and a stream of it give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import astuple, dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Times of the states in milliseconds.
 CONTACT_STABLE_MS, CONTACT_TIMEOUT_MS, WARMUP_MS, MEASURE_MS, HOLD_MS = 500, 120_000, 3_000, 60_000, 45_000
@@ -37,25 +35,16 @@ def mark_late(rows: pd.DataFrame, last_us: int | None, period_us: int) -> tuple[
     return rows.assign(late=late, gap=gap & before.notna()), top if last_us is None else max(top, last_us)
 
 
-def late_marked_stream(samples: DataFrame, period_us: int, idle_ms: int = IDLE_MS) -> DataFrame:
+def late_marked_stream(samples: DataFrame, period_us: int, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """``samples`` (session, arrival, timestamp_us, value) as a stream.
 
     ``arrival`` numbers rows as they came, such as a source's offset: a
     micro-batch's shuffle keeps no order, so rows are put into that one.  A
     session without a row for ``idle_ms`` is forgotten and begins anew.
     """
+    from sensorloom.streaming import processors
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        marked, last = mark_late(pd.concat(list(batches)).sort_values("arrival", ignore_index=True), last, period_us)
-        yield marked[["session", "arrival", "timestamp_us", "value", "late", "gap"]]
-        state.update((last,))
-        state.setTimeoutDuration(idle_ms)
-
-    return samples.groupBy("session").applyInPandasWithState(step, LATE_SCHEMA, "last_us long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return processors.processed(samples, processors.LateMarks(period_us, idle_ms), LATE_SCHEMA, idle_ms)
 
 
 @dataclass
@@ -94,88 +83,36 @@ def session_states(rows: pd.DataFrame, machine: Machine) -> pd.DataFrame:
     return rows.assign(state=states)[["session", "timestamp_us", "state"]]
 
 
-_IN_ORDER = ["timestamp_us", "sequence"]
+IN_ORDER = ["timestamp_us", "sequence"]
 
 
 def state_batch(events: DataFrame) -> DataFrame:
     """The states of ``events`` (session, timestamp_us, sequence, contact, start); ``sequence`` orders rows of one time."""
-    return events.groupBy("session").applyInPandas(lambda rows: session_states(rows.sort_values(_IN_ORDER), Machine()), STATE_SCHEMA)
+    return events.groupBy("session").applyInPandas(lambda rows: session_states(rows.sort_values(IN_ORDER), Machine()), STATE_SCHEMA)
 
 
-def state_stream(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+def state_stream(events: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """``state_batch`` as a stream; a session without a row for ``idle_ms`` is forgotten and begins anew."""
+    from sensorloom.streaming import processors
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        machine = Machine(*state.get) if state.exists else Machine()
-        yield session_states(pd.concat(list(batches)).sort_values(_IN_ORDER), machine)
-        state.update(astuple(machine))
-        state.setTimeoutDuration(idle_ms)
-
-    return events.groupBy("session").applyInPandasWithState(step, STATE_SCHEMA, "state string, since_us long, contact_us long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return processors.processed(events, processors.States(idle_ms), STATE_SCHEMA, idle_ms)
 
 
 #: Wall time that a window waits for a stream that has stalled, after another has passed its end.
 GRACE_MS = 160
 
 WINDOW_SCHEMA = "session long, window long, n long, total double, reason string"
-_OPEN_SCHEMA = "tops array<long>, closed long, windows array<long>, counts array<long>, totals array<double>"
 
 
-@dataclass
-class OpenWindows:
-    """The windows of one session that are not closed: rows and sums by number,
-    and how far each stream has come."""
-
-    tops: list[int]
-    closed: int = -1
-    open: dict[int, tuple[int, float]] = field(default_factory=dict)
-
-    def add(self, rows: pd.DataFrame, width_us: int) -> None:
-        """Rows of closed windows are late and count no more."""
-        for s, top in rows.groupby("stream")["timestamp_us"].max().items():
-            self.tops[s] = max(self.tops[s], int(top))
-        numbers = rows["timestamp_us"] // width_us
-        for number, values in rows["value"].groupby(numbers):
-            if number > self.closed:
-                n, total = self.open.get(int(number), (0, 0.0))
-                self.open[int(number)] = (n + len(values), total + float(values.sum()))
-
-    def close(self, through: int, reason: str) -> list[tuple]:
-        """The windows up to ``through``, in order."""
-        found = [(k, *self.open.pop(k), reason) for k in sorted(self.open) if k <= through]
-        self.closed = max(self.closed, through)
-        return found
-
-
-def closed_windows_stream(samples: DataFrame, streams: int, width_us: int, grace_ms: int = GRACE_MS) -> DataFrame:
+def closed_windows_stream(samples: DataFrame, streams: int, width_us: int, grace_ms: int = GRACE_MS, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """``samples`` (session, stream from 0, timestamp_us, value) as windows of each
     session: one closes when all streams have reached its end (``drained``), or, if one
     stalls, ``grace_ms`` of wall time after the last row (``stalled``: all that the
-    leading stream has passed).  A stream that runs ahead keeps its windows open, two
-    numbers each.  A session that is silent keeps its last, unfinished window."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            tops, closed, numbers, counts, totals = state.get
-            w = OpenWindows(list(tops), closed, {k: (n, t) for k, n, t in zip(numbers, counts, totals, strict=True)})
-        else:
-            w = OpenWindows([-1] * streams)
-        if state.hasTimedOut:
-            found = w.close(max(w.tops) // width_us - 1, "stalled")
-        else:
-            w.add(pd.concat(list(batches)), width_us)
-            found = w.close(min(w.tops) // width_us - 1, "drained")
-        if found:
-            yield pd.DataFrame([(key[0], *f) for f in found], columns=["session", "window", "n", "total", "reason"])
-        numbers = sorted(w.open)
-        state.update((w.tops, w.closed, numbers, [w.open[k][0] for k in numbers], [w.open[k][1] for k in numbers]))
-        if max(w.tops) // width_us - 1 > w.closed:
-            state.setTimeoutDuration(grace_ms)
-
-    return samples.groupBy("session").applyInPandasWithState(step, WINDOW_SCHEMA, _OPEN_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    leading stream has passed).  After ``idle_ms`` without a row the rest closes
+    (``idle``) and the session's state is cleared."""
+    from sensorloom.streaming import processors
+
+    return processors.processed(samples, processors.Windows(streams, width_us, grace_ms, idle_ms), WINDOW_SCHEMA, idle_ms)
 
 
 def windowed_means(samples: DataFrame, ts: str, value: str, width: str, slide: str, delay: str) -> DataFrame:

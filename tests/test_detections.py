@@ -109,34 +109,6 @@ def test_wavelet_features(spark):
             assert {n: row[n] for n in expected} == pytest.approx(expected, abs=1e-9)
 
 
-def test_windows_close_when_drained_or_stalled(spark, tmp_path):
-    """Session 1's streams both pass window 0; session 2's second stream stalls; session 3 passes no window's end."""
-    rows = [(s, k, t * 100, 1.0 + k) for s in (1, 2, 3) for k in (0, 1) for t in range(15) if not (s == 2 and k == 1 and t > 3) and not (s == 3 and t > 8)]
-    df = spark.createDataFrame(rows, "session long, stream long, timestamp_us long, value double")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    closed = sessions.closed_windows_stream(stream, 2, 1000, grace_ms=200)
-    query = closed.writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="300 milliseconds").start()
-    try:
-        for _ in range(120):
-            if spark.table("closed").count() >= 2:
-                break
-            query.awaitTermination(0.5)
-    finally:
-        query.stop()
-    assert sorted(map(tuple, spark.table("closed").collect())) == [(1, 0, 20, 30.0, "drained"), (2, 0, 14, 18.0, "stalled")]
-
-
-def test_late_rows_count_no_more():
-    w = sessions.OpenWindows([-1, -1])
-    rows = lambda *r: pd.DataFrame(r, columns=["stream", "timestamp_us", "value"])
-    w.add(rows((0, 50, 1.0), (1, 130, 2.0)), 100)
-    assert w.close(min(w.tops) // 100 - 1, "drained") == []
-    assert w.close(max(w.tops) // 100 - 1, "stalled") == [(0, 1, 1.0, "stalled")]
-    w.add(rows((0, 60, 5.0), (0, 210, 7.0), (1, 205, 1.0)), 100)
-    assert w.close(min(w.tops) // 100 - 1, "drained") == [(1, 1, 2.0, "drained")]
-
-
 def test_model_matches_newtons_method(spark, small, tmp_path):
     rows = spark.read.parquet(f"{small}/lineitem.parquet").filter("l_orderkey % 5 <> 0").toPandas()
     x = rows[["l_quantity", "l_discount", "l_tax"]].astype(float).to_numpy()

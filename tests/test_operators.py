@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions import signals as fn
 from sensorloom.operators import dsp, intervals, series
 from sensorloom.sources import logs
-from sensorloom.streaming import sessions
+from sensorloom.streaming import processors, sessions
 
 
 def test_variability_of_four_intervals(spark):
@@ -139,10 +139,9 @@ def test_stream_equals_batch(spark, tmp_path):
     for part in range(3):
         df.filter(F.floor(F.col("timestamp_us") / 2_000_000) == part).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = sessions.state_stream(stream).writeStream.format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    found = processors.replayed(sessions.state_stream(stream, None), "states")
     expected = sorted(map(tuple, sessions.state_batch(df).collect()))
-    assert sorted(map(tuple, spark.table("states").collect())) == expected
+    assert sorted(map(tuple, found.collect())) == expected
 
 
 def test_late_stream_follows_arrival(spark, tmp_path):
@@ -153,9 +152,8 @@ def test_late_stream_follows_arrival(spark, tmp_path):
     for part in range(2):
         df.filter(F.floor(F.col("arrival") / 5) == part).orderBy(F.desc("timestamp_us")).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = sessions.late_marked_stream(stream, 10).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = {(r["session"], r["arrival"]): (r["late"], r["gap"]) for r in spark.table("late").collect()}
+    found = processors.replayed(sessions.late_marked_stream(stream, 10, None), "late")
+    got = {(r["session"], r["arrival"]): (r["late"], r["gap"]) for r in found.collect()}
     for s in (1, 2):
         marked, _ = sessions.mark_late(pd.DataFrame({"timestamp_us": [t + s for t in times]}), None, 10)
         assert [got[s, i] for i in range(len(times))] == list(zip(marked["late"].tolist(), marked["gap"].tolist(), strict=True))
