@@ -133,12 +133,29 @@ def _(spark, d_):
     return dsp.filtered(samples(spark, d_), KEYS, ORDER, "raw", lambda x: dsp.forward_mean4(x).astype(float), "event_id")
 
 
-@query("f14_look_ahead_peaks")
+@query(
+    "f14_look_ahead_peaks",
+    """$R, c AS (SELECT *, max(value) OVER b AS top, max(value) OVER a AS following, (sum(value) OVER b + sum(value) OVER a) / 4 AS mean, count(*) OVER b + count(*) OVER a AS n FROM s
+      WINDOW b AS (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)),
+    k AS (SELECT user_id, idx, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY idx) AS rn FROM c WHERE n = 4 AND value > top AND value >= following AND value - mean >= 5),
+    r AS (SELECT user_id, rn, event_id, value, true AS kept, idx AS last FROM k WHERE rn = 1
+      UNION ALL SELECT k.user_id, k.rn, k.event_id, k.value, k.idx - r.last >= 4, CASE WHEN k.idx - r.last >= 4 THEN k.idx ELSE r.last END FROM r JOIN k ON k.user_id = r.user_id AND k.rn = r.rn + 1)
+    SELECT event_id, value FROM r WHERE kept""",
+)
 def _(spark, d_):
-    def find(rows):
-        return rows.iloc[waveforms.look_ahead_peaks(rows["value"].to_numpy(), rows.index.to_numpy(), 2, 5.0, 4)][["event_id", "value"]]
+    return waveforms.look_ahead_peaks(samples(spark, d_), KEYS, ORDER, "value", 2, 5.0, 4, carry=["event_id", "value"]).select("event_id", "value")
 
-    return dsp.over_sessions(samples(spark, d_).select("user_id", "ts_us", "event_id", "value"), KEYS, ORDER, find, "event_id long, value double")
+
+@query("f18_r_peaks")
+def _(spark, d_):
+    """Beats of each user's values at 20 rows a second."""
+    return waveforms.r_peaks(samples(spark, d_), KEYS, ORDER, "value", "value", 20.0, ["event_id"])
+
+
+@query("f19_pulse_peaks")
+def _(spark, d_):
+    """Pulses between 0.5 and 4 Hz of each user's values at 64 rows a second."""
+    return rounded(waveforms.pulse_peaks(samples(spark, d_), KEYS, ORDER, "value", waveforms.bandpass_sections(4, 0.5, 4.0, 64.0), 4, ["event_id"]))
 
 
 @query("o05_oxygen")

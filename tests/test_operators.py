@@ -194,9 +194,6 @@ def test_bandpass_and_peaks():
     x = np.array([0, 1, 0, 3, 3, 0, 2, 1, 2.5, 0])
     assert w.find_peaks(x).tolist() == [1, 3, 6, 8] and w.find_peaks(x, height=2.2).tolist() == [3, 8]
     assert w.find_peaks(x, distance=3).tolist() == [3, 8] and w.find_peaks(x, prominence=1.5).tolist() == [3, 8]
-    assert w.look_ahead_peaks(x, np.arange(10), 1, 0.5, 4).tolist() == [1, 6]
-    with pytest.raises(ValueError):
-        w.look_ahead_peaks(x, np.zeros(10), 1, 0.5, 4)
 
 
 def test_pulse_window_features(spark):
@@ -232,15 +229,6 @@ def test_pulse_window_features(spark):
     assert {k: got[5][k] for k in expected} == pytest.approx(expected)
 
 
-def test_r_peaks_of_a_spike_train():
-    from sensorloom.operators import waveforms as w
-
-    x = np.zeros(5000)
-    x[250::500] = 100
-    assert w.r_peaks(x, x, 500.0).tolist() == list(range(250, 5000, 500))
-    assert w.r_peaks(np.zeros(100), np.zeros(100), 500.0).tolist() == []
-
-
 def test_sinks(spark, tmp_path):
     from sensorloom.sources import sinks
 
