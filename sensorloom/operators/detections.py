@@ -117,6 +117,11 @@ def centre_distance(tracks: np.ndarray, found: np.ndarray) -> np.ndarray:
     return np.linalg.norm(centre(tracks)[:, None] - centre(found)[None], axis=2)
 
 
+def squared_distance(tracks: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The square of ``centre_distance``: of crossing pairs it prefers those that don't cross."""
+    return centre_distance(tracks, found) ** 2
+
+
 def overlap_cost(tracks: np.ndarray, found: np.ndarray) -> np.ndarray:
     """1 less the overlap."""
     return 1.0 - overlaps(tracks[:, None], found[None])

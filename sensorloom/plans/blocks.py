@@ -16,6 +16,7 @@ c = F.col
 SIZE = 16
 FRAGMENTS["$W"] = SAMPLES_SQL + f""", v AS (SELECT user_id, event_id, idx AS i, idx // {SIZE} AS w, value * 0.7310585786e0 AS x, count(*) OVER (PARTITION BY user_id, idx // {SIZE}) AS n FROM s),
     x AS (SELECT * FROM v WHERE n = {SIZE})"""
+FRAGMENTS["$V"] = FRAGMENTS["$W"].replace("WITH s AS", "WITH RECURSIVE s AS")
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:

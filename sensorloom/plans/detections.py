@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -58,24 +57,23 @@ def _(spark, d_):
     return detections.crossings(samples(spark, d_).withColumn("y", c("raw") % 70), KEYS, ORDER, "value", "y", _LINES)
 
 
-_ORDERS = " UNION ALL ".join(f"SELECT {i} AS p, {a} AS track, {b} AS found" for i, p in enumerate(permutations(range(4))) for a, b in enumerate(p))
-
-
 @query(
     "v16_aligned_tracks",
-    f"""$W, t AS (SELECT user_id, w, i % 16 AS track, x + 15 AS x, i % 5 * 10 + 12.5 AS y FROM x WHERE i % 16 < 4), f AS (SELECT user_id, w, i % 16 - 4 AS found, x + 15 AS x, i % 5 * 10 + 12.5 AS y FROM x WHERE i % 16 BETWEEN 4 AND 7),
-    a AS (SELECT t.user_id, t.w, p, sum(sqrt((t.x - f.x) ** 2 + (t.y - f.y) ** 2)) AS cost FROM ({_ORDERS}) o JOIN t USING (track) JOIN f ON f.user_id = t.user_id AND f.w = t.w AND f.found = o.found GROUP BY ALL)
-    SELECT user_id, w, round(min(cost), 6) AS cost, 4 AS n_pairs FROM a GROUP BY user_id, w""",
+    """$V, t AS (SELECT user_id, w, i % 16 AS track, x + i % 16 * 0.37e0 AS x, i % 5 * 10.0e0 AS y FROM x WHERE i % 16 < 8), f AS (SELECT user_id, w, i % 16 - 8 AS found, x + i % 16 * 0.37e0 AS x, i % 5 * 10.0e0 AS y FROM x WHERE i % 16 >= 8),
+    e AS (SELECT user_id, w, track, found, (t.x - f.x) * (t.x - f.x) + (t.y - f.y) * (t.y - f.y) AS cost FROM t JOIN f USING (user_id, w)),
+    m(user_id, w, k, mask, pairs, cost) AS (SELECT DISTINCT user_id, w, 0, 0, CAST([] AS BIGINT[]), CAST(0 AS DOUBLE) FROM t
+      UNION ALL SELECT user_id, w, k + 1, mask, arg_min(pairs, cost), min(cost) FROM (
+        SELECT m.user_id, m.w, m.k, m.mask + (1 << e.found) AS mask, list_append(m.pairs, e.found) AS pairs, m.cost + e.cost AS cost FROM m JOIN e ON e.user_id = m.user_id AND e.w = m.w AND e.track = m.k AND m.mask & (1 << e.found) = 0)
+      GROUP BY user_id, w, k, mask)
+    SELECT user_id, w, track, found, round(e.cost, 6) AS cost FROM m JOIN e USING (user_id, w) WHERE k = 8 AND m.pairs[track + 1] = found""",
 )
 def _(spark, d_):
-    """The first four rows of a window are its tracks, the next four the boxes found."""
+    """The first eight rows of a window are its tracks, the others the boxes found; the pairs of least squared distance."""
     at = c("i") % 16
-    box = blocks.windows(spark, d_).select(
-        "user_id", "w", at.alias("at"), c("x").alias("x1"), (c("i") % 5 * 10.0).alias("y1"), (c("x") + 30).alias("x2"), (c("i") % 5 * 10.0 + 25).alias("y2")
-    )
-    tracks, found = box.filter("at < 4").withColumn("id", c("at")), box.filter("at BETWEEN 4 AND 7").withColumn("id", c("at") - 4)
-    pairs = detections.aligned(tracks, found, ["user_id", "w"], detections.centre_distance)
-    return rounded(pairs.groupBy("user_id", "w").agg(F.sum("cost").alias("cost"), F.count("*").cast("int").alias("n_pairs")))
+    x, y = c("x") + at * 0.37, c("i") % 5 * 10.0
+    box = blocks.windows(spark, d_).select("user_id", "w", at.alias("at"), x.alias("x1"), y.alias("y1"), (x + 30).alias("x2"), (y + 25).alias("y2"))
+    tracks, found = box.filter("at < 8").withColumn("id", c("at")), box.filter("at >= 8").withColumn("id", c("at") - 8)
+    return rounded(detections.aligned(tracks, found, ["user_id", "w"], detections.squared_distance))
 
 
 @query(
@@ -200,17 +198,30 @@ def _(spark, d_):
     return rounded(resampling.resampled(samples(spark, d_), KEYS, ORDER, "value", _UP, _DOWN, _RESAMPLE.tolist()))
 
 
-@query(
-    "v31_wavelet_features",
-    """$W, h AS (SELECT user_id, w, i // 2 AS i, max(x) FILTER (WHERE i % 2 = 0) AS a, max(x) FILTER (WHERE i % 2 = 1) AS b FROM x GROUP BY ALL),
-    d AS (SELECT user_id, w, 0 AS component, i, (a + b) / sqrt(2) AS x FROM h UNION ALL SELECT user_id, w, 1, i, (a - b) / sqrt(2) FROM h),
-    m AS (SELECT user_id, w, component, avg(x) AS m, stddev_pop(x) AS sd, min(x) AS low, max(x) AS high, sqrt(avg(x * x)) AS rms, quantile_cont(x, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM d GROUP BY ALL),
+def _wavelet_sql() -> str:
+    """Two levels of the Daubechies wavelet with two moments: each level sums four neighbours in the mirrored row."""
+    low = resampling.daubechies(2).tolist()
+    high = [x * (1 if k % 2 else -1) for k, x in enumerate(low[::-1])]
+    taps = ", ".join(f"({j}, {low[::-1][j]!r}, {high[::-1][j]!r})" for j in range(4))
+
+    def level(source: str, name: str) -> str:
+        return f"""{name}n AS (SELECT user_id, w, max(i) + 1 AS n FROM {source} GROUP BY user_id, w),
+        {name} AS (SELECT k.user_id, k.w, k.o AS i, sum(x.x * a) AS lo, sum(x.x * b) AS hi FROM (SELECT user_id, w, n, o, 2 * o + j - 2 AS place, a, b FROM {name}n, LATERAL (SELECT unnest(range(0, (n + 3) // 2)) AS o), (VALUES {taps}) h(j, a, b)) k
+          JOIN {source} x ON x.user_id = k.user_id AND x.w = k.w AND x.i = CASE WHEN place < 0 THEN -1 - place WHEN place >= n THEN 2 * n - 1 - place ELSE place END GROUP BY ALL)"""
+
+    return f"""$W, z AS (SELECT user_id, w, i - min(i) OVER (PARTITION BY user_id, w) AS i, x FROM x), {level("z", "one")}, z2 AS (SELECT user_id, w, i, lo AS x FROM one), {level("z2", "two")},
+    d AS (SELECT user_id, w, component, i, round(x, 10) + 0.0 AS x FROM (SELECT user_id, w, 0 AS component, i, lo AS x FROM two UNION ALL SELECT user_id, w, 1, i, hi FROM two UNION ALL SELECT user_id, w, 2, i, hi FROM one)),
+    m AS (SELECT user_id, w, component, count(*) AS n, avg(x) AS m, stddev_pop(x) AS sd, min(x) AS low, max(x) AS high, sqrt(avg(x * x)) AS rms, quantile_cont(x, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM d GROUP BY ALL),
     l AS (SELECT *, lag(x) OVER (PARTITION BY user_id, w, component ORDER BY i) AS b FROM d JOIN m USING (user_id, w, component)),
-    k AS (SELECT user_id, w, component, avg(power((x - m) / sd, 3)) AS skew, avg(power((x - m) / sd, 4)) - 3 AS kurtosis, count(*) FILTER (WHERE x * b < 0) / count(*) AS z, count(*) FILTER (WHERE (x - m) * (b - m) < 0) / count(*) AS mc FROM l GROUP BY ALL)
-    SELECT user_id, w, component, round(m, 6) + 0.0 AS mean, round(sd, 6) AS std, round(sd * sd, 6) AS variance, round(rms, 6) AS rms, round(skew, 6) + 0.0 AS skew, round(kurtosis, 6) + 0.0 AS kurtosis, round(z, 6) AS zero_crossings,
-      round(mc, 6) AS mean_crossings, round(q[1], 6) + 0.0 AS p05, round(q[2], 6) + 0.0 AS p25, round(q[3], 6) + 0.0 AS p50, round(q[4], 6) + 0.0 AS p75, round(q[5], 6) + 0.0 AS p95 FROM m JOIN k USING (user_id, w, component)""",
-)
+    k AS (SELECT user_id, w, component, avg(power((x - m) / sd, 3)) AS skew, avg(power((x - m) / sd, 4)) - 3 AS kurtosis, count(*) FILTER (WHERE x * b < 0) / count(*) AS z, count(*) FILTER (WHERE (x - m) * (b - m) < 0) / count(*) AS mc FROM l GROUP BY ALL),
+    e AS (SELECT user_id, w, component, any_value(ln(n)) - sum(inside * ln(inside)) / any_value(n) AS entropy FROM (SELECT user_id, w, component, any_value(n) AS n, count(*) AS inside
+      FROM l GROUP BY user_id, w, component, CASE WHEN high > low THEN least(floor((x - low) / ((high - low) / 100)), 99) ELSE 0 END) GROUP BY ALL)
+    SELECT user_id, w, component, round(entropy, 6) + 0.0 AS entropy, round(m, 6) + 0.0 AS mean, round(sd, 6) AS std, round(sd * sd, 6) AS variance, round(rms, 6) AS rms, round(skew, 6) + 0.0 AS skew, round(kurtosis, 6) + 0.0 AS kurtosis, round(z, 6) AS zero_crossings,
+      round(mc, 6) AS mean_crossings, round(q[1], 6) + 0.0 AS p05, round(q[2], 6) + 0.0 AS p25, round(q[3], 6) + 0.0 AS p50, round(q[4], 6) + 0.0 AS p75, round(q[5], 6) + 0.0 AS p95 FROM m JOIN k USING (user_id, w, component) JOIN e USING (user_id, w, component)"""
+
+
+@query("v31_wavelet_features", _wavelet_sql())
 def _(spark, d_):
-    """Haar's wavelet at one level; the library's test takes others."""
-    parts = resampling.wavelet_components(blocks.windows(spark, d_), KEYS, "x", 1, 1)
-    return rounded(spectral.component_features(parts, [*KEYS, "w", "component"]).drop("entropy"))
+    """Two levels, two moments; components to ten digits, so that their histogram doesn't hang on the order of a sum."""
+    parts = rounded(resampling.wavelet_components(blocks.windows(spark, d_), KEYS, "x", 2, 2), 10)
+    return rounded(spectral.component_features(parts, [*KEYS, "w", "component"]))

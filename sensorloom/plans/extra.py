@@ -288,9 +288,21 @@ def _(spark, d_):
     return samples(spark, d_).select("event_id", F.coalesce(F.lag("bad").over(series.ordered(KEYS, ORDER)), F.lit(False)).alias("after_loss"))
 
 
-@query("r14_config_segments", "$S SELECT user_id, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM s GROUP BY ALL")
+@query(
+    "r14_config_segments",
+    """$R, t AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY idx) AS before FROM s),
+    g AS (SELECT *, sum(CASE WHEN before <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS segment FROM t),
+    r AS (SELECT user_id, idx, event_id, segment, value * 0.7310585786e0 AS y FROM g WHERE idx = 0
+      UNION ALL SELECT g.user_id, g.idx, g.event_id, g.segment, CASE WHEN g.segment <> r.segment THEN g.value * 0.7310585786e0 ELSE r.y + 0.18 * (g.value * 0.7310585786e0 - r.y) END FROM r JOIN g ON g.user_id = r.user_id AND g.idx = r.idx + 1)
+    SELECT event_id, CAST(segment AS BIGINT) AS segment, round(y, 6) AS y FROM r""",
+)
 def _(spark, d_):
-    return rounded(samples(spark, d_).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
+    """The kind of event stands for the settings: each change begins a segment, and the filter begins anew there."""
+    w = series.ordered(KEYS, ORDER)
+    changed = F.coalesce(F.lag("event_type").over(w) != c("event_type"), F.lit(False)).cast("long")
+    rows = samples(spark, d_).withColumn("changed", changed).withColumn("segment", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("x", c("value") * 0.7310585786)
+    return rounded(blocks.recurrence(rows, [*KEYS, "segment"], ORDER, "x", {"y": blocks.ema(0.18)}, ["event_id"]).select("event_id", "segment", "y"))
 
 
 # ------------------------------------------------------------------------- scoring

@@ -159,9 +159,18 @@ def _(spark, d_):
 
 
 # ------------------------------------------------------------ gates and branches
-@query("p08_quality_gate", "$S SELECT user_id, count(*) FILTER (WHERE bad) <= 10 AS permits FROM s GROUP BY user_id")
+@query(
+    "p08_quality_gate",
+    f"""WITH p AS ({SQL["a10_ppg_quality"]}), e AS ({SQL["a11_ecg_quality"]})
+    SELECT user_id, coalesce(p.status = 'good', false) AS permits_ppg, coalesce(e.status = 'good', false) AS permits_ecg, coalesce(p.status = 'good', false) AND coalesce(e.status = 'good', false) AS permits_fusion
+    FROM p FULL JOIN e USING (user_id)""",
+)
 def _(spark, d_):
-    return samples(spark, d_).groupBy("user_id").agg((F.count(F.when(c("bad"), 1)) <= 10).alias("permits"))
+    """Pulse figures need a good pulse, beat figures a good electrocardiogram, fused ones both."""
+    side = lambda name, column: QUERIES[name](spark, d_).select("user_id", (c("status") == "good").alias(column))
+    both = side("a10_ppg_quality", "ppg").join(side("a11_ecg_quality", "ecg"), "user_id", "full")
+    ppg, ecg = (F.coalesce(c(x), F.lit(False)) for x in ("ppg", "ecg"))
+    return both.select("user_id", ppg.alias("permits_ppg"), ecg.alias("permits_ecg"), (ppg & ecg).alias("permits_fusion"))
 
 
 @query(
