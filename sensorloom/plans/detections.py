@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.operators import detections, dsp, resampling, spectral
+from sensorloom.operators import detections, dsp, fitting, resampling, spectral
 from sensorloom.plans import blocks
 from sensorloom.plans.catalog import KEYS, ORDER, rounded, samples
 from sensorloom.plans.register import query
@@ -146,6 +146,22 @@ def _(spark, d_):
     return rounded(rows.select("event_id", detections.mixture_anomaly([c("x"), c("y")], parts).alias("anomaly")))
 
 
+@query("v10_fitted_clusters")
+def _(spark, d_):
+    """The same score from eight clusters that are fitted to the values."""
+    rows = _scaled(spark, d_)
+    found = fitting.clusters(fitting.matrix_rows(rows, [c("x"), c("y")]), 8, rounds=10)
+    return rounded(rows.select("event_id", detections.cluster_anomaly([c("x"), c("y")], found).alias("anomaly")))
+
+
+@query("v11_fitted_mixture")
+def _(spark, d_):
+    """The same score from a mixture of four components that is fitted to the values."""
+    rows = _scaled(spark, d_)
+    found = fitting.mixture(fitting.matrix_rows(rows, [c("x"), c("y")]), 4, rounds=15)
+    return rounded(rows.select("event_id", detections.mixture_anomaly([c("x"), c("y")], found.parts).alias("anomaly")))
+
+
 # ------------------------------------------------------- spectra, filters, wavelets
 @query(
     "v24_spectral_peaks",
