@@ -7,15 +7,19 @@ of rate sends each sample to the few results that it is part of.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
+from functools import reduce
 from math import comb, gcd
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from sensorloom.operators import series
+from sensorloom.operators import blocks, series
+from sensorloom.storage import written
 
 
 def sinc_taps(rate: float, size: int, low_pass: float = 0.0, high_pass: float = 0.0) -> np.ndarray:
@@ -117,3 +121,107 @@ def wavelet_components(windows: DataFrame, keys: Sequence[str], value: str, leve
     arrays = windows.groupBy(*keys, "w").agg(F.transform(ordered, lambda s: s["x"]).alias("x"))
     split = arrays.select(*keys, "w", F.posexplode(transform("x")).alias("component", "_x"))
     return split.select(*keys, "w", "component", F.posexplode("_x").alias("i", "x"))
+
+
+def best_ratio(x: float, most: int) -> tuple[int, int]:
+    """The fraction nearest to ``x`` > 0 whose terms are ``most`` at most, by the Stern-Brocot tree.
+
+    Runs of steps to one side are taken at once, so a very small or large x needs few."""
+    if not 0 < x < float("inf") or most < 1:
+        raise ValueError("a positive finite rate and a positive bound are needed")
+    exact = Fraction(x)
+    low, high = (0, 1), (1, 0)
+    while True:
+        # As many steps right as stay at or below x, then as many left as stay above.
+        for right in (True, False):
+            (a, b), (c, d) = (low, high) if right else (high, low)
+            up, down = (exact.numerator * b - exact.denominator * a), (exact.denominator * c - exact.numerator * d)
+            up, down = (up, down) if right else (-up, -down)
+            k = up // down if down else most
+            k = min(k, *[(most - s) // t for s, t in ((a, c), (b, d)) if t])
+            a, b = a + k * c, b + k * d
+            low, high = ((a, b), high) if right else (low, (a, b))
+        nearer = (low[0] + high[0], low[1] + high[1])
+        if Fraction(*low) == exact or max(nearer) > most:
+            break
+    ends = [f for f in (low, high) if 0 < min(f) and max(f) <= most]
+    return min(ends, key=lambda f: (abs(Fraction(*f) - exact), f))
+
+
+def decimated(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, factor: int, taps: int = 61) -> DataFrame:
+    """Keys, ``m`` and ``y``: each ``factor``-th sample of the signal through a low pass at four fifths of the new half rate."""
+    return resampled(df, keys, order, value, 1, factor, sinc_taps(1.0, taps, low_pass=0.4 / factor).tolist())
+
+
+def symlet(moments: int) -> np.ndarray:
+    """The low-pass filter with as many vanishing moments whose phase is nearest to linear: of each group of roots
+    of the Daubechies polynomial the ones inside or outside the unit circle, by the choice that bends the phase least."""
+    poly = [comb(moments - 1 + k, k) for k in range(moments)][::-1]
+    pairs = [np.roots([1.0, 4 * y - 2, 1.0]) for y in np.roots(poly)]
+    groups: list[list[np.ndarray]] = []
+    for pair in pairs:  # a root and its conjugate are chosen together
+        same = next((g for g in groups if len(g) == 1 and abs(g[0].imag).max() > 1e-9 and min(abs(pair - g[0][0].conj())) < 1e-6), None)
+        groups.append([pair]) if same is None else same.append(pair)
+    w = np.linspace(0.01, np.pi * 0.9, 200)
+    best = None
+    for choice in range(1 << len(groups)):
+        taps = np.array([1.0 + 0j])
+        for _ in range(moments):
+            taps = np.convolve(taps, [1.0, 1.0])
+        for g, pairs_ in enumerate(groups):
+            for pair in pairs_:
+                inside = pair[np.argmin(np.abs(pair))]
+                taps = np.convolve(taps, [1.0, -(1 / inside if choice >> g & 1 else inside)])
+        taps = np.real(taps)
+        taps *= np.sqrt(2) / taps.sum()
+        phase = np.unwrap(np.angle(np.exp(-1j * np.outer(w, np.arange(len(taps)))) @ taps))
+        bend = np.abs(phase - np.polyval(np.polyfit(w, phase, 1), w)).max()
+        if best is None or bend < best[0] - 1e-9:
+            best = bend, taps
+    return best[1]
+
+
+def session_wavelet(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, levels: int, low: np.ndarray, rows: int | None = None) -> DataFrame:
+    """Keys, component (0 the approximation, then details from the coarsest), i and x of the wavelet transform of
+    whole sessions of any length.
+
+    A level works in blocks, each with its neighbours' next rows (the filter's length); ends are mirrored as
+    in ``halved``.  ``low`` is an orthogonal low-pass filter of even length."""
+    rows = rows or blocks.BLOCK_ROWS
+    n, high = len(low), low[::-1] * np.where(np.arange(len(low)) % 2, 1.0, -1.0)
+    placed, most = blocks.in_blocks(df.select(*dict.fromkeys([*keys, *order, value])), keys, order, rows)
+    rest, details = placed.select(*keys, "idx", F.col(value).cast("double").alias("x")), []
+    names = ", ".join(f"`{k}` {t}" for k, t in rest.dtypes if k in keys)
+    for _ in range(levels):
+        sizes = rest.groupBy(*keys).agg(F.count("*").alias("_n")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_n")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        data = rest.join(sizes, same).select(*keys, "idx", "x", "_n").withColumn("block", F.floor(F.col("idx") / rows).cast("long"))
+        data = blocks.with_halo(data, n, n, rows)
+
+        def halves(table: pa.Table, edges: np.ndarray) -> pa.Table:
+            x, idx, block, size, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("x", "idx", "block", "_n", "own"))
+            head, out, lows, highs = [], [], [], []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if not own[a:b].any():
+                    continue
+                total, here = int(size[a]), int(block[a])
+                ends = (total + n - 1) // 2
+                first = -(-here * rows // 2)
+                last = ends if here == (total - 1) // rows else min(ends, -(-(here + 1) * rows // 2))
+                at = 2 * np.arange(first, last)[:, None] + np.arange(n) - (n - 2)
+                at = at % (2 * total)
+                at = np.where(at < total, at, 2 * total - 1 - at) - idx[a]
+                part = x[a:b][at]
+                lows.append(part @ low[::-1])
+                highs.append(part @ high[::-1])
+                head += [a] * (last - first)
+                out.append(np.arange(first, last))
+            joined = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, kind), *parts]))
+            return pa.table({**{k: table.column(k).take(pa.array(head, pa.int64())) for k in keys}, "idx": joined(out, np.int64), "x": joined(lows, float), "detail": joined(highs, float)})
+
+        split = blocks.over_runs(data, [*keys, "block"], ["idx"], halves, f"{names}, idx long, x double, detail double")
+        split = written(split, "wavelet") if most > 1 else split
+        details.append(split.select(*keys, "idx", F.col("detail").alias("x")))
+        rest = split.select(*keys, "idx", "x")
+    parts = [rest, *details[::-1]]
+    return reduce(DataFrame.unionByName, [p.select(*keys, F.lit(i).alias("component"), F.col("idx").alias("i"), "x") for i, p in enumerate(parts)])

@@ -214,18 +214,22 @@ def _(spark, d_):
     return rounded(resampling.resampled(samples(spark, d_), KEYS, ORDER, "value", _UP, _DOWN, _RESAMPLE.tolist()))
 
 
-def _wavelet_sql() -> str:
-    """Two levels of the Daubechies wavelet with two moments: each level sums four neighbours in the mirrored row."""
+def _wavelet_levels() -> str:
+    """Two levels of the Daubechies wavelet with two moments over z (user_id, w, i, x): each sums four neighbours in the mirrored row."""
     low = resampling.daubechies(2).tolist()
     high = [x * (1 if k % 2 else -1) for k, x in enumerate(low[::-1])]
     taps = ", ".join(f"({j}, {low[::-1][j]!r}, {high[::-1][j]!r})" for j in range(4))
 
     def level(source: str, name: str) -> str:
         return f"""{name}n AS (SELECT user_id, w, max(i) + 1 AS n FROM {source} GROUP BY user_id, w),
-        {name} AS (SELECT k.user_id, k.w, k.o AS i, sum(x.x * a) AS lo, sum(x.x * b) AS hi FROM (SELECT user_id, w, n, o, 2 * o + j - 2 AS place, a, b FROM {name}n, LATERAL (SELECT unnest(range(0, (n + 3) // 2)) AS o), (VALUES {taps}) h(j, a, b)) k
-          JOIN {source} x ON x.user_id = k.user_id AND x.w = k.w AND x.i = CASE WHEN place < 0 THEN -1 - place WHEN place >= n THEN 2 * n - 1 - place ELSE place END GROUP BY ALL)"""
+        {name} AS (SELECT k.user_id, k.w, k.o AS i, sum(x.x * a) AS lo, sum(x.x * b) AS hi FROM (SELECT user_id, w, n, o, ((2 * o + j - 2) % (2 * n) + 2 * n) % (2 * n) AS place, a, b FROM {name}n, LATERAL (SELECT unnest(range(0, (n + 3) // 2)) AS o), (VALUES {taps}) h(j, a, b)) k
+          JOIN {source} x ON x.user_id = k.user_id AND x.w = k.w AND x.i = CASE WHEN place < n THEN place ELSE 2 * n - 1 - place END GROUP BY ALL)"""
+
+    return f"""{level("z", "one")}, z2 AS (SELECT user_id, w, i, lo AS x FROM one), {level("z2", "two")}"""
 
-    return f"""$W, z AS (SELECT user_id, w, i - min(i) OVER (PARTITION BY user_id, w) AS i, x FROM x), {level("z", "one")}, z2 AS (SELECT user_id, w, i, lo AS x FROM one), {level("z2", "two")},
+
+def _wavelet_sql() -> str:
+    return f"""$W, z AS (SELECT user_id, w, i - min(i) OVER (PARTITION BY user_id, w) AS i, x FROM x), {_wavelet_levels()},
     d AS (SELECT user_id, w, component, i, round(x, 10) + 0.0 AS x FROM (SELECT user_id, w, 0 AS component, i, lo AS x FROM two UNION ALL SELECT user_id, w, 1, i, hi FROM two UNION ALL SELECT user_id, w, 2, i, hi FROM one)),
     m AS (SELECT user_id, w, component, count(*) AS n, avg(x) AS m, stddev_pop(x) AS sd, min(x) AS low, max(x) AS high, sqrt(avg(x * x)) AS rms, quantile_cont(x, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM d GROUP BY ALL),
     l AS (SELECT *, lag(x) OVER (PARTITION BY user_id, w, component ORDER BY i) AS b FROM d JOIN m USING (user_id, w, component)),
@@ -241,3 +245,28 @@ def _(spark, d_):
     """Two levels, two moments; components to ten digits, so that their histogram doesn't hang on the order of a sum."""
     parts = rounded(resampling.wavelet_components(blocks.windows(spark, d_), KEYS, "x", 2, 2), 10)
     return rounded(spectral.component_features(parts, [*KEYS, "w", "component"]))
+
+
+@query(
+    "v31_session_wavelet",
+    f"""$S, z AS (SELECT user_id, 0 AS w, idx AS i, value * 0.7310585786e0 AS x FROM s), {_wavelet_levels()}
+    SELECT user_id, component, i, round(x, 6) + 0.0 AS x FROM (SELECT user_id, 0 AS component, i, lo AS x FROM two UNION ALL SELECT user_id, 1, i, hi FROM two UNION ALL SELECT user_id, 2, i, hi FROM one)""",
+)
+def _(spark, d_):
+    """The transform of whole sessions, in blocks with their neighbours' rows."""
+    rows = samples(spark, d_).withColumn("x", c("value") * 0.7310585786)
+    return rounded(resampling.session_wavelet(rows, KEYS, ORDER, "x", 2, resampling.daubechies(2)))
+
+
+_FACTOR, _LOW = 3, resampling.sinc_taps(1.0, 61, low_pass=0.4 / 3)
+
+
+@query(
+    "v29_decimated",
+    f"""$S, h AS (SELECT unnest({_LOW.tolist()}) AS tap, unnest(range({len(_LOW)})) AS j), n AS (SELECT user_id, CAST(ceil(count(*) / {_FACTOR}) AS BIGINT) AS n FROM s GROUP BY user_id),
+    p AS (SELECT user_id, idx - {len(_LOW) // 2} + j AS k, value * 0.7310585786e0 * tap AS x FROM s, h)
+    SELECT user_id, k // {_FACTOR} AS m, round(sum(x), 6) + 0.0 AS y FROM p JOIN n USING (user_id) WHERE k >= 0 AND k % {_FACTOR} = 0 AND k // {_FACTOR} < n GROUP BY ALL""",
+)
+def _(spark, d_):
+    rows = samples(spark, d_).withColumn("x", c("value") * 0.7310585786)
+    return rounded(resampling.decimated(rows, KEYS, ORDER, "x", _FACTOR))
