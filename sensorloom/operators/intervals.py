@@ -68,11 +68,11 @@ def variability_aggregates(value: str, keys: Sequence[str], order: Sequence[str]
     return x - before, {k: F.when(enough, v) for k, v in found.items()}
 
 
-def median_cleaned(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, tolerance: float) -> DataFrame:
+def median_cleaned(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, tolerance: float, large: DataFrame | None = None) -> DataFrame:
     """All rows with ``clean``: in range and within ``tolerance`` of
-    the median of the group's intervals in range."""
+    the median of the group's intervals in range; ``large``: see ``quantiles``."""
     in_range = F.col(value).between(low, high)
-    rows = quantiles.with_percentile(df, keys, F.when(in_range, F.col(value)), 0.5, "_median", quantiles.large_groups(df, keys))
+    rows = quantiles.with_percentile(df, keys, F.when(in_range, F.col(value)), 0.5, "_median", large)
     return rows.withColumn("clean", in_range & F.col(value).between(F.col("_median") * (1 - tolerance), F.col("_median") * (1 + tolerance))).drop("_median")
 
 
@@ -82,7 +82,8 @@ def stress_features(
     """The 14 features of each group's intervals (ms), and a status:
     quality_rejected with fewer beats, clean intervals or a smaller share of
     clean ones than needed; then the features are null."""
-    cleaned = median_cleaned(df, keys, value, low, high, 0.30)
+    large = quantiles.large_groups(df, keys)
+    cleaned = median_cleaned(df, keys, value, low, high, 0.30, large)
     w = _by([*keys, "clean"], order)
     rows = cleaned.withColumn("clean", F.coalesce("clean", F.lit(False))).withColumn("diff", F.when(F.col("clean"), F.col(value) - F.lag(value).over(w)))
     x = F.when(F.col("clean"), F.col(value))
@@ -98,7 +99,7 @@ def stress_features(
         "pnn50_pct": 100.0 * F.avg((F.abs(diff) > 50.0).cast("int")),
         "cvnn": F.stddev_samp(x) / F.avg(x),
     }
-    grouped = quantiles.aggregated(rows, keys, counts | rates | spreads, {"median_pp_ms": (x, 0.5)}, quantiles.large_groups(df, keys))
+    grouped = quantiles.aggregated(rows, keys, counts | rates | spreads, {"median_pp_ms": (x, 0.5)}, large)
     grouped = grouped.select(*keys, *counts, *rates, "median_pp_ms", *spreads)
     ready = (F.col("beat_count") >= min_beats) & (F.col("n_clean") >= 3) & (F.col("n_diff") >= 2) & (F.col("valid_rr_ratio") >= min_ratio)
     names = [c for c in grouped.columns if c not in (*keys, "beat_count", "n_clean", "n_diff", "valid_rr_ratio")]

@@ -112,14 +112,15 @@ def with_percentile(df: DataFrame, keys: Sequence[str], value: Column, share: fl
     return small.unionByName(rest.select(*df.columns, name))
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, limit: int | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, limit: int | None = None, rows: int | None = None) -> DataFrame:
     """Every row with ``name``, the sum of ``value`` over the rows before it in its group, by a unique order.
 
     With more rows than ``limit`` they are sorted by ranges: sums within a range,
-    and the sums of the ranges before it, a row for each range and group."""
+    and the sums of the ranges before it, a row for each range and group.  ``rows``
+    is a number that ``df`` has at most, if that is known."""
     limit = limit or RANGE_ROWS
     total = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = df.count()
+    n = df.count() if rows is None or rows > limit else rows
     if n <= limit:
         return df.withColumn(name, total(Window.partitionBy(*keys).orderBy(*order)))
     by = [F.asc_nulls_first(c) for c in (*keys, *order)]

@@ -207,9 +207,10 @@ def classification_metrics(df: DataFrame, keys: Sequence[str], label: str, score
     no row is ranked one by one."""
     y, s = F.col(label), F.col(score)
     by_score = df.groupBy(*keys, s.alias("_s")).agg(F.sum((y == 1).cast("long")).alias("_p"), F.sum((y == 0).cast("long")).alias("_n"))
-    if df.count() > quantiles.RANGE_ROWS:
+    n = df.count()
+    if n > quantiles.RANGE_ROWS:
         by_score = written(by_score, "scores")
-    area = quantiles.prefix_sums(by_score, keys, ["_s"], "_n", "_below")
+    area = quantiles.prefix_sums(by_score, keys, ["_s"], "_n", "_below", rows=n)
     hit = F.col("_s") >= threshold
     total = area.groupBy(*keys).agg(
         F.sum(F.when(hit, F.col("_p")).otherwise(0)).alias("tp"),

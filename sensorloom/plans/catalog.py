@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import signals as fn
-from sensorloom.operators import intervals, series
+from sensorloom.operators import intervals, quantiles, series
 from sensorloom.plans.register import QUERIES, SQL, query
 
 
@@ -87,7 +87,7 @@ def _(spark, d_):
     FROM s LEFT JOIN m ON s.user_id = m.user_id GROUP BY s.user_id""",
 )
 def _(spark, d_):
-    rows = intervals.median_cleaned(samples(spark, d_), KEYS, "rr_ms", 333.33, 1500, 0.3)
+    rows = intervals.median_cleaned(samples(spark, d_), KEYS, "rr_ms", 333.33, 1500, 0.3, quantiles.large_groups(samples(spark, d_), KEYS))
     return rows.groupBy("user_id").agg(F.count("*").alias("n_raw"), F.count(F.when(F.col("clean"), 1)).alias("n_clean"))
 
 

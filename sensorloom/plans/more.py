@@ -175,17 +175,22 @@ def _records(spark, d_) -> DataFrame:
     )
 
 
-@query(
-    "s08_binary_log",
-    """$S SELECT CAST(CASE WHEN event_type = 'view' THEN 1 ELSE 2 END AS INTEGER) AS record_type, ts_us AS timestamp_us, event_id AS sequence, CAST(raw AS INTEGER) AS value_a, CAST(ir AS INTEGER) AS value_b,
-    CAST(CASE WHEN bad THEN 1 ELSE 0 END AS INTEGER) AS flags FROM s""",
-)
+_RECORDS_SQL = """$S SELECT CAST(CASE WHEN event_type = 'view' THEN 1 ELSE 2 END AS INTEGER) AS record_type, ts_us AS timestamp_us, event_id AS sequence, CAST(raw AS INTEGER) AS value_a, CAST(ir AS INTEGER) AS value_b,
+    CAST(CASE WHEN bad THEN 1 ELSE 0 END AS INTEGER) AS flags FROM s"""
+
+
+@query("s08_binary_log", _RECORDS_SQL)
+def _(spark, d_):
+    return logs.decode_frames(logs.encode_frames(_records(spark, d_))).drop("schema")
+
+
+@query("s08_log_source", _RECORDS_SQL.replace("END AS INTEGER) AS flags", "END AS INTEGER) AS flags, CAST(NULL AS VARCHAR) AS reason"))
 def _(spark, d_):
-    """The records written as a log of many files, which many tasks read in byte ranges."""
+    """The records written as a log of many files, which many tasks read in byte ranges; damaged bytes would be rows with a reason."""
     folder = f"{storage.shared_folder(spark)}/log-{uuid.uuid4().hex}"
     spark.dataSource.register(LogSource)
     _records(spark, d_).write.format("sensor_log").mode("append").save(folder)
-    return logs.read_binary_logs(spark, folder).drop("schema")
+    return spark.read.format("sensor_log").load(folder).drop("path", "offset", "n_bytes", "schema")
 
 
 @query(

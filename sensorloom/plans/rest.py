@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import signals as fn
-from sensorloom.operators import intervals, oxygen, series
+from sensorloom.operators import intervals, oxygen, quantiles, series
 from sensorloom.plans.catalog import KEYS, ORDER, rounded, samples
 from sensorloom.plans.register import QUERIES, SQL, query
 from sensorloom.sources import logs
@@ -112,7 +112,7 @@ def _(spark, d_):
     SELECT user_id, round(count(*) FILTER (WHERE rr_ms BETWEEN 400 AND 1400 AND rr_ms BETWEEN m * (1 - 0.3) AND m * (1 + 0.3)) / count(*), 6) AS valid_ratio FROM s JOIN m USING (user_id) GROUP BY user_id""",
 )
 def _(spark, d_):
-    rows = intervals.median_cleaned(samples(spark, d_), KEYS, "rr_ms", 400, 1400, 0.3)
+    rows = intervals.median_cleaned(samples(spark, d_), KEYS, "rr_ms", 400, 1400, 0.3, quantiles.large_groups(samples(spark, d_), KEYS))
     g = rows.groupBy("user_id").agg(F.avg(F.coalesce("clean", F.lit(False)).cast("int")).alias("valid_ratio"), F.count(F.when(c("rr_ms").between(400, 1400), 1)).alias("n"))
     return rounded(g.filter("n > 0").drop("n"))
 
