@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.operators import detections, dsp, fitting, resampling, spectral
+from sensorloom.operators import detections, dsp, fitting, resampling, spectral, tracking
 from sensorloom.plans import blocks
 from sensorloom.plans.catalog import KEYS, ORDER, rounded, samples
 from sensorloom.plans.register import query
@@ -76,6 +76,14 @@ def _(spark, d_):
     return rounded(detections.aligned(tracks, found, ["user_id", "w"], detections.squared_distance))
 
 
+@query("v15_tracks")
+def _(spark, d_):
+    """Tracks over time: a day is a frame, and a user's events of that day are its boxes."""
+    box = _boxes(spark, d_).drop("score").withColumnRenamed("event_id", "id")
+    days = samples(spark, d_).select(c("event_id").alias("id"), F.floor(c("ts_us") / 86_400_000_000).alias("frame"))
+    return rounded(tracking.tracked(box.join(days, "id"), KEYS, tracking.Settings(seen=8.0, push=4.0)))
+
+
 @query(
     "v17_kalman",
     """$R, k AS (SELECT user_id, idx, event_id, 50.0e0 AS x, 10.0e0 AS p FROM s WHERE idx = 0
