@@ -42,11 +42,10 @@ def fixed_point(taps: np.ndarray) -> np.ndarray:
 
 
 def _weighted(value: Column, keys: Sequence[str], order: Sequence[str], taps: Sequence[float]) -> Column:
-    frame = series.ordered(keys, order).rowsBetween(1 - len(taps), 0)
-    newest_first = F.reverse(F.collect_list(value).over(frame))
-    zero = F.lit(type(taps[0])(0)).cast("double" if isinstance(taps[0], float) else "long")
-    pairs = F.zip_with(newest_first, F.slice(F.array(*[F.lit(t) for t in taps]), 1, F.size(newest_first)), lambda x, t: x * t)
-    return F.aggregate(pairs, zero, lambda acc, p: acc + p)
+    """The taps' sum over the row and those before it: a product for each lag, no array of a row's neighbours."""
+    w, zero = series.ordered(keys, order), F.lit(type(taps[0])(0)).cast("double" if isinstance(taps[0], float) else "long")
+    before = lambda k: F.coalesce(F.lag(value, k).over(w), zero) if k else value
+    return reduce(lambda total, k: total + before(k) * F.lit(taps[k]), range(len(taps)), zero)
 
 
 def fir(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, taps: np.ndarray, output: str = "y") -> DataFrame:

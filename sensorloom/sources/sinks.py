@@ -13,10 +13,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_partitioned(df: DataFrame, path: str, by: str) -> None:
-    """Parquet, a folder for each value of ``by``; rows of one value come
-    from few tasks, so each folder has few files."""
-    df.repartition(F.col(by), F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").partitionBy(by).parquet(path)
+def write_partitioned(df: DataFrame, path: str, by: str, rows_per_file: int = 1 << 20) -> None:
+    """Parquet, a folder for each value of ``by``, with a file for about
+    each ``rows_per_file`` of its rows: a value with most rows is many tasks' work, one with few is one file."""
+    sizes = df.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))
+    salted = df.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.col("_files")))
+    dealt = salted.repartition(F.col(by), F.col("_salt"))
+    dealt.select(*df.columns).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(by).parquet(path)
 
 
 def write_summary(df: DataFrame, path: str) -> None:

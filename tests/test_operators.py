@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions import signals as fn
 from sensorloom.operators import dsp, intervals, series
-from sensorloom.sources import logs
+from sensorloom.sources import logs, sinks
 from sensorloom.streaming import processors, sessions
 
 
@@ -285,3 +285,10 @@ def test_split_check_and_model_result(spark):
     assert [(r["model_available"], r["valid"], r["probability"]) for r in got] == [(True, True, 0.25), (False, False, None), (False, False, None), (False, False, None), (True, False, None)]
     with pytest.raises(ValueError):
         fn.model_result({"y": F.col("x")}, ["x"], F.col("p"))
+
+
+def test_a_large_value_is_several_files(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id", "CASE WHEN id < 900 THEN 'a' WHEN id < 990 THEN 'b' END AS split")
+    sinks.write_partitioned(rows, str(tmp_path / "p"), "split", rows_per_file=100)
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "p").iterdir() if d.is_dir()}
+    assert files["split=a"] > 1 and files["split=b"] == 1 and spark.read.parquet(str(tmp_path / "p")).count() == 1000
