@@ -3,9 +3,10 @@
 A labelled pair, one document of label 1 and one of label 0, is a preference.
 The Bradley-Terry model says that the first is preferred with the logistic
 function of the difference of their scores; scores are linear in features of the
-whole text, so the fit is a logistic loss on feature differences.  Pairs come
-from a join on ranks, and each of Newton's steps is one treeAggregate over blocks
-of differences.  The threshold between the labels is a quantile of the fitted
+whole text, so the fit is a logistic loss on feature differences.  Every labelled
+document that isn't held out is in pairs; they are dealt within buckets of
+documents, and each of Newton's steps is one treeAggregate over their
+differences.  The threshold between the labels is the quantile of all fitted
 documents' scores.
 """
 
@@ -17,13 +18,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorloom.operators import quantiles
+
 from . import common as C
 
-#: Labelled documents that the model is fitted on, in expectation, picked by a hash of their ids.
-TRAIN_DOCUMENTS = 20_000
+#: Labelled documents that the model is fitted on; None: all.
+TRAIN_DOCUMENTS: int | None = None
+#: Documents of the rarer label in a bucket that pairs are dealt in, in expectation.
+BUCKET_DOCUMENTS = 2_000
 #: Pairs that each document of the more frequent label is in.
 PAIRS_EACH = 4
 #: Weight of the squared weights beside the mean loss of a pair.
@@ -120,71 +126,111 @@ class Model:
 
 
 # ---------------------------------------------------------------------- fit
-def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """quality and packed features of some ``bound`` labelled documents, equal ones once."""
-    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
-    known = known.filter((F.col("quality") == F.col("other")) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("of"), "quality")
-    rate = bound / max(1, known.count())
-    some = known.filter(F.pmod(F.xxhash64("of"), F.lit(1 << 20)) < F.lit(math.ceil(rate * (1 << 20))))  # some ``bound`` rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("of"))
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id and the packed features x of each row's text."""
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = pa.array([x.tobytes() for x in _features_of(batch)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), packed], ["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in _features_of(batch)], pa.binary())], ["doc_id", "x"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x binary")
+
+
+def _sample(docs: DataFrame, labels: DataFrame, bound: int | None = None) -> DataFrame:
+    """quality and packed features of the labelled documents, equal ones once; with a ``bound``, of some as many."""
+    return _labelled(featured(docs), labels, bound)
+
 
-    seen = C.stored(rows.select("doc_id", "text", "quality").mapInArrow(featured, "doc_id long, quality int, x binary").distinct(), "quality-sample")
-    more = seen.count() / (2 * bound)  # only where many texts have one id
+def _labelled(rows: DataFrame, labels: DataFrame, bound: int | None) -> DataFrame:
+    """``_sample`` of featured rows."""
+    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    known = known.filter((F.col("quality") == F.col("other")) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("of"), F.col("quality").cast("int").alias("quality"))
+    if bound:
+        rate = bound / max(1, known.count())
+        known = known.filter(F.pmod(F.xxhash64("of"), F.lit(1 << 20)) < F.lit(math.ceil(rate * (1 << 20))))
+    seen = C.stored(rows.join(known, F.col("doc_id") == F.col("of")).select("doc_id", "quality", "x").distinct(), "quality-labelled")
+    more = seen.count() / (2 * bound) if bound else 1  # only where many texts have one id
     return seen if more <= 1 else seen.filter(F.pmod(F.xxhash64("x"), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) / more)))
 
 
 def _pairs(sample: DataFrame) -> DataFrame:
-    """x of a document of label 1 and other of one of label 0: each document of
-    the more frequent label with PAIRS_EACH of the other, dealt by a hash."""
-    ranked = sample.withColumn("rank", F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("x"), "doc_id")) - 1)  # a bounded sample
-    counts = {r["quality"]: r["n"] for r in ranked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    """x of a document of label 1 and other of one of label 0: each document of the more frequent label with PAIRS_EACH
+    of the other.
+
+    They are dealt in buckets by a hash, BUCKET_DOCUMENTS of the rarer label in each, in turn, so that every document of
+    either label is in pairs."""
+    counts = {r["quality"]: r["n"] for r in sample.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return sample.select("x", F.col("x").alias("other")).limit(0)
     many = int(counts[1] >= counts[0])
-    mine = ranked.filter(F.col("quality") == many).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(PAIRS_EACH))))
-    mine = mine.select("x", F.pmod(F.xxhash64("rank", "round"), F.lit(counts[1 - many])).alias("rank"))
-    theirs = ranked.filter(F.col("quality") != many).select(F.col("x").alias("other"), "rank")
-    both = mine.join(theirs, "rank")
-    return both.select("x", "other") if many else both.select(F.col("other").alias("x"), F.col("x").alias("other"))
+    buckets = max(1, counts[1 - many] // BUCKET_DOCUMENTS)
+
+    def dealt(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("x", "ascending")])
+        mine, theirs = (table.column("x").combine_chunks().filter(pc.equal(table.column("quality").combine_chunks(), q)) for q in (many, 1 - many))
+        n = len(theirs) and len(mine) * PAIRS_EACH
+        turn = np.arange(n)
+        a, b = mine.take(pa.array(turn // PAIRS_EACH)), theirs.take(pa.array(turn % max(1, len(theirs))))
+        return pa.table({"x": a, "other": b} if many else {"x": b, "other": a})
+
+    bucket, place = F.pmod(F.xxhash64("doc_id", "x"), F.lit(buckets)), F.xxhash64("x", "doc_id")
+    return sample.select("doc_id", "quality", "x", bucket.alias("bucket"), place.alias("place")).groupBy("bucket").applyInArrow(dealt, "x binary, other binary")
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist())).reshape(-1, N_FEATURES)
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            good, bad = (np.frombuffer(b"".join(batch.column(c).to_pylist())).reshape(-1, N_FEATURES) for c in ("x", "other"))
-            yield pa.RecordBatch.from_arrays([pa.array([(good - bad).tobytes()], pa.binary())], ["d"])
+        d = _unpacked(batch.column("x")) - _unpacked(batch.column("other"))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in d], pa.binary())], ["d"])
 
 
-def _loss_terms(acc: tuple | None, d: np.ndarray, w: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs, squares of differences, gradient and curvature of the pairs' loss, with a block's added."""
+def _loss_terms(d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Pairs, squares of differences, gradient and curvature of the pairs' loss, one after the other."""
     p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))  # of the pair the other way round
-    mine = len(d), (d * d).sum(0), -(d.T @ p), (d.T * (p * (1 - p))) @ d
-    return mine if acc is None else tuple(a + b for a, b in zip(acc, mine, strict=True))
+    return np.concatenate([[len(d)], (d * d).sum(0), -(d.T @ p), ((d.T * (p * (1 - p))) @ d).ravel()])
+
+
+def _both(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
+    return b if a is None else a if b is None else a + b
 
 
-def _both(a: tuple | None, b: tuple | None) -> tuple | None:
-    return a or b if a is None or b is None else tuple(x + y for x, y in zip(a, b, strict=True))
+def _terms(pairs: DataFrame, w: np.ndarray) -> tuple | None:
+    """The loss's terms over all pairs, a row of them from each partition; None without pairs."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                total = _both(total, _loss_terms(_unpacked(batch.column("d")), w))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["terms"])
+
+    found = pairs.mapInArrow(part, "terms binary").rdd.treeAggregate(None, lambda acc, r: _both(acc, np.frombuffer(r["terms"])), _both)
+    if found is None:
+        return None
+    return found[0], found[1 : N_FEATURES + 1], found[N_FEATURES + 1 : 2 * N_FEATURES + 1], found[2 * N_FEATURES + 1 :].reshape(N_FEATURES, N_FEATURES)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCUMENTS) -> Model:
-    """The Bradley-Terry model of the labelled documents that aren't held out.
+def fit(docs: DataFrame, labels: DataFrame, bound: int | None = TRAIN_DOCUMENTS) -> Model:
+    """The Bradley-Terry model of all labelled documents that aren't held out, or of some ``bound`` of them.
 
     Features are scaled by the spread of their differences; Newton's steps go on
     until they are short.  The threshold is the quantile of the fitted
     documents' utilities at the share of label 0.
     """
-    sample = _sample(docs, labels, bound)
-    blocks = C.stored(_pairs(sample).mapInArrow(_differences, "d binary"), "quality-pairs").rdd.map(lambda r: np.frombuffer(r["d"]).reshape(-1, N_FEATURES))
+    return _fitted(_sample(docs, labels, bound))
+
+
+def _fitted(sample: DataFrame) -> Model:
+    """The model of labelled documents' features."""
+    pairs = C.stored(_pairs(sample).mapInArrow(_differences, "d binary"), "quality-pairs")
     weights = np.zeros(N_FEATURES)
-    terms = lambda w: blocks.treeAggregate(None, lambda acc, d: _loss_terms(acc, d, w), _both)
     scale = None
     for _ in range(MAX_STEPS):
-        found = terms(weights)
+        found = _terms(pairs, weights)
         if found is None:
             return Model(None)
         n, squares, gradient, curvature = found
@@ -202,12 +248,12 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCUMENTS) -> Mod
 
     def utilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("x").to_pylist())).reshape(-1, N_FEATURES)
+            x = _unpacked(batch.column("x"))
             yield pa.RecordBatch.from_arrays([pa.array(x @ model.weights), batch.column("quality")], ["u", "quality"])
 
-    ranked = sample.select("x", "quality").mapInArrow(utilities, "u double, quality int")
+    ranked = C.stored(sample.select("x", "quality").mapInArrow(utilities, "u double, quality int").withColumn("k", F.lit(0)), "quality-utilities")
     share = 1 - ranked.agg(F.avg("quality")).first()[0]
-    model.threshold = ranked.agg(F.percentile("u", F.lit(share))).first()[0]  # a bounded sample
+    model.threshold = quantiles.aggregated(ranked, ["k"], {"n": F.count("*")}, {"u": (F.col("u"), share)}, quantiles.large_groups(ranked, ["k"])).first()["u"]
     return model
 
 
@@ -224,14 +270,22 @@ def quality(docs: DataFrame, model: Model) -> DataFrame:
     are not learned from.
     """
 
+    return _scored(featured(docs), model)
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """``quality`` of featured rows."""
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(_features_of(batch)))], ["doc_id", "score"])
+            x = _unpacked(batch.column("x"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(x))], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
+    rows = rows.mapInArrow(scored, "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def op13_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return quality(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """Features are taken once; the fit and the scores both read them."""
+    rows = C.stored(featured(spark.read.parquet(f"{sf_dir}/documents.parquet")), "quality-features")
+    return _scored(rows, _fitted(_labelled(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), TRAIN_DOCUMENTS)))

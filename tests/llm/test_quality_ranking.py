@@ -133,3 +133,22 @@ def test_many_texts_of_one_id_stay_within_the_bound(spark):
     docs = spark.createDataFrame([(1, f"word {i} " * (i % 9)) for i in range(3000)] + [(2, "!! $$ AA!! " * 5)] * 500, "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], LABELS)
     assert Q._sample(docs, labels, 40).count() < 200
+
+
+def test_every_labelled_document_teaches(spark, tmp_path, monkeypatch):
+    """More labelled documents than were once picked, of each label, and in several buckets: all are in pairs, and the
+    threshold is that of all."""
+    monkeypatch.setattr(Q, "BUCKET_DOCUMENTS", 1000)
+    n = 30_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.expr("repeat('ab ', cast(id % 7 as int))"), F.when(F.col("id") % 3 == 0, "$$ !").otherwise("end."), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    learned = [i for i in range(n) if crc32(str(i).encode()) % 5]
+    rows = Q._sample(docs, labels, Q.TRAIN_DOCUMENTS)
+    assert sorted(r["doc_id"] for r in rows.select("doc_id").collect()) == learned
+    pairs = Q._pairs(rows)
+    assert pairs.count() == Q.PAIRS_EACH * sum(i % 3 != 0 for i in learned)
+    for q, side in ((1, "x"), (0, "other")):
+        assert pairs.select(side).distinct().count() == rows.filter(f"quality = {q}").select("x").distinct().count()
+    model = Q.fit(docs, labels)
+    u = np.array([np.frombuffer(r["x"]) @ model.weights for r in rows.collect()])
+    assert model.threshold == pytest.approx(np.quantile(u, np.mean([i % 3 == 0 for i in learned])), abs=1e-9)
