@@ -24,6 +24,37 @@ def test_assignment_is_the_cheapest():
         assert sum(cost[i, j] for i, j in enumerate(of) if j >= 0) == min(sum(short[i, j] for i, j in enumerate(p)) for p in permutations(range(short.shape[1]), len(short)))
 
 
+@pytest.mark.parametrize("top", [4, 1 << 40])
+def test_assignments_side_by_side_are_those_of_each(top):
+    """Ties too fall as in one frame alone."""
+    rng = np.random.default_rng(top)
+    for n, m in ((1, 1), (3, 3), (2, 5), (6, 4), (8, 8)):
+        costs = rng.integers(0, top, (80, n, m)).astype(float)
+        assert (detections.assignments(costs) == [detections.assignment(c) for c in costs]).all()
+
+
+def test_frames_are_paired_many_in_a_call(spark):
+    """Two thousand frames of different shapes take as many costs as there are shapes in a batch, not one a frame."""
+    rng = np.random.default_rng(8)
+    rows = [(f, side, i, *map(float, rng.integers(0, 20, 4))) for f in range(2000) for side in (0, 1) for i in range(rng.integers(0, 4))]
+    df = spark.createDataFrame(rows, "frame long, side int, id long, x1 double, y1 double, x2 double, y2 double")
+    calls = spark.sparkContext.accumulator(0)
+
+    def cost(a, b):
+        calls.add(1)
+        return detections.squared_distance(a, b)
+
+    got = detections.aligned(df.filter("side = 0").drop("side"), df.filter("side = 1").drop("side"), ["frame"], cost)
+    found, expected = sorted(map(tuple, got.collect())), []
+    assert calls.value <= 9 * 2 * spark.sparkContext.defaultParallelism
+    for f in range(2000):
+        a, b = ([r for r in rows if r[0] == f and r[1] == side] for side in (0, 1))
+        if a and b:
+            c = detections.squared_distance(np.array([r[3:] for r in a]), np.array([r[3:] for r in b]))
+            expected += [(f, i, int(j), c[i, j]) for i, j in enumerate(detections.assignment(c)) if j >= 0]
+    assert found == expected
+
+
 def test_overlaps_of_odd_boxes():
     others = np.array([[0, 0, 2, 2], [2, 2, 0, 0], [1, 1, 3, 3], [5, 5, 6, 6], [1, 1, 1, 3]], float)
     assert np.allclose(detections.overlaps(others[0], others), [1, 1, 1 / 7, 0, 0])
