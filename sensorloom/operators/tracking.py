@@ -14,10 +14,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from sensorloom.operators.blocks import over_runs
 from sensorloom.operators.detections import BOX, assignment
 
 TRACKED = "frame long, track long, box long, x double, y double, opened boolean"
@@ -60,7 +62,7 @@ class Tracker:
         """A row for each box: frame, track, box, the track's place after it, and whether the box opened the track.
         Boxes are taken in the order of their corners, so their order in the frame doesn't matter."""
         s = self.settings
-        order = np.lexsort((ids, *boxes.T[::-1])) if len(boxes) else np.zeros(0, np.int64)
+        order = np.lexsort((ids, *boxes.T[::-1])) if len(boxes) > 1 else np.arange(len(boxes))
         ids, centres = ids[order], (boxes[order, :2] + boxes[order, 2:]) / 2
         gone = 0 if self.frame is None else frame - self.frame
         self._predict(min(gone, s.most_missed + 1))
@@ -71,12 +73,7 @@ class Tracker:
         room = self.spread[:, 0] + s.seen**2
         far = (off**2).sum(2) / room[:, None]
         allowed = far <= s.gate**2
-        # Outside the gate a pair costs more than all pairs inside could, so as many pairs as can be are inside.
-        cost = np.where(allowed, far, (s.gate**2 + 1) * (min(far.shape) + 1)) if far.size else far
-        of = assignment(cost) if far.size else np.full(len(self.ids), -1)
-        at = np.flatnonzero(of >= 0)
-        at = at[allowed[at, of[at]]]
-        box = of[at]
+        at, box = _paired(far, allowed, s.gate**2)
         gain = self.spread[at, :2] / room[at, None]
         self.states[at, :2] += gain[:, :1] * off[at, box]
         self.states[at, 2:] += gain[:, 1:] * off[at, box]
@@ -84,26 +81,40 @@ class Tracker:
         self.spread[at] = np.stack([pp * (1 - gain[:, 0]), pv * (1 - gain[:, 0]), vv - gain[:, 1] * pv], 1)
         self.missed = self.missed + 1
         self.missed[at] = 0
-        rows = [(frame, int(t), int(b), float(p[0]), float(p[1]), False) for t, b, p in zip(self.ids[at], ids[box], self.states[at], strict=True)]
-        new = np.setdiff1d(np.arange(len(ids)), box)
+        rows = [(frame, t, b, x, y, False) for t, b, (x, y) in zip(self.ids[at].tolist(), ids[box].tolist(), self.states[at, :2].tolist(), strict=True)]
+        free = np.ones(len(ids), bool)
+        free[box] = False
+        new = np.flatnonzero(free)
         numbers = self.following + np.arange(len(new))
         self.following += len(new)
         self._keep(self.missed <= s.most_missed)
-        self.ids = np.append(self.ids, numbers)
-        self.states = np.concatenate([self.states, np.column_stack([centres[new], np.zeros((len(new), 2))])])
-        self.spread = np.concatenate([self.spread, np.tile([s.seen**2, 0.0, s.speed**2], (len(new), 1))])
-        self.missed = np.append(self.missed, np.zeros(len(new), np.int64))
-        return rows + [(frame, int(t), int(ids[b]), float(centres[b, 0]), float(centres[b, 1]), True) for t, b in zip(numbers, new, strict=True)]
+        if not len(new):
+            return rows
+        states, spread = np.zeros((len(new), 4)), np.empty((len(new), 3))
+        states[:, :2], spread[:] = centres[new], (s.seen**2, 0.0, s.speed**2)
+        self.ids = np.concatenate([self.ids, numbers])
+        self.states = np.concatenate([self.states, states])
+        self.spread = np.concatenate([self.spread, spread])
+        self.missed = np.concatenate([self.missed, np.zeros(len(new), np.int64)])
+        return rows + [(frame, t, b, x, y, True) for t, b, (x, y) in zip(numbers.tolist(), ids[new].tolist(), centres[new].tolist(), strict=True)]
 
     def _keep(self, which: np.ndarray) -> None:
+        if which.all():
+            return
         self.ids, self.states, self.spread, self.missed = self.ids[which], self.states[which], self.spread[which], self.missed[which]
 
     def run(self, rows: pd.DataFrame) -> list[tuple]:
         """The rows of some frames (frame, id and the corners), in order of the frames; a frame before the last is late and left out."""
+        return self.run_sorted(*_arrays(rows.sort_values("frame", kind="stable")))
+
+    def run_sorted(self, frames: np.ndarray, ids: np.ndarray, boxes: np.ndarray) -> list[tuple]:
+        """``run`` of rows that are in order of their frames."""
         found: list[tuple] = []
-        for frame, boxes in rows.sort_values("frame", kind="stable").groupby("frame", sort=True):
+        edges = [0, *(np.flatnonzero(frames[1:] != frames[:-1]) + 1).tolist(), len(frames)] if len(frames) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            frame = int(frames[a])
             if self.frame is None or frame > self.frame:
-                found += self.step(int(frame), boxes["id"].to_numpy(np.int64), boxes[BOX].to_numpy(float))
+                found += self.step(frame, ids[a:b], boxes[a:b])
         return found
 
     def packed(self) -> tuple:
@@ -115,6 +126,23 @@ class Tracker:
         return cls(settings, following, frame, np.array(ids, np.int64), np.array(states, float).reshape(-1, 4), np.array(spread, float).reshape(-1, 3), np.array(missed, np.int64))
 
 
+def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return rows["frame"].to_numpy(np.int64), rows["id"].to_numpy(np.int64), rows[BOX].to_numpy(float)
+
+
+def _paired(far: np.ndarray, allowed: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tracks and their boxes: as many allowed pairs as can be, of least total cost.  Where no two allowed pairs share a
+    track or a box, they are all of them; otherwise an assignment tells, in which a pair that isn't allowed costs more
+    than all the others could."""
+    at, box = np.nonzero(allowed)
+    if len(at) < 2 or (len(set(at.tolist())) == len(at) and len(set(box.tolist())) == len(box)):
+        return at, box
+    of = assignment(np.where(allowed, far, (top + 1) * (min(far.shape) + 1)))
+    at = np.flatnonzero(of >= 0)
+    at = at[allowed[at, of[at]]]
+    return at, of[at]
+
+
 def _columns(keys: Sequence[str], found: list[tuple], first: pd.DataFrame) -> pd.DataFrame:
     out = pd.DataFrame(found, columns=[c.split()[0] for c in TRACKED.split(", ")])
     for k in reversed(list(keys)):
@@ -131,7 +159,21 @@ def tracked(boxes: DataFrame, keys: Sequence[str], settings: Settings | None = N
     settings = settings or Settings()
     rows = boxes.select(*keys, F.col("frame").cast("long").alias("frame"), F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in BOX]).dropna(subset=["frame", "id", *BOX])
     schema = ", ".join([*[f"`{k}` {t}" for k, t in rows.dtypes if k in keys], TRACKED])
-    return rows.groupBy(*keys).applyInPandas(lambda part: _columns(keys, Tracker(settings).run(part), part), schema)
+    kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.bool_()]
+
+    def run(table: pa.Table, edges: np.ndarray) -> pa.Table:
+        frames, ids, boxes = _arrays(table.select(["frame", "id", *BOX]).to_pandas())
+        found, sizes = [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = Tracker(settings).run_sorted(frames[a:b], ids[a:b], boxes[a:b])
+            found += own
+            sizes.append(len(own))
+        out = table.select(list(keys)).take(pa.array(np.repeat(edges[:-1], sizes)))
+        for name, kind, values in zip(TRACKED.split(", "), kinds, zip(*found, strict=True), strict=True):
+            out = out.append_column(name.split()[0], pa.array(values, kind))
+        return out
+
+    return over_runs(rows, keys, ["frame"], run, schema)
 
 
 class Tracks(StatefulProcessor):

@@ -16,9 +16,9 @@ c = F.col
 
 
 # ------------------------------------------------------------- boxes and tracks
-def _boxes(spark, d_) -> DataFrame:
+def _boxes(spark, d_, *more) -> DataFrame:
     return samples(spark, d_).select(
-        "user_id", "event_id", (1 / (1 + c("value") * 0.0131)).alias("score"),
+        *more, "user_id", "event_id", (1 / (1 + c("value") * 0.0131)).alias("score"),
         c("value").alias("x1"), (c("event_id") % 7 * 10.0).alias("y1"), (c("value") + 30).alias("x2"), (c("event_id") % 7 * 10.0 + 25).alias("y2"),
     )
 
@@ -79,9 +79,8 @@ def _(spark, d_):
 @query("v15_tracks")
 def _(spark, d_):
     """Tracks over time: a day is a frame, and a user's events of that day are its boxes."""
-    box = _boxes(spark, d_).drop("score").withColumnRenamed("event_id", "id")
-    days = samples(spark, d_).select(c("event_id").alias("id"), F.floor(c("ts_us") / 86_400_000_000).alias("frame"))
-    return rounded(tracking.tracked(box.join(days, "id"), KEYS, tracking.Settings(seen=8.0, push=4.0)))
+    box = _boxes(spark, d_, F.floor(c("ts_us") / 86_400_000_000).alias("frame")).drop("score").withColumnRenamed("event_id", "id")
+    return rounded(tracking.tracked(box, KEYS, tracking.Settings(seen=8.0, push=4.0)))
 
 
 @query(

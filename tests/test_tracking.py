@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
+from sensorloom.operators import detections
 from sensorloom.operators import tracking as T
+from sensorloom.plans import catalog
 from sensorloom.streaming import processors
 
 SCHEMA = "session long, frame long, id long, x1 double, y1 double, x2 double, y2 double"
@@ -84,3 +86,27 @@ def test_nothing_to_track(spark):
     assert T.tracked(frame(spark, [(0, 0, 1, 1, 2, 2)]).limit(0), ["session"]).collect() == []
     odd = spark.createDataFrame([(1, None, 1, 0.0, 0.0, 1.0, 1.0), (1, 0, 2, None, 0.0, 1.0, 1.0), (None, 0, 3, 0.0, 0.0, 1.0, 1.0)], SCHEMA)
     assert [tuple(r) for r in T.tracked(odd, ["session"]).collect()] == [(None, 0, 0, 3, 0.5, 0.5, True)]
+
+
+def test_pairs_without_a_choice_need_no_assignment(monkeypatch):
+    """Pairs by the short way are those of the assignment; where no two allowed pairs share a side, it isn't asked."""
+    rng, asked = np.random.default_rng(11), []
+    monkeypatch.setattr(T, "assignment", lambda cost: asked.append(1) or detections.assignment(cost))
+    shared = 0
+    for _ in range(300):
+        far = rng.uniform(0, 40, rng.integers(0, 5, 2))
+        allowed = far <= 9
+        got = [x.tolist() for x in T._paired(far, allowed, 9.0)]
+        of = detections.assignment(np.where(allowed, far, 10.0 * (min(far.shape) + 1))) if far.size else np.full(len(far), -1)
+        at = [i for i, j in enumerate(of.tolist()) if j >= 0 and allowed[i, j]]
+        assert got == [at, of[at].tolist()]
+        shared += bool((allowed.sum(0) > 1).any() or (allowed.sum(1) > 1).any())
+    assert len(asked) == shared < 300
+
+
+def test_boxes_of_a_repeated_event_id_are_boxes_once(spark, tmp_path):
+    """An event id that two users have makes a box for each, not one for each pair of rows."""
+    rows = [(7, u, float(40 * u), 1704067200 + 86400 * d) for u in (1, 2) for d in (0, 1)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, value double, s long").selectExpr("event_id", "user_id", "'view' AS event_type", "value", "timestamp_seconds(s) AS ts")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    assert catalog.queries()["v15_tracks"](spark, str(tmp_path)).count() == 4
