@@ -91,3 +91,35 @@ def test_a_replay_that_does_not_end_says_so(rocksdb, tmp_path):
     stream = rocksdb.readStream.schema(SAMPLES).parquet(str(tmp_path / "in"))
     with pytest.raises(TimeoutError, match="forever"):
         processors.replayed(sessions.closed_windows_stream(stream, 2, 100), "forever", timeout_s=8)
+
+
+class Counted:
+    """A value state that counts its messages."""
+
+    def __init__(self):
+        self.value, self.messages = None, 0
+
+    def get(self):
+        self.messages += 1
+        return self.value
+
+    def update(self, value):
+        self.messages += 1
+        self.value = value
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        raise AssertionError("a map is a message for each window")
+
+
+def test_a_sessions_rows_are_two_messages_for_any_number_of_windows():
+    handle, windows = Counted(), processors.Windows(2, 100, 160, None)
+    windows.init(handle)
+    rows = pd.DataFrame([(1, k, t * 10, 1.0 if t % 7 else None) for t in range(1000) for k in (0, 1)], columns=["session", "stream", "timestamp_us", "value"])
+    found = pd.concat(windows.handleInputRows((1,), iter([rows[:700], rows[700:]]), None))
+    assert handle.messages == 2 and found["window"].tolist() == list(range(99)) and set(found["n"]) == {20}
+    assert found["total"].tolist() == [2.0 * sum(t % 7 > 0 for t in range(10 * w, 10 * w + 10)) for w in range(99)]
+    late = pd.DataFrame([(1, 0, 50, 1.0), (1, 0, 995, 1.0), (1, 1, 10_000, 1.0), (1, 0, 10_001, 5.0)], columns=["session", "stream", "timestamp_us", "value"])
+    assert pd.concat(windows.handleInputRows((1,), iter([late]), None)).values.tolist() == [[1, 99, 20, 2.0 * sum(t % 7 > 0 for t in range(990, 1000)), "drained"]]
