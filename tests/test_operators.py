@@ -229,6 +229,23 @@ def test_pulse_window_features(spark):
     assert {k: got[5][k] for k in expected} == pytest.approx(expected)
 
 
+def test_windows_are_filtered_once_and_their_samples_stay_together(spark, monkeypatch):
+    from sensorloom.operators import dsp, waveforms as w
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(x, sections):
+        calls.add(1)
+        return dsp.zero_phase(x, sections)
+
+    monkeypatch.setattr(w, "zero_phase", counted)
+    rows = [(k, i, float(np.sin(i / (5 + k)))) for k in range(12) for i in range(256 if k else 99)]
+    df = spark.createDataFrame(rows, "k int, i int, v double").repartition(5)
+    assert w.window_features(df, ["k"], ["i"], "v", samples=256, min_beats=1).count() == 12
+    assert calls.value == 11  # each whole window once
+    assert w.marked_windows(df, ["k"], ["i"], "v", 256).count() == 12  # a row for each window, not for each sample
+
+
 def test_sinks(spark, tmp_path):
     from sensorloom.sources import sinks
 
